@@ -1,0 +1,161 @@
+"""Count-min sketches of tasks, merged by segments.
+
+``repeat_sketch`` counts 0, 1, 2 or more in packed bits and keeps, of the merged
+sketch, the bits of the cells that reach two. ``count_sketch`` counts up to 255
+in bytes. Both never underestimate. Their sizes are bounded by the caller's
+number of cells, which bounds what is sent to the driver and broadcast as well.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SEGMENT_BITS = 20
+_ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SCHEMA = "row int, segment int, cells binary"
+
+#: The 64-bit hashes to count in a batch, in pieces.
+Hashes = Callable[[pa.RecordBatch], Iterable[np.ndarray]]
+
+
+def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (hashes * _ROWS[row]) >> np.uint64(64 - bits)
+
+
+def _row(row: int, segment: int, cells: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([cells], pa.binary())], ["row", "segment", "cells"])
+
+
+def _pack(cells: np.ndarray) -> bytes:
+    return pa.compress(cells.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, shape: tuple[int, ...]) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=int(np.prod(shape)), codec="zstd", asbytes=True), np.uint8).reshape(shape).copy()
+
+
+class RepeatSketch:
+    """Two rows of 2 ** bits cells: the bits of those counted once at least, and twice at least."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.seen = np.zeros((len(_ROWS), 2, max(1, (1 << bits) // 8)), np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for row, (once, twice) in enumerate(self.seen):
+            at, counts = np.unique(_cells(hashes, row, self.bits), return_counts=True)
+            byte, bit = (at >> np.uint64(3)).astype(np.int64), (np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
+            again = (counts > 1) | (once[byte] & bit > 0)
+            for bits, which in ((twice, again), (once, slice(None))):
+                own, marks = byte[which], bit[which]
+                if len(own):
+                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    bits[own[starts]] |= np.bitwise_or.reduceat(marks, starts)
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        size = min(self.seen.shape[2], 1 << (SEGMENT_BITS - 3))
+        for row, planes in enumerate(self.seen):
+            for k in range(self.seen.shape[2] // size):
+                here = planes[:, k * size : (k + 1) * size]
+                if here[0].any():
+                    yield _row(row, k, _pack(here))
+
+
+class Repeated:
+    """Of a merged sketch, the bits of the cells that count two or more."""
+
+    def __init__(self, bits: int, twice: np.ndarray):
+        self.bits, self.twice = bits, twice
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for row in range(len(_ROWS)):
+            at = _cells(hashes, row, self.bits)
+            out &= (self.twice[row][at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def repeat_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Repeated:
+    size = min(max(1, (1 << bits) // 8), 1 << (SEGMENT_BITS - 3))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = None
+        for batch in batches:
+            for found in hashes(batch):
+                if len(found):
+                    sketch = sketch or RepeatSketch(bits)
+                    sketch.add(found)
+        if sketch:
+            yield from sketch.parts()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = _unpack(data, (2, size))
+                if (row, k) in whole:
+                    own = whole[row, k]
+                    own[1] |= new[1] | (own[0] & new[0])
+                    own[0] |= new[0]
+                else:
+                    whole[row, k] = new
+        for (row, k), own in whole.items():
+            yield _row(row, k, own[1].tobytes())
+
+    parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
+    twice = np.zeros((len(_ROWS), max(1, (1 << bits) // 8)), np.uint8)
+    for r in parts.collect():  # 2 * 2 ** bits bits at most
+        twice[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+    return Repeated(bits, twice)
+
+
+class Counts:
+    """Two rows of 2 ** bits cells that count up to 255."""
+
+    def __init__(self, bits: int, cells: np.ndarray | None = None):
+        self.bits = bits
+        self.cells = np.zeros((len(_ROWS), 1 << bits), np.uint8) if cells is None else cells
+
+    def add(self, hashes: np.ndarray) -> None:
+        for row, cells in enumerate(self.cells):
+            at, counts = np.unique(_cells(hashes, row, self.bits), return_counts=True)
+            cells[at] = np.minimum(cells[at] + counts, 255)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return np.minimum(*(self.cells[row][_cells(hashes, row, self.bits)] for row in range(len(_ROWS))))
+
+
+def count_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Counts:
+    size = 1 << min(bits, SEGMENT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = None
+        for batch in batches:
+            for found in hashes(batch):
+                if len(found):
+                    sketch = sketch or Counts(bits)
+                    sketch.add(found)
+        for row, cells in enumerate(sketch.cells) if sketch else ():
+            for k in range(len(cells) // size):
+                if (here := cells[k * size : (k + 1) * size]).any():
+                    yield _row(row, k, _pack(here))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = _unpack(data, (size,))
+                own = whole.get((row, k))
+                whole[row, k] = new if own is None else np.minimum(own.astype(np.uint16) + new, 255).astype(np.uint8)
+        for (row, k), own in whole.items():
+            yield _row(row, k, own.tobytes())
+
+    parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
+    cells = np.zeros((len(_ROWS), 1 << bits), np.uint8)
+    for r in parts.collect():  # 2 * 2 ** bits bytes at most
+        cells[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+    return Counts(bits, cells)
