@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op7_jaccard_join
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op9_packing
 from .secret_scan import op4_secret_scan
@@ -16,7 +17,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op8_url_filter, op9_packing, op10_mixing)
+    found = (op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
     return {f.__name__: f for f in found}
 
 
