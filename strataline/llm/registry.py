@@ -12,14 +12,15 @@ from .packing import op9_packing
 from .secret_scan import op4_secret_scan
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op5_token_counts
+from .topk_search import OP6_SQL, op6_topk_search
 from .toxicity import op2_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
+    found = (op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op6_topk_search, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_topk_search": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_mixing": OP10_SQL}
