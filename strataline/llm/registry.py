@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .flat_graph import op1_flat_graph
 from .jaccard_join import op7_jaccard_join
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op9_packing
@@ -18,7 +19,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op6_topk_search, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
+    found = (op1_flat_graph, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op6_topk_search, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
     return {f.__name__: f for f in found}
 
 
