@@ -1 +1 @@
-
+"""Column functions with one rule for missing values: NULL, never NaN."""

@@ -1 +1 @@
-
+"""From expression text to staged DataFrame plans."""
