@@ -42,7 +42,9 @@ SHARE_CODES = (10, 11)
 #: Dates of a trading calendar that are broadcast at most; longer ones are joined without a hint.
 MAX_CALENDAR = 100_000
 
-_OWN = Window.partitionBy("instrument").orderBy("datetime")
+
+def _own():
+    return Window.partitionBy("instrument").orderBy("datetime")
 
 
 def check_columns(df: DataFrame, required: tuple[str, ...], what: str) -> None:
@@ -70,7 +72,7 @@ def latest_capitalised(rows: DataFrame) -> DataFrame:
 
 def with_label(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """The return over the next rows of the instrument."""
-    ahead = F.lead("close", horizon).over(_OWN)
+    ahead = F.lead("close", horizon).over(_own())
     return panel.withColumn(LABEL, F.try_divide(ahead, F.col("close")) - 1.0)
 
 
@@ -142,9 +144,9 @@ def quarter_counter() -> Column:
 
 def with_event_fields(panel: DataFrame) -> DataFrame:
     """Valuation ratios and row counters since the quarter's start and since the last filing."""
-    news = ~F.col("__filed").eqNullSafe(F.lag("__filed").over(_OWN))
-    panel = panel.withColumns({"__row": F.row_number().over(_OWN), "__new": news & F.col("__filed").isNotNull()})
-    since = F.last(F.when(F.col("__new"), F.col("__row")), ignorenulls=True).over(_OWN.rowsBetween(Window.unboundedPreceding, 0))
+    news = ~F.col("__filed").eqNullSafe(F.lag("__filed").over(_own()))
+    panel = panel.withColumns({"__row": F.row_number().over(_own()), "__new": news & F.col("__filed").isNotNull()})
+    since = F.last(F.when(F.col("__new"), F.col("__row")), ignorenulls=True).over(_own().rowsBetween(Window.unboundedPreceding, 0))
     close, shares = F.col("close"), F.col("funda_shares_out")
     panel = panel.withColumns({
         "funda_pe": price_ratio(close, F.col("funda_net_income"), shares),

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import finite, null_if_nan, pearson, truthy
 
-BY_INSTRUMENT = Window.partitionBy("instrument").orderBy("datetime")
+
+def by_instrument():
+    return Window.partitionBy("instrument").orderBy("datetime")
 
 
 def trailing(n: int):
-    return BY_INSTRUMENT.rowsBetween(-(n - 1), 0)
+    return by_instrument().rowsBetween(-(n - 1), 0)
 
 
 def rank(x: Column, n: int) -> Column:
@@ -28,8 +30,8 @@ def correlation(x: Column, y: Column, n: int) -> Column:
 
 def since(event: Column) -> Column:
     """Rows since the last event, 0 on its own row, missing before the first."""
-    row = F.row_number().over(BY_INSTRUMENT)
-    last = F.last(F.when(truthy(event), row_of_event()), ignorenulls=True).over(BY_INSTRUMENT.rowsBetween(Window.unboundedPreceding, 0))
+    row = F.row_number().over(by_instrument())
+    last = F.last(F.when(truthy(event), row_of_event()), ignorenulls=True).over(by_instrument().rowsBetween(Window.unboundedPreceding, 0))
     return (row - last).cast("double")
 
 
@@ -53,8 +55,8 @@ BUILDERS = {
     "TS_MAX": lambda x, n: F.max(finite(x)).over(trailing(n)),
     "TS_STD": lambda x, n: F.stddev_samp(finite(x)).over(trailing(n)),
     "TS_RANK": rank,
-    "DELTA": lambda x, n: null_if_nan(x - F.lag(x, n).over(BY_INSTRUMENT)),
-    "DELAY": lambda x, n: F.lag(x, n).over(BY_INSTRUMENT) if n else x,
+    "DELTA": lambda x, n: null_if_nan(x - F.lag(x, n).over(by_instrument())),
+    "DELAY": lambda x, n: F.lag(x, n).over(by_instrument()) if n else x,
     "TS_CORR": correlation,
     "TS_SINCE": since,
     "TS_COUNT": count,

@@ -91,7 +91,7 @@ class Plan:
 
     def apply(self, panel: DataFrame) -> DataFrame:
         if any(n.op == "TS_SINCE" for n in self.windows):
-            panel = panel.withColumn(timeseries.ROW_NUMBER, F.row_number().over(timeseries.BY_INSTRUMENT))
+            panel = panel.withColumn(timeseries.ROW_NUMBER, F.row_number().over(timeseries.by_instrument()))
         for kind, nodes in self.passes():
             panel = self._name_shared(panel)
             ready = {n: self.window(n) for n in nodes}
