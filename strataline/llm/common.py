@@ -16,7 +16,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch that goes to a Python worker, so that long texts don't add up in memory.
+BATCH_BYTES = 8 * 1024 * 1024
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_BYTES at most; a lower setting stays."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

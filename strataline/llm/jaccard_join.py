@@ -12,11 +12,15 @@ frequent elements each order goes by a hash of its own.
 Links are needed only for components, so copies are not expanded into pairs:
 
 1. For each of several orders, sets with the same least element meet, and each
-   is compared with the group's first. Families of near copies collapse here.
+   is compared with the group's centre, the set with the fewest elements of its
+   own. Families of near copies collapse here around their originals.
 2. Sets of different components that share an element of their first ones under
-   the first order are compared with the element's first set; then, as far as
-   an element still joins several components, every pair of sets of different
-   components that share it is taken as a candidate.
+   the first order are compared with the element's centre.
+3. As far as an element still joins several components, all its pairs of sets
+   of different components are candidates. Elements of few sets are joined with
+   themselves. Elements of many sets tie their sets to families; a family's
+   largest component is set against all others, in blocks of bounded size, and
+   candidates exist only within a block. No row is made for a pair.
 
 Every candidate must share a prefix element under each of the other orders as
 well before its whole sets are intersected. No link between different
@@ -32,16 +36,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded, drop, table, written
 from .components import components
 from .sketches import Counts, Repeated, count_sketch, repeat_sketch
 from .words import grams, mixed, words_of
+from .workers import released
 
 WORDS = 5
 PERCENT = 75
@@ -54,12 +61,14 @@ MAX_COUNT_BITS = 24
 #: Only elements whose hash has this bit unset are looked up as unique: half of them certify as much.
 _HALF = np.uint64(1)
 _SALT = np.array([0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6A4A7935BD1E995], np.uint64)
-_ACTIVE = "sid binary, n int, elements binary, " + ", ".join(f"m{k} long" for k in range(GATHER))
+#: Elements of so many sets at most are joined with themselves; a set meets few others by them.
+FEW = 16
+BLOCK, AGAINST = 1000, 2000
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of texts with the hashes of their shingles, sorted and distinct within each text, and their numbers."""
-    for begin, end, words in words_of(texts, lower=True):
+    for begin, end, words in words_of(texts, lower=True, most=1_000_000):
         counts = words.after - words.first
         docs = np.repeat(np.arange(end - begin), counts)
         left = np.repeat(words.after, counts) - np.arange(len(words.hashes))
@@ -131,6 +140,7 @@ def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int = PER
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles and sid of each row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, elements, sizes in shingle_sets(batch.column(0), size):
@@ -148,10 +158,10 @@ def _first_of_each(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return elements[np.repeat(first, sizes)]
 
 
-def _active_sets(docs: DataFrame, repeated: Repeated, size: int, percent: int) -> DataFrame:
-    """The distinct sets that may be linked: sid, n, the elements that others may share, and their least ones under each gathering order."""
-    shared = docs.sparkSession.sparkContext.broadcast((repeated.bits, repeated.twice))
+def _active_sets(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> DataFrame:
+    """The distinct sets that may be linked: sid, n and the elements that others may share. shared: the merged sketch of repeats."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Repeated(*shared.value)
         for batch in batches:
@@ -163,24 +173,44 @@ def _active_sets(docs: DataFrame, repeated: Repeated, size: int, percent: int) -
                 active = (sizes > 0) & (sizes - lens < _prefix_sizes(sizes, percent))
                 ids = set_ids(elements, sizes)
                 active &= np.isin(np.arange(len(sizes)), np.unique(ids[:, 0], return_index=True)[1])
-                if not active.any():
-                    continue
-                kept = elements[maybe & active[of]]
-                lens = lens[active]
-                begins = np.cumsum(lens) - lens
-                least = [np.minimum.reduceat(order_hash(kept, k), begins).view(np.int64) for k in range(GATHER)]
-                yield pa.RecordBatch.from_arrays(
-                    [_sid_array(ids[active]), pa.array(sizes[active].astype(np.int32)), _binary(lens, kept), *map(pa.array, least)],
-                    ["sid", "n", "elements", *[f"m{k}" for k in range(GATHER)]],
-                )
+                if active.any():
+                    kept = _binary(lens[active], elements[maybe & active[of]])
+                    yield pa.RecordBatch.from_arrays([_sid_array(ids[active]), pa.array(sizes[active].astype(np.int32)), kept], ["sid", "n", "elements"])
+
+    return docs.select("text").mapInArrow(run, "sid binary, n int, elements binary").dropDuplicates(["sid"])
 
-    return docs.select("text").mapInArrow(run, _ACTIVE).dropDuplicates(["sid"])
 
+def _ranked_sets(active: DataFrame, shared: Broadcast, percent: int) -> DataFrame:
+    """Those of the sets that may still be linked: with the elements that others share, own (how many others don't) and the least element under each gathering order."""
 
-def _verified(pairs: DataFrame, counts: Counts, percent: int) -> DataFrame:
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Counts(*shared.value)
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            lens = np.array([len(e) // 8 for e in batch.column(2).to_pylist()], np.int64)
+            elements = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            of = np.repeat(np.arange(len(lens)), lens)
+            often = known(elements) > 1
+            lens = np.bincount(of[often], minlength=len(lens))
+            stay = (sizes - lens < _prefix_sizes(sizes, percent)) & (lens > 0)
+            if not stay.any():
+                continue
+            kept, lens = elements[often & stay[of]], lens[stay]
+            begins = np.cumsum(lens) - lens
+            least = [pa.array(np.minimum.reduceat(order_hash(kept, k), begins).view(np.int64)) for k in range(GATHER)]
+            at = pa.array(np.flatnonzero(stay))
+            own = pa.array((sizes[stay] - lens).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), own, _binary(lens, kept), *least], ["sid", "n", "own", "elements", *[f"m{k}" for k in range(GATHER)]])
+
+    gathered = ", ".join(f"m{k} long" for k in range(GATHER))
+    return active.select("sid", "n", "elements").mapInArrow(run, f"sid binary, n int, own int, elements binary, {gathered}")
+
+
+def _verified(pairs: DataFrame, shared: Broadcast, percent: int) -> DataFrame:
     """Links (a, b) among pairs (a, n_a, e_a, b, n_b, e_b): the filters of all other orders, and then the whole sets."""
-    shared = pairs.sparkSession.sparkContext.broadcast((counts.bits, counts.cells))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counts(*shared.value)
         memory: dict[bytes, list] = {}
@@ -216,37 +246,97 @@ def _with_sets(pairs: DataFrame, active: DataFrame) -> DataFrame:
     return found.join(firsts, "b")
 
 
-def _prefix_rows(active: DataFrame, counts: Counts, percent: int) -> DataFrame:
-    """element and sid, for each set and each shared element of its prefix under the first order."""
-    shared = active.sparkSession.sparkContext.broadcast((counts.bits, counts.cells))
+def _prefix_rows(sets: DataFrame, shared: Broadcast, percent: int) -> DataFrame:
+    """element, sid and own, for each set and each shared element of its prefix under the first order."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counts(*shared.value)
         for batch in batches:
-            found = [prefix(np.frombuffer(e, np.uint64), n, known, 0, percent) for n, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [prefix(np.frombuffer(e, np.uint64), n, known, 0, percent) for n, e in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             lens = np.array([len(f) for f in found], np.int64)
             elements = np.concatenate(found) if found else np.empty(0, np.uint64)
-            rows = np.repeat(np.arange(len(lens)), lens)
-            yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64)), batch.column(0).take(pa.array(rows))], ["element", "sid"])
+            rows = pa.array(np.repeat(np.arange(len(lens)), lens))
+            yield pa.RecordBatch.from_arrays([pa.array(elements.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows)], ["element", "sid", "own"])
 
-    return active.select("sid", "n", "elements").mapInArrow(run, "element long, sid binary")
+    return sets.select("sid", "n", "own", "elements").mapInArrow(run, "element long, sid binary, own int")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.select(F.col("node").alias("sid"), "label")
-    return rows.join(own, "sid", "left").select("element", "sid", F.coalesce("label", "sid").alias("label"))
+    return rows.select("element", "sid", "own").join(own, "sid", "left").select("element", "sid", "own", F.coalesce("label", "sid").alias("label"))
 
 
 def _mixed_elements(rows: DataFrame) -> DataFrame:
-    """Of rows (element, sid, label), those whose element joins several components; the first set of each and its component."""
-    by = rows.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("sid", "label")).alias("first"))
-    several = written(by.filter("low <> high").select(F.col("element").alias("e2"), "first"), "mixed")
-    return written(rows.join(several, F.col("element") == F.col("e2")).select("element", "sid", "label", "first"), "mixed")
+    """Of rows (element, sid, own, label), those whose element joins several components; with its number of sets, and its centre and the centre's component."""
+    by = rows.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"), F.min(F.struct("own", "sid", "label")).alias("centre"))
+    several = written(by.filter("low <> high").select(F.col("element").alias("e2"), "sets", "centre"), "mixed")
+    return written(rows.join(several, F.col("element") == F.col("e2")).select("element", "sid", "own", "label", "sets", "centre"), "mixed")
+
+
+def _incidence(lists: list[np.ndarray], names: np.ndarray) -> np.ndarray:
+    """Rows of zeros and ones: which of the sorted names are in each list."""
+    out = np.zeros((len(lists), len(names)), np.float32)
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+    at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+    known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+    out[of[known], at[known]] = 1
+    return out
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Common elements of each list in a with each in b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    names = np.intersect1d(np.concatenate(a), np.concatenate(b)) if a and b else np.empty(0, np.uint64)
+    for k in range(0, len(names), width):
+        some = names[k : k + width]
+        out += _incidence(a, some) @ _incidence(b, some).T
+    return out
+
+
+def _block_links(families: DataFrame, sets: DataFrame, shared: Broadcast, percent: int) -> DataFrame:
+    """Links between components of a family, of rows (sid, label, family): its largest component against the others, and these against each other."""
+    by_label = families.groupBy("family", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy(F.col("family").alias("f2")).agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("members"))
+    main = written(main.select("f2", F.col("main.label").alias("main"), F.ceil((F.col("members") - F.col("main.c")) / BLOCK).alias("asks"), F.ceil(F.col("members") / AGAINST).alias("parts")), "families")
+    own = families.select(F.col("sid").alias("s2"), "label", "family")
+    rows = sets.select("sid", "n", "elements").join(own, F.col("sid") == F.col("s2"))
+    rows = written(rows.join(main, F.col("family") == F.col("f2")).drop("s2", "f2"), "families")
+    ask, part = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("asks")), F.pmod(F.xxhash64("sid", F.lit(2)), F.col("parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = [F.col(c).alias(c) for c in ("sid", "n", "elements", "label", "family")]
+    asking = rows.filter("label <> main").select(*columns, ask.alias("ask"), each("parts").alias("part"))
+    asked = rows.select(*columns, part.alias("part"), each("asks").alias("ask"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            known = Counts(*shared.value)
+            lists = [[np.frombuffer(e, np.uint64) for e in t.column("elements").to_pylist()] for t in (left, right)]
+            sizes = [t.column("n").to_numpy().astype(np.int64) for t in (left, right)]
+            may = np.array(left.column("label").to_pylist(), object)[:, None] != np.array(right.column("label").to_pylist(), object)
+            for k in range(ORDERS):
+                may &= overlaps(*([prefix(e, int(n), known, k, percent) for e, n in zip(x, ns, strict=True)] for x, ns in zip(lists, sizes, strict=True))) > 0
+            if may.any():
+                common = overlaps(*lists)
+                both = sizes[0][:, None] + sizes[1]
+                a, b = np.nonzero(may & (100 * common >= percent * (both - common)))
+                x, y = (t.column("sid").to_pylist() for t in (left, right))
+                _, first = np.unique(np.stack((a, _codes(right.column("label"))[b])), axis=1, return_index=True)  # one link to each component is enough
+                found = [(x[a[i]], y[b[i]]) for i in first]
+        return pa.table({c: pa.array([f[i] for f in found], pa.binary()) for i, c in enumerate("ab")})
+
+    keys = ["family", "ask", "part"]
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "a binary, b binary")
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
 
 
 def jaccard_links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between the sids of different sets, enough of them to connect every component."""
-    spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(12, math.ceil(math.log2(max(1, n_bytes / 6)))))
 
@@ -255,32 +345,48 @@ def jaccard_links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
             elements = _first_of_each(elements, sizes)
             yield elements[elements & _HALF == 0]
 
+    context = docs.sparkSession.sparkContext
     repeated = repeat_sketch(docs.select("text"), certain, bits)
-    active = written(_active_sets(docs, repeated, size, percent), "active")
+    shared = context.broadcast((repeated.bits, repeated.twice))
+    del repeated
+    active = written(_active_sets(docs, shared, size, percent), "active")
+    shared.destroy()
     n_elements = active.agg(F.sum(F.octet_length("elements") / 8)).first()[0] or 0
     bits = min(MAX_COUNT_BITS, max(12, math.ceil(math.log2(max(1, n_elements)))))
     counts = count_sketch(active.select("elements"), lambda batch: [np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)], bits)
+    counts = context.broadcast((counts.bits, counts.cells))
+    sets = written(_ranked_sets(active, counts, percent), "sets")
+    drop(active)
 
-    found = spark.createDataFrame([], "a binary, b binary")
+    candidates = []
     for k in range(GATHER):
-        firsts = active.groupBy(F.col(f"m{k}").alias("m")).agg(F.min("sid").alias("b"), F.count("*").alias("c")).filter("c > 1").select("m", "b")
-        firsts = written(firsts.join(_side(active, "b"), "b").select("m", "b", "n_b", "e_b"), "firsts")
-        members = active.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"), F.col(f"m{k}").alias("m0"))
-        pairs = members.join(firsts, F.col("m0") == F.col("m")).filter("a <> b")
-        found = found.unionByName(_verified(pairs, counts, percent))
-    found = written(found, "links")
+        by = sets.groupBy(F.col(f"m{k}").alias("m")).agg(F.min(F.struct("own", "sid")).alias("centre"), F.count("*").alias("c"))
+        centres = by.filter("c > 1").select("m", F.col("centre.sid").alias("b"))
+        centres = written(centres.join(_side(sets, "b"), "b").select("m", "b", "n_b", "e_b"), "centres")
+        members = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"), F.col(f"m{k}").alias("m0"))
+        candidates.append(members.join(centres, F.col("m0") == F.col("m")).filter("a <> b").drop("m", "m0"))
+    found = written(_verified(reduce(DataFrame.unionByName, candidates), counts, percent), "links")
     labels = components(found)
 
-    rows = _mixed_elements(_labelled(written(_prefix_rows(active, counts, percent), "prefix"), labels))
-    stars = rows.filter(F.col("label") != F.col("first.label")).select(F.col("sid").alias("a"), F.col("first.sid").alias("b")).distinct()
-    more = written(_verified(_with_sets(written(stars, "stars"), active), counts, percent), "links")
+    rows = _mixed_elements(_labelled(written(_prefix_rows(sets, counts, percent), "prefix"), labels))
+    stars = rows.filter(F.col("label") != F.col("centre.label")).select(F.col("sid").alias("a"), F.col("centre.sid").alias("b")).distinct()
+    more = written(_verified(_with_sets(written(stars, "stars"), sets), counts, percent), "links")
     found = found.unionByName(more)
     if not more.isEmpty():
         labels = components(found)
-    rows = _mixed_elements(_labelled(rows.select("element", "sid"), labels))
-    x, y = (rows.select(F.col("element").alias(f"{e}e"), F.col("sid").alias(e), F.col("label").alias(f"{e}l")) for e in "ab")
+        rows = _mixed_elements(_labelled(rows, labels))
+
+    few = F.col("sets") <= FEW
+    x, y = (rows.filter(few).select(F.col("element").alias(f"{e}e"), F.col("sid").alias(e), F.col("label").alias(f"{e}l")) for e in "ab")
     pairs = x.join(y, (F.col("ae") == F.col("be")) & (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))).select("a", "b").distinct()
-    last = written(_verified(_with_sets(written(pairs, "candidates"), active), counts, percent), "links")
+    last = _verified(_with_sets(written(pairs, "candidates"), sets), counts, percent)
+    tied = written(rows.filter(~few).select(F.col("sid").alias("a"), F.col("centre.sid").alias("b"), "label").distinct(), "tied")
+    if not tied.isEmpty():
+        family = components(tied.select("a", "b")).select("node", F.col("label").alias("family"))
+        families = tied.select("a", "label").distinct().join(family, F.col("a") == F.col("node")).select(F.col("a").alias("sid"), "label", "family")
+        last = last.unionByName(_block_links(written(families, "families"), sets, counts, percent))
+    last = written(last, "links")
+    counts.destroy()
     return found.unionByName(last)
 
 
@@ -305,6 +411,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with its smallest id. Documents without words, or without an id, stay."""
+    bounded(spark)
     found = jaccard_components(docs).select(F.col("doc_id").alias("__id"), "component_id", "n_shingles")
     lost = written(found.filter((F.col("n_shingles") > 0) & (F.col("__id") != F.col("component_id"))).select("__id").distinct(), "lost")
     return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
