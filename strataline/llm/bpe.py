@@ -189,9 +189,9 @@ class WordBpe:
 
     def _entries(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Places of the pre-tokens among the known ones; learns those that are new."""
-        powers, inverse = _powers(len(chars) + 1)
+        table, inverse = powers(len(chars) + 1)
         total = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * table[:-1], out=total[1:])
         h = (total[ends] - total[starts]) * inverse[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -252,15 +252,18 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-_tables: list[np.ndarray] = []
+def _kept() -> dict:
+    """What this process keeps from task to task. Functions are shipped by value, so a module's own globals would not last."""
+    return sys.__dict__.setdefault("_strataline_kept", {})
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2 ** 64."""
-    if not _tables or len(_tables[0]) < n:
+    tables = _kept().get("powers")
+    if tables is None or len(tables[0]) < n:
         more = 1 << max(16, n.bit_length())
-        _tables[:] = [_power_table(b, more) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return _tables[0][:n], _tables[1][:n]
+        tables = _kept()["powers"] = [_power_table(b, more) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return tables[0][:n], tables[1][:n]
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -274,10 +277,10 @@ def _power_table(base: int, n: int) -> np.ndarray:
 
 def engine(path: str, with_ids: bool) -> WordBpe:
     """The engine of this worker process. It stays from task to task, with its bounded memory."""
-    kept = sys.__dict__.setdefault("_strataline_bpe", {})
-    if (path, with_ids) not in kept:
-        kept[path, with_ids] = WordBpe(path, with_ids)
-    return kept[path, with_ids]
+    key = ("bpe", path, with_ids)
+    if key not in _kept():
+        _kept()[key] = WordBpe(path, with_ids)
+    return _kept()[key]
 
 
 def chunks(texts: list, most: int = 1_500_000) -> Iterator[tuple[int, int]]:

@@ -410,7 +410,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with its smallest id. Documents without words, or without an id, stay."""
+    """One document of each component: the one with its smallest id. Documents without words, or without an id, stay, and so do all rows under an id that stays."""
     bounded(spark)
     found = jaccard_components(docs).select(F.col("doc_id").alias("__id"), "component_id", "n_shingles")
     lost = written(found.filter((F.col("n_shingles") > 0) & (F.col("__id") != F.col("component_id"))).select("__id").distinct(), "lost")

@@ -124,8 +124,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it."""
     plan = mixing_plan(sized_documents(docs))
-    out = with_copies(docs, plan, doc_hash(F.col("doc_id"))).filter("copies > 0")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
+    out = with_copies(rows, plan, F.col("hash")).filter("copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 OP10_SQL = r"""

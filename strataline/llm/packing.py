@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import chunks, engine
-from .common import table
+from .common import bounded, table
 from .token_counts import tokenizer_path
+from .workers import released
 
 _FLUSH = 4096
 
@@ -81,6 +82,7 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, doc_id
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(path, True)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40)
@@ -123,4 +125,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of the corpus, with their ids."""
+    bounded(spark)
     return pack(docs, tokenizer_path())

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workers import released
+
 SEGMENT_BITS = 20
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SCHEMA = "row int, segment int, cells binary"
@@ -82,6 +84,7 @@ class Repeated:
 def repeat_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Repeated:
     size = min(max(1, (1 << bits) // 8), 1 << (SEGMENT_BITS - 3))
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = None
         for batch in batches:
@@ -92,6 +95,7 @@ def repeat_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Repeated:
         if sketch:
             yield from sketch.parts()
 
+    @released
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -132,6 +136,7 @@ class Counts:
 def count_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Counts:
     size = 1 << min(bits, SEGMENT_BITS)
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = None
         for batch in batches:
@@ -144,6 +149,7 @@ def count_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Counts:
                 if (here := cells[k * size : (k + 1) * size]).any():
                     yield _row(row, k, _pack(here))
 
+    @released
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:

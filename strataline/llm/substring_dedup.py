@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from .common import table, text_or_empty, written
 from .sketches import Repeated, repeat_sketch
 from .words import TOP, Words, grams, sliding, words_of
+from .workers import released
 
 SIZE = 35
 GRAM = 8
@@ -151,6 +152,7 @@ def repeated_ranges(keyed: DataFrame, estimates: Repeated, size: int, gram: int)
     """k1, k2 and the ranges of words (end exclusive) that repeated windows cover, of rows (text, k1, k2)."""
     shared = keyed.sparkSession.sparkContext.broadcast((estimates.bits, estimates.twice))
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Repeated(*shared.value)
         for batch in batches:
@@ -158,6 +160,7 @@ def repeated_ranges(keyed: DataFrame, estimates: Repeated, size: int, gram: int)
             for a, b, words in words_of(batch.column(0), most=CHUNK):
                 yield from _send(words, k1[a:b], k2[a:b], known, size, gram)
 
+    @released
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
@@ -215,6 +218,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     found = found.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "ranges")
     joined = keyed.join(found, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select("doc_id", "text", "ranges")
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_kept(t, r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]

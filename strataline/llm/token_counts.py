@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .bpe import chunks, engine
 from .common import table
+from .workers import released
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +31,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     """Columns ``keep`` of df with n_bytes and n_tokens of each row's text, by the vocabulary file at path on every node."""
     fields = [df.schema[c] for c in keep]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(path, False)
         for batch in batches:

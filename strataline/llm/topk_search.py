@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .vectors import binary, matrix, usable
+from .workers import released
 
 K = 20
 SCALE = 64
@@ -178,6 +179,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
 def quantized(df: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, dim and q (whole numbers as raw doubles) of the rows that take part."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, rows in usable(batch.column(1)):

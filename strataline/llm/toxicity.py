@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import drop, table, written
+from .workers import released
 
 MAX_LABELLED = 20_000
 MAX_CANDIDATES = 50_000
@@ -251,6 +252,7 @@ def _features(text: str | None) -> dict[str, int]:
 def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """feature, n_docs and n_contexts of the texts; only: of these features."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[str, int] = {}
         seen: dict[str, set[int]] = {}
@@ -304,6 +306,7 @@ def learn(sample: DataFrame) -> ToxicityModel:
     terms = chosen_terms(toxic, clean, n_toxic, n_clean)
     blank = ToxicityModel(terms, [1.0] * len(terms), [1.0] * len(terms), {}, 0.0)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = blank.scorer()
         for batch in batches:
@@ -327,16 +330,17 @@ def learn(sample: DataFrame) -> ToxicityModel:
     return ToxicityModel(terms, *([above(pooled[Hit(k, edits)]) for k in range(len(terms))] for edits in (0, 1)), spelling, base)
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep`` of df with the score of each row's text."""
+def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """Columns ``keep`` of df with the score of each row's text under a name."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
             scores = pa.array([scorer.score(t) for t in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*keep, name])
 
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
     return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
 
 
@@ -355,5 +359,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below the threshold."""
-    out = score_toxicity(docs, model_for(docs, table(spark, sf_dir, "labels")), keep=tuple(docs.columns))
-    return out.filter(F.col("score") < THRESHOLD).drop("score")
+    out = score_toxicity(docs, model_for(docs, table(spark, sf_dir, "labels")), keep=tuple(docs.columns), name="__score")
+    return out.filter(F.col("__score") < THRESHOLD).drop("__score")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .workers import released
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = str.maketrans(_UPPER, _UPPER.lower())
@@ -76,7 +77,7 @@ class RuleTrie:
             ends[last] = (rule.text, rule.verdict)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """Rule text and verdict of the longest rule that fits, by host and path length together."""
+        """Rule text and verdict of the longest rule that fits, by host and path together."""
         best = None
         node = self.root
         parts = None
@@ -91,19 +92,16 @@ class RuleTrie:
 
     @staticmethod
     def _along(node: dict, parts: list[str], best):
+        """best, or what ends along the path. Hosts grow from call to call, so of equally long rules the longer host wins."""
         for part in parts:
             ends = node.get(True)
-            if ends:
-                for k in range(len(part) + 1) if len(part) < len(ends) else ():
-                    if (hit := ends.get(part[:k])) and (best is None or len(hit[0]) > len(best[0])):
-                        best = hit
-                if len(part) >= len(ends):
-                    for last, hit in ends.items():
-                        if part.startswith(last) and (best is None or len(hit[0]) > len(best[0])):
-                            best = hit
+            for k in range(len(part) + 1) if ends else ():
+                hit = ends.get(part[:k])
+                if hit and (best is None or len(hit[0]) >= len(best[0])):
+                    best = hit
             node = node.get(part)
             if node is None:
-                return best
+                break
         return best
 
 
@@ -132,6 +130,7 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tup
     fields = [df.schema[c] for c in keep]
     added = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths, texts, verdicts = [], [], [], []

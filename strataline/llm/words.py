@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from .bpe import _powers
+from .bpe import powers
 
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[9, 10, 11, 12, 13, 32]] = True
@@ -78,9 +78,9 @@ def _words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
     last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
     closes[last] = inside[last]
     ends = np.flatnonzero(closes) + 1
-    powers, inverse = _powers(n + 1)
+    table, inverse = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
+    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * table[:n], out=total[1:])
     hashes = mixed((total[ends] - total[starts]) * inverse[starts])
     return Words(hashes, starts, ends, data, np.searchsorted(starts, bounds[:-1]), np.searchsorted(starts, bounds[1:]))
 
@@ -90,9 +90,9 @@ def grams(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     n = len(hashes)
     if n < size:
         return np.empty(0, np.uint64)
-    powers, inverse = _powers(n + 1)
+    table, inverse = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((mixed(hashes, 1) if which else hashes) * powers[:n], out=total[1:])
+    np.cumsum((mixed(hashes, 1) if which else hashes) * table[:n], out=total[1:])
     return mixed((total[size:] - total[:-size]) * inverse[: n - size + 1], which)
 
 
