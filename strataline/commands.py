@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .operators.candidates import Split, evaluate_candidates, score_candidates
 from .operators.collection import Collection
 from .operators.panel import build_panel, select_universe, slice_panel
 from .operators.seeds import SEEDS
+from .plans.grammar import parse
 from .search.alignment import score_alignment
 from .search.client import Client
 from .search.rounds import Proposal, Search, run_search, test_round
@@ -43,8 +45,6 @@ def evaluate_seeds(spark: SparkSession, panel: str, output: str, client: Client,
     """The gate's decision on each seed, with its alignment scored by a model."""
     rows = spark.read.parquet(panel)
     expressions = {s.name: s.expression for s in SEEDS}
-    from .plans.grammar import parse
-
     programs = {name: parse(e) for name, e in expressions.items()}
     ic = {r["factor"]: r["ic"] for r in score_candidates(rows, programs, split)[2].filter(F.col("window") == gate.TRAIN).collect()}
     aligned = {s.name: score_alignment(client, model, s.rationale, s.expression, programs[s.name], ic.get(s.name)) for s in SEEDS}
@@ -55,8 +55,6 @@ def evaluate_seeds(spark: SparkSession, panel: str, output: str, client: Client,
 
 def seed_collection(spark: SparkSession, panel: str, collection: str, report: str, client: Client, model: str, split: Split = Split()) -> Search:
     """A new collection of those seeds that pass the gate and are novel."""
-    from .plans.grammar import parse
-
     state = Search(Collection(), {}, [], [])
     proposals = {s.name: Proposal(s.rationale, s.expression) for s in SEEDS}
     test_round(spark.read.parquet(panel), proposals, lambda n, p, ic: score_alignment(client, model, p.rationale, p.expression, parse(p.expression), ic), split, state)
@@ -90,3 +88,34 @@ def validation_report(spark: SparkSession, panel: str, collection: str, log: str
     found = {"dsr": asdict(overfitting.deflated_ratio(known.members, records, moments)), "pbo": asdict(pbo)}
     writers.write_json(spark, report, found)
     return found
+
+
+class Tier(NamedTuple):
+    """How much of the panel a run of the search takes; None: all of it."""
+
+    rounds: int
+    start: str | None = None
+    end: str | None = None
+    instruments: int | None = None
+    split: Split = Split()
+
+
+#: A smoke run, a medium run and the full one, each with its split.
+TIERS = {
+    1: Tier(1, "2020-01-02", "2020-02-07", 50, Split(("2020-01-02", "2020-01-21"), ("2020-01-22", "2020-01-24"))),
+    2: Tier(5, "2020-01-01", "2021-03-31", None, Split(("2020-01-01", "2020-12-31"), ("2021-01-01", "2021-03-31"))),
+    3: Tier(50),
+}
+
+
+def run_tier(spark: SparkSession, number: int, panel: str, folder: str, client: Client, generation_model: str, alignment_model: str) -> dict:
+    """Cut the panel to the tier, seed a collection, search, and report on overfitting; all files go to folder."""
+    tier = TIERS[number]
+    own = panel
+    if tier.start is not None:
+        own = f"{folder}/panel"
+        cut_panel(spark, panel, own, tier.start, tier.end, tier.instruments)
+    collection, log = f"{folder}/collection.json", f"{folder}/log.json"
+    seed_collection(spark, own, collection, f"{folder}/seeds.json", client, alignment_model, tier.split)
+    search(spark, own, collection, log, client, generation_model, alignment_model, tier.rounds, split=tier.split)
+    return validation_report(spark, own, collection, log, f"{folder}/report.json", tier.split)

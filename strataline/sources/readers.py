@@ -56,3 +56,9 @@ def match_registry(universe: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     known = registry.select(F.upper(F.trim("ticker")).alias("ticker"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik")).dropDuplicates(["ticker"])
     same = F.col("instrument") == F.col("ticker")
     return universe.join(known, same).select("instrument", "cik"), universe.join(known, same, "left_anti")
+
+
+def read_values(spark: SparkSession, path: str, factors: list[str] | None = None) -> DataFrame:
+    """(factor, datetime, instrument, value) of what write_values wrote; only the folders of the named ones are read."""
+    rows = spark.read.parquet(path)
+    return rows if factors is None else rows.filter(F.col("factor").isin(factors))
