@@ -39,10 +39,10 @@ def read_facts(spark: SparkSession, csv: str) -> DataFrame:
 
 
 def read_filings(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts from a folder of filing documents, <instrument>.json each."""
+    """Facts from a folder of filing documents, <instrument>.json each, the name quoted as in a url; Spark quotes it once more."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    return parse_facts(files.select(F.url_decode(name).alias("instrument"), F.col("value").alias("payload")))
+    return parse_facts(files.select(F.url_decode(F.url_decode(name)).alias("instrument"), F.col("value").alias("payload")))
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
