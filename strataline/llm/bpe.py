@@ -60,7 +60,7 @@ class Encoded(NamedTuple):
 class WordBpe:
     """The vocabulary of one file, and a bounded memory of the pre-tokens seen so far."""
 
-    def __init__(self, path: str, with_ids: bool, max_known: int = 1_500_000):
+    def __init__(self, path: str, with_ids: bool, max_known: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -283,7 +283,7 @@ def engine(path: str, with_ids: bool) -> WordBpe:
     return _kept()[key]
 
 
-def chunks(texts: list, most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters, one text at least."""
     begin = size = 0
     for k, text in enumerate(texts):

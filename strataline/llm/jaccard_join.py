@@ -68,7 +68,7 @@ BLOCK, AGAINST = 1000, 2000
 
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of texts with the hashes of their shingles, sorted and distinct within each text, and their numbers."""
-    for begin, end, words in words_of(texts, lower=True, most=1_000_000):
+    for begin, end, words in words_of(texts, lower=True, most=500_000):
         counts = words.after - words.first
         docs = np.repeat(np.arange(end - begin), counts)
         left = np.repeat(words.after, counts) - np.arange(len(words.hashes))

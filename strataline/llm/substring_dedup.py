@@ -44,7 +44,7 @@ GRAM = 8
 MAX_BITS = 26
 #: Cells of a sketch row for each byte of text: anchors are 7 of 100 words.
 CELLS_A_BYTE = 0.03
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 
 
 def sketch_bits(n_bytes: int) -> int:

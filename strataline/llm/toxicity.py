@@ -150,7 +150,7 @@ class ToxicityModel:
 class Scorer:
     """A model with its automaton and a bounded memory of words that don't hit."""
 
-    def __init__(self, model: ToxicityModel, max_known: int = 400_000):
+    def __init__(self, model: ToxicityModel, max_known: int = 150_000):
         self.model, self.automaton = model, LexiconAutomaton(model.terms)
         self.clean: set[str] = set()
         self.hits: dict[str, Hit] = {}
