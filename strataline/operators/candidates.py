@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from ..plans.compiler import EvalError, Plan, evaluate_many
 from ..plans.grammar import ParseError, Program, parse
 from .gate import TRAIN, VALIDATION, Thresholds, decide
-from .metrics import daily_series, long_values, window_metrics
+from .metrics import daily_figures, daily_series, long_values, window_metrics
 from .panel import LABEL
 
 
@@ -42,9 +42,8 @@ def checked(expressions: Mapping[str, str], max_nodes: int = 50) -> tuple[dict[s
 def score_candidates(panel: DataFrame, programs: Mapping[str, str | Program], split: Split, max_nodes: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Values (wide), daily series and window metrics of all candidates; values come from the whole panel, once."""
     wide = evaluate_many(panel, programs, keep=(LABEL,), max_nodes=max_nodes)
-    rows = long_values(wide, list(programs), split.windows())
-    daily = daily_series(rows)
-    return wide, daily, window_metrics(rows, daily)
+    figures = daily_figures(long_values(wide, list(programs), split.windows()))
+    return wide, daily_series(figures), window_metrics(figures)
 
 
 def evaluate_candidates(panel: DataFrame, programs: Mapping[str, str | Program], split: Split, alignment: float | DataFrame, thresholds: Thresholds = Thresholds(), max_nodes: int = 50) -> DataFrame:

@@ -10,12 +10,18 @@ from ..functions.missing import null_if_nan
 DATE = ("datetime",)
 
 
+def _ordered(by: tuple[str, ...], *order: Column) -> tuple:
+    """An ordered window and, of the same partitions and sort, the frames up to the last tie and over everything."""
+    window = Window.partitionBy(*by).orderBy(*order)
+    upto = window.rangeBetween(Window.unboundedPreceding, 0) if len(order) == 1 else None
+    return window, upto, window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def percent_rank(x: Column, by: tuple[str, ...] = DATE) -> Column:
-    """Average rank as a share of the values that are there."""
-    group = Window.partitionBy(*by, x.isNull())
-    ties = Window.partitionBy(*by, x)
-    place = F.rank().over(group.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
-    return F.when(x.isNotNull(), place / F.count(F.lit(1)).over(group))
+    """Average rank as a share of the values that are there: half of the first tie's place and the last one's."""
+    window, upto, everything = _ordered(by, x.asc_nulls_last())
+    place = (F.rank().over(window) + F.count(F.lit(1)).over(upto)) / F.lit(2.0)
+    return F.when(x.isNotNull(), place / F.count(x).over(everything))
 
 
 def zscore(x: Column, by: tuple[str, ...] = DATE) -> Column:
@@ -37,6 +43,6 @@ def neutralize(x: Column, group: Column, by: tuple[str, ...] = DATE) -> Column:
 
 def bucket(x: Column, n: int, by: tuple[str, ...] = DATE) -> Column:
     """1 to n by rank; ties go by instrument."""
-    group = Window.partitionBy(*by, x.isNull())
-    share = F.row_number().over(group.orderBy(x, "instrument")) / F.count(F.lit(1)).over(group).cast("double")
+    window, _, everything = _ordered(by, x.asc_nulls_last(), F.col("instrument"))
+    share = F.row_number().over(window) / F.count(x).over(everything).cast("double")
     return F.when(x.isNotNull(), F.least(F.greatest(F.ceil(share * n), F.lit(1)), F.lit(n)).cast("double"))

@@ -1,8 +1,11 @@
 """How well values foretell labels: daily correlations and what is made of them, for many expressions in one plan.
 
-Input is long: factor, window (which date range a row is in), datetime,
-instrument, value and label. Values are computed on the whole panel before it
-is cut into windows; only the lag of the stability metric stays within one.
+Values are computed on the whole panel before it is cut into windows; only the
+lag of the stability metric stays within one. Lags and label ranks are taken
+while there is a column for each expression, so they cost one exchange for all
+of them. Then rows become long, (factor, window, datetime, instrument), and one
+exchange serves the ranks and all daily figures. Everything else is made of the
+daily figures, a row for each factor and date.
 """
 
 from __future__ import annotations
@@ -21,57 +24,52 @@ KEYS = ("factor", "window")
 
 
 def long_values(wide: DataFrame, factors: list[str], windows: Mapping[str, tuple[str, str]], label: str = LABEL) -> DataFrame:
-    """Rows of wide (one column for each factor) by factor and window; windows are closed date ranges and may overlap."""
+    """Rows of wide (one column for each factor) by factor and window; windows are closed date ranges and may overlap.
+
+    Beside value and label: before, the instrument's previous value within the
+    window, and label_rank.
+    """
     within = [F.when(F.col("datetime").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(name)) for name, (a, b) in windows.items()]
-    rows = wide.withColumn("window", F.explode(F.array_compact(F.array(*within))))
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("value")) for f in factors]))
-    rows = rows.select("window", "datetime", "instrument", F.col(label).cast("double").alias("label"), values.alias("f"))
-    return rows.select("f.factor", "window", "datetime", "instrument", "f.value", "label")
+    rows = wide.select("datetime", "instrument", F.col(label).cast("double").alias("label"), F.struct(*factors).alias("v"), F.explode(F.array_compact(F.array(*within))).alias("window"))
+    before = F.lag("v").over(Window.partitionBy("window", "instrument").orderBy("datetime"))
+    rows = rows.withColumn("before", before)
+    rows = rows.withColumn("label_rank", percent_rank(F.col("label"), ("window", "datetime")))
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"v.{f}").alias("value"), F.col(f"before.{f}").alias("before")) for f in factors]))
+    rows = rows.select("window", "datetime", "instrument", "label", "label_rank", values.alias("f"))
+    return rows.select("f.factor", "window", "datetime", "instrument", "f.value", "f.before", "label", "label_rank")
 
 
-def daily_series(rows: DataFrame) -> DataFrame:
-    """factor, window, datetime, daily_ic and daily_rank_ic, for the dates that have a complete pair."""
+def daily_figures(rows: DataFrame) -> DataFrame:
+    """factor, window, datetime, daily_ic, daily_rank_ic, daily_lag1, and the numbers of rows, values and complete pairs."""
     by = (*KEYS, "datetime")
-    ranked = rows.withColumns({"rv": percent_rank(F.col("value"), by), "rl": percent_rank(F.col("label"), by)})
-    pairs = ranked.filter("value is not null and label is not null")
-    return pairs.groupBy(*by).agg(pearson(F.col("value"), F.col("label")).alias("daily_ic"), pearson(F.col("rv"), F.col("rl")).alias("daily_rank_ic"))
-
-
-def lag1_stability(rows: DataFrame) -> DataFrame:
-    """Mean over dates of the correlation with the instrument's previous value within the window."""
-    before = F.lag("value").over(Window.partitionBy(*KEYS, "instrument").orderBy("datetime"))
-    pairs = rows.withColumn("before", before).filter("value is not null and before is not null")
-    daily = pairs.groupBy(*KEYS, "datetime").agg(pearson(F.col("value"), F.col("before")).alias("r"))
-    return daily.groupBy(*KEYS).agg(F.avg("r").alias("lag1_autocorr"))
-
-
-def daily_aggregates(daily: DataFrame) -> DataFrame:
-    """Mean and deviation of both daily series, and their ratio."""
-    out = daily.groupBy(*KEYS).agg(
-        F.avg("daily_ic").alias("ic"), F.stddev_samp("daily_ic").alias("ic_std"),
-        F.avg("daily_rank_ic").alias("rank_ic"), F.stddev_samp("daily_rank_ic").alias("rank_ic_std"),
-        F.count("daily_ic").alias("days"),
+    value, label = F.col("value"), F.col("label")
+    ranked = rows.withColumn("value_rank", percent_rank(value, by))
+    return ranked.groupBy(*by).agg(
+        pearson(value, label).alias("daily_ic"), pearson(F.col("value_rank"), F.col("label_rank")).alias("daily_rank_ic"), pearson(value, F.col("before")).alias("daily_lag1"),
+        F.count(F.lit(1)).alias("rows"), F.count(value).alias("values"), F.count(F.when(label.isNotNull(), value)).alias("pairs"),
     )
-    return out.withColumn("icir", F.when(F.col("days") >= 2, F.try_divide("ic", "ic_std"))).drop("days")
 
 
-def monthly_robustness(daily: DataFrame) -> DataFrame:
-    """Share of months whose mean has the sign of the window's; months without a value miss it."""
-    months = daily.groupBy(*KEYS, F.trunc("datetime", "month").alias("month")).agg(F.avg("daily_ic").alias("m"), F.sum("daily_ic").alias("s"), F.count("daily_ic").alias("n"))
-    ic = F.try_divide(F.sum("s").over(Window.partitionBy(*KEYS)), F.sum("n").over(Window.partitionBy(*KEYS)).cast("double"))
-    months = months.withColumn("ic", ic)
-    same = F.coalesce((F.signum("m") == F.signum("ic")).cast("double"), F.lit(0.0))
-    return months.groupBy(*KEYS).agg(F.avg(F.when(F.col("ic") != 0, same)).alias("monthly_robustness"))
-
-
-def coverage(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEYS).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
-
-
-def window_metrics(rows: DataFrame, daily: DataFrame | None = None) -> DataFrame:
-    """One row per factor and window with all METRICS."""
-    daily = daily_series(rows) if daily is None else daily
-    out = coverage(rows)
-    for part in (daily_aggregates(daily), lag1_stability(rows), monthly_robustness(daily)):
-        out = out.join(part, list(KEYS), "left")
-    return out.select(*KEYS, *METRICS)
+def daily_series(figures: DataFrame) -> DataFrame:
+    """factor, window, datetime, daily_ic and daily_rank_ic, for the dates that have a complete pair."""
+    return figures.filter("pairs > 0").select(*KEYS, "datetime", "daily_ic", "daily_rank_ic")
+
+
+def window_metrics(figures: DataFrame) -> DataFrame:
+    """One row per factor and window with all METRICS.
+
+    The ratio needs two days with a value. Robustness is the share of months
+    whose mean has the sign of the window's; of the months that have a complete
+    pair, those without a value miss it.
+    """
+    whole, month = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS, "month")
+    days = figures.withColumn("month", F.when(F.col("pairs") > 0, F.trunc("datetime", "month")))
+    days = days.withColumns({"m": F.avg("daily_ic").over(month), "first": F.min("datetime").over(month) == F.col("datetime"), "w": F.avg("daily_ic").over(whole)})
+    same = F.coalesce((F.signum("m") == F.signum("w")).cast("double"), F.lit(0.0))
+    counted = F.col("first") & F.col("month").isNotNull() & (F.col("w") != 0)
+    out = days.groupBy(*KEYS).agg(
+        F.avg("daily_ic").alias("ic"), F.stddev_samp("daily_ic").alias("ic_std"), F.avg("daily_rank_ic").alias("rank_ic"), F.stddev_samp("daily_rank_ic").alias("rank_ic_std"),
+        F.count("daily_ic").alias("days"), F.avg("daily_lag1").alias("lag1_autocorr"), F.avg(F.when(counted, same)).alias("monthly_robustness"),
+        F.try_divide(F.sum("values").cast("double"), F.sum("rows")).alias("coverage"),
+    )
+    return out.withColumn("icir", F.when(F.col("days") >= 2, F.try_divide("ic", "ic_std"))).select(*KEYS, *METRICS)

@@ -233,11 +233,6 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return score_candidates(testbed.market(spark, sf_dir), FACTORS, testbed.SPLIT)
 
 
-def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = evaluate_many(testbed.market(spark, sf_dir), FACTORS, keep=(panel.LABEL,))
-    return metrics.long_values(wide, list(FACTORS), testbed.SPLIT.windows())
-
-
 def _metric(name: str, sql: str, columns: tuple[str, ...], part) -> None:
     listed = ", ".join(c if c == "datetime" else f"round({c}, {PLACES}) + 0.0 AS {c}" for c in columns)
     register(name, _sql(f"SELECT factor, w AS \"window\", {listed} FROM {sql}", _FACTORS_SQL.strip()))(lambda spark, sf: _rounded(part(spark, sf).select("factor", "window", *columns)))
@@ -246,9 +241,8 @@ def _metric(name: str, sql: str, columns: tuple[str, ...], part) -> None:
 _metric("daily_ic", "daily", ("datetime", "daily_ic"), lambda s, d: _scored(s, d)[1])
 _metric("daily_rank_ic", "daily", ("datetime", "daily_rank_ic"), lambda s, d: _scored(s, d)[1])
 _metric("window_metrics", "metrics", metrics.METRICS, lambda s, d: _scored(s, d)[2])
-_metric("lag1_stability", "lag1", ("lag1_autocorr",), lambda s, d: metrics.lag1_stability(_long(s, d)))
-_metric("monthly_robustness", "monthly", ("monthly_robustness",), lambda s, d: metrics.monthly_robustness(metrics.daily_series(_long(s, d))))
-_metric("coverage", "covered", ("coverage",), lambda s, d: metrics.coverage(_long(s, d)))
+for _name, _from, _column in (("lag1_stability", "lag1", "lag1_autocorr"), ("monthly_robustness", "monthly", "monthly_robustness"), ("coverage", "covered", "coverage")):
+    _metric(_name, _from, (_column,), lambda s, d: _scored(s, d)[2])
 
 
 def _gate_sql() -> str:

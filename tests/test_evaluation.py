@@ -41,14 +41,24 @@ def test_seeds_end_to_end(panel):
 
 
 def test_metrics_by_hand(spark):
-    rows = [("f", "w", dt.date(2020, 1 + d // 2, 1 + d), i, v, y) for d, day in enumerate([[(1, 1), (2, 2), (3, 4)], [(1, 3), (2, 2), (3, 1)], [(1, 1), (1, 2), (None, 3)]]) for i, (v, y) in zip("abc", day, strict=True)]
-    df = spark.createDataFrame([(f, w, d, i, None if v is None else float(v), float(y)) for f, w, d, i, v, y in rows], "factor string, window string, datetime date, instrument string, value double, label double")
-    daily = [r["daily_ic"] for r in metrics.daily_series(df).orderBy("datetime").collect()]
+    days = [(1, [(1, 1), (2, 2), (3, 4)]), (2, [(1, 3), (2, 2), (3, 1)]), (33, [(1, 1), (1, 2), (None, 3)]), (34, [(1, None), (2, None), (3, None)])]
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(d), i, None if v is None else float(v), None if y is None else float(y)) for d, pairs in days for i, (v, y) in zip("abc", pairs, strict=True)]
+    wide = spark.createDataFrame(rows, "datetime date, instrument string, f double, y double")
+    figures = metrics.daily_figures(metrics.long_values(wide, ["f"], {"w": ("2020-01-01", "2020-12-31")}, "y"))
+    daily = [r["daily_ic"] for r in metrics.daily_series(figures).orderBy("datetime").collect()]
     assert daily == [pytest.approx(0.9819805), pytest.approx(-1.0), None]
-    one = metrics.window_metrics(df).first()
-    assert one["ic"] == pytest.approx((0.9819805 - 1) / 2) and one["coverage"] == pytest.approx(8 / 9)
-    assert one["monthly_robustness"] == 0.5  # the second month has no value and misses
-    assert one["lag1_autocorr"] == pytest.approx(1.0)  # the third day's values don't vary
+    one = metrics.window_metrics(figures).first()
+    assert one["ic"] == pytest.approx((0.9819805 - 1) / 2) and one["coverage"] == pytest.approx(11 / 12)
+    assert one["monthly_robustness"] == 0.5  # February has a pair but no value, and misses
+    assert one["lag1_autocorr"] == pytest.approx(1.0)  # on the third day values don't vary, on the fourth two have no predecessor that does
+
+
+def test_metrics_stay_within_their_window(spark):
+    rows = [(dt.date(2020, 1, d), i, float(d * k), float(k)) for d in range(1, 9) for k, i in enumerate("abc", 1)]
+    wide = spark.createDataFrame(rows, "datetime date, instrument string, f double, y double")
+    long = metrics.long_values(wide, ["f"], {"w": ("2020-01-03", "2020-01-05"), "v": ("2020-01-05", "2020-01-06")}, "y")
+    assert long.count() == 15 and long.filter("before is null").count() == 6
+    assert {r["window"]: r["coverage"] for r in metrics.window_metrics(metrics.daily_figures(long)).collect()} == {"w": 1.0, "v": 1.0}
 
 
 def _metric_rows(spark, train, validation):
