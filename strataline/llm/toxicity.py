@@ -4,8 +4,9 @@ The lexicon is learned from labelled rows: words, and stems with any ending,
 that stand in toxic documents and in varied places, but hardly in others. A
 trie of its terms is run together with the automata of one edit, as one
 deterministic automaton that is built as far as words reach it. Each hit has a
-probability, learned by term, edits and (where it was seen often enough) the
-very spelling. A window of words around it tells quotation, which takes most of
+probability, learned by term and, for exact hits, by whether one word of the
+text or several are the term; for words one edit away by the very spelling
+where it was seen often enough. A window of words around it tells quotation, which takes most of
 the weight, from abuse. The score is one minus the product of what the hits
 leave; labels, languages, sources and ids are no inputs.
 
@@ -19,7 +20,9 @@ document with several labels counts as toxic if one says so.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -41,9 +44,11 @@ THRESHOLD = 0.3
 FUZZY_FROM = 5
 #: Features are words and their first so many letters.
 STEMS = range(4, 8)
-MIN_PRECISION = 0.95
-#: Different words before a term; copies of one passage have few.
-MIN_CONTEXTS = 8
+MIN_PRECISION = 0.85
+#: How unlikely a term's toxic documents have to be by chance. Only those with different words before the
+#: term count, so many at most: copies of one passage count once.
+BY_CHANCE = 1e-7
+CONTEXTS = 16
 PRIOR_FUZZY = 0.9
 WINDOW = 6
 QUOTED = 0.3
@@ -138,9 +143,9 @@ class LexiconAutomaton:
 
 
 class ToxicityModel:
-    """Terms and probabilities; exact and fuzzy by term, spelling where it is known."""
+    """Terms and probabilities: of a term's exact hits by how many different words hit (1, or 2 and more), of words one edit away by term, or by word where it is known."""
 
-    def __init__(self, terms: list[Term], exact: list[float], fuzzy: list[float], spelling: dict[str, float], base: float):
+    def __init__(self, terms: list[Term], exact: list[tuple[float, float]], fuzzy: list[float], spelling: dict[str, float], base: float):
         self.terms, self.exact, self.fuzzy, self.spelling, self.base = terms, exact, fuzzy, spelling, base
 
     def scorer(self) -> Scorer:
@@ -172,19 +177,20 @@ class Scorer:
                 self.clean.add(w)
         return out
 
-    def probability(self, word: str, hit: Hit) -> float:
-        if word in self.model.spelling:
-            return self.model.spelling[word]
-        return (self.model.fuzzy if hit.edits else self.model.exact)[hit.term]
-
     def score(self, text: str | None) -> float:
         left = 1 - self.model.base
         text = (text or "").lower()
         found = self.spellings(text)
         if found:
             weights = contexts(text, found)
+            exact: dict[int, list[str]] = {}
             for w, hit in found.items():
-                left *= 1 - self.probability(w, hit) * weights[w]
+                if hit.edits:
+                    left *= 1 - self.model.spelling.get(w, self.model.fuzzy[hit.term]) * weights[w]
+                else:
+                    exact.setdefault(hit.term, []).append(w)
+            for term, own in exact.items():
+                left *= 1 - self.model.exact[term][len(own) > 1] * max(weights[w] for w in own)
         return 1 - left
 
 
@@ -261,7 +267,7 @@ def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
                 for f, h in _features(text).items():
                     if only is None or f in only:
                         docs[f] = docs.get(f, 0) + 1
-                        if len(own := seen.setdefault(f, set())) < MIN_CONTEXTS:
+                        if len(own := seen.setdefault(f, set())) < CONTEXTS:
                             own.add(h)
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array([list(seen[f]) for f in docs], pa.list_(pa.int64()))], ["feature", "n", "contexts"])
@@ -270,12 +276,24 @@ def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n").alias("n_docs"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("n_contexts"))
 
 
-def chosen_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, max_terms: int = MAX_TERMS) -> list[Term]:
-    """Terms among counted features: precise words, and stems whose endings vary."""
+def unlikely(toxic: int, clean: int, rate: float) -> float:
+    """Minus the logarithm of a bound (Chernoff's) on the chance of so many toxic documents among all that have a term."""
+    n = toxic + clean
+    share = toxic / n
+    if share <= rate:
+        return 0.0
+    rest = (1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+    return n * (share * math.log(share / rate) + rest)
+
+
+def chosen_terms(toxic: dict[str, int], contexts: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, max_terms: int = MAX_TERMS) -> list[Term]:
+    """Terms among counted features: words that are precise beyond chance, and such stems whose endings vary."""
+    rate = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
 
     def precise(f: str) -> bool:
         a, b = toxic[f] / max(n_toxic, 1), (clean.get(f, 0) + 0.5) / max(n_clean, 1)
-        return a / (a + b) >= MIN_PRECISION
+        varied = min(toxic[f], contexts[f])
+        return a / (a + b) >= MIN_PRECISION and unlikely(varied, clean.get(f, 0), rate) >= -math.log(BY_CHANCE)
 
     good = sorted((f for f in toxic if precise(f)), key=lambda f: (-toxic[f], f))
     words = [f[:-1] for f in good if f[-1] == "$"]
@@ -300,34 +318,48 @@ def learn(sample: DataFrame) -> ToxicityModel:
     if not n_toxic:
         return ToxicityModel([], [], [], {}, 0.0)
     least = max(3, round(0.01 * n_toxic))
-    found = _counted(sample.filter("toxic = 1")).filter((F.col("n_docs") >= least) & (F.col("n_contexts") >= min(MIN_CONTEXTS, least)))
-    toxic = {r["feature"]: r["n_docs"] for r in found.orderBy(F.desc("n_docs"), "feature").limit(MAX_CANDIDATES).collect()}
+    found = _counted(sample.filter("toxic = 1")).filter((F.col("n_docs") >= least) & (F.col("n_contexts") >= 3))
+    found = found.orderBy(F.desc("n_docs"), "feature").limit(MAX_CANDIDATES).collect()
+    toxic, contexts = ({r["feature"]: min(r[c], r["n_docs"]) for r in found} for c in ("n_docs", "n_contexts"))
     clean = {r["feature"]: r["n_docs"] for r in _counted(sample.filter("toxic = 0"), frozenset(toxic)).collect()}
-    terms = chosen_terms(toxic, clean, n_toxic, n_clean)
-    blank = ToxicityModel(terms, [1.0] * len(terms), [1.0] * len(terms), {}, 0.0)
+    terms = chosen_terms(toxic, contexts, clean, n_toxic, n_clean)
+    blank = ToxicityModel(terms, [(1.0, 1.0)] * len(terms), [1.0] * len(terms), {}, 0.0)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text: its terms with the number of words that are one of them (word null), its words one edit away, or a row without a term."""
         scorer = blank.scorer()
         for batch in batches:
-            rows = [(w, h.term, h.edits, int(y)) for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w, h in (scorer.spellings((text or "").lower()) or {"": Hit(-1, 0)}).items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64(), pa.int64())], ["word", "term", "edits", "toxic"])
-
-    hits = sample.select("text", "toxic").mapInArrow(run, "word string, term long, edits long, toxic long")
-    by = hits.groupBy("word", "term", "edits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    by = by.groupBy("term", "edits", F.when(F.col("n") >= 5, F.col("word")).alias("word")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+            rows: list[tuple[str | None, int, int, int]] = []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = scorer.spellings((text or "").lower())
+                exact = Counter(h.term for h in found.values() if not h.edits)
+                rows += [(None, term, min(n, 2), int(y)) for term, n in exact.items()]
+                rows += [(w, h.term, 0, int(y)) for w, h in found.items() if h.edits]
+                rows += [] if found else [(None, -1, 0, int(y))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "term", "words", "toxic"])
+
+    hits = sample.select("text", "toxic").mapInArrow(run, "word string, term long, words long, toxic long")
+    by = hits.groupBy("word", "term", "words").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    by = by.groupBy("term", "words", F.when(F.col("n") >= 5, F.col("word")).alias("word")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     rows = by.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(MAX_SPELLINGS).collect()
     base_rate = n_toxic / (n_toxic + n_clean)
-    above = lambda p: max(0.0, (p - base_rate) / (1 - base_rate))
-    pooled: dict[Hit, float] = {}
-    for k in range(len(terms)):
-        for edits, prior in enumerate((MIN_PRECISION, PRIOR_FUZZY)):
-            own = [r for r in rows if (r["term"], r["edits"]) == (k, edits)]
-            pooled[Hit(k, edits)] = (sum(r["t"] for r in own) + 2 * prior) / (sum(r["n"] for r in own) + 2)
-    spelling = {r["word"]: above((r["t"] + 2 * pooled[r["term"], r["edits"]]) / (r["n"] + 2)) for r in rows if r["term"] >= 0 and r["word"] is not None}
-    none = [r for r in rows if r["term"] < 0]
-    base = min(0.2, sum(r["t"] for r in none) / max(1, sum(r["n"] for r in none)))
-    return ToxicityModel(terms, *([above(pooled[Hit(k, edits)]) for k in range(len(terms))] for edits in (0, 1)), spelling, base)
+
+    def above(t: int, n: int, prior: float) -> float:
+        """A share, drawn to its prior, beyond what the rate of toxic documents explains."""
+        return max(0.0, ((t + 2 * prior) / (n + 2) - base_rate) / (1 - base_rate))
+
+    def pooled(term: int, words: int) -> tuple[int, int]:
+        own = [r for r in rows if (r["term"], r["words"]) == (term, words)]
+        return sum(r["t"] for r in own), sum(r["n"] for r in own)
+
+    exact = [tuple(above(*pooled(k, words), MIN_PRECISION) for words in (1, 2)) for k in range(len(terms))]
+    counts = [pooled(k, 0) for k in range(len(terms))]
+    shares = [(t + 2 * PRIOR_FUZZY) / (n + 2) for t, n in counts]
+    spelling = {r["word"]: above(r["t"], r["n"], shares[r["term"]]) for r in rows if r["word"] is not None}
+    t, n = pooled(-1, 0)
+    return ToxicityModel(terms, exact, [above(t, n, PRIOR_FUZZY) for t, n in counts], spelling, min(0.2, t / max(1, n)))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
