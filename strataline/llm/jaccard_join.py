@@ -48,7 +48,7 @@ from .common import bounded, drop, table, written
 from .components import components
 from .sketches import Counts, Repeated, count_sketch, repeat_sketch
 from .words import grams, mixed, words_of
-from .workers import released
+from .workers import give_back, released
 
 WORDS = 5
 PERCENT = 75
@@ -355,6 +355,7 @@ def jaccard_links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     bits = min(MAX_COUNT_BITS, max(12, math.ceil(math.log2(max(1, n_elements)))))
     counts = count_sketch(active.select("elements"), lambda batch: [np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)], bits)
     counts = context.broadcast((counts.bits, counts.cells))
+    give_back()
     sets = written(_ranked_sets(active, counts, percent), "sets")
     drop(active)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workers import released
+from .workers import give_back, released
 
 SEGMENT_BITS = 20
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -112,8 +112,9 @@ def repeat_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Repeated:
 
     parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
     twice = np.zeros((len(_ROWS), max(1, (1 << bits) // 8)), np.uint8)
-    for r in parts.collect():  # 2 * 2 ** bits bits at most
+    for r in parts.toLocalIterator():  # 2 * 2 ** bits bits at most, a partition at a time
         twice[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+    give_back()
     return Repeated(bits, twice)
 
 
@@ -162,6 +163,7 @@ def count_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Counts:
 
     parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
     cells = np.zeros((len(_ROWS), 1 << bits), np.uint8)
-    for r in parts.collect():  # 2 * 2 ** bits bytes at most
+    for r in parts.toLocalIterator():  # 2 * 2 ** bits bytes at most, a partition at a time
         cells[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+    give_back()
     return Counts(bits, cells)
