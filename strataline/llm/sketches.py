@@ -8,17 +8,22 @@ number of cells, which bounds what is sent to the driver and broadcast as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .workers import give_back, released
 
 SEGMENT_BITS = 20
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_SCHEMA = "row int, segment int, cells binary"
+_SCHEMA = "salt long, row int, segment int, cells binary"
+_NAMES = ["salt", "row", "segment", "cells"]
+FAN_IN = 256
 
 #: The 64-bit hashes to count in a batch, in pieces.
 Hashes = Callable[[pa.RecordBatch], Iterable[np.ndarray]]
@@ -28,8 +33,37 @@ def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (hashes * _ROWS[row]) >> np.uint64(64 - bits)
 
 
-def _row(row: int, segment: int, cells: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([cells], pa.binary())], ["row", "segment", "cells"])
+def _row(salt: int, row: int, segment: int, cells: bytes) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((salt, row, segment, cells), kinds, strict=True)], _NAMES)
+
+
+def _tasks(df: DataFrame) -> int:
+    """How many tasks read df; a plan that shuffles isn't run to learn it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
+def _merged(parts: DataFrame, tasks: int, shape: tuple[int, ...], join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """One row for each row and segment of the sketches of so many tasks; join merges two pieces."""
+
+    @released
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            for salt, row, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = _unpack(data, shape)
+                whole[salt, row, k] = join(whole[salt, row, k], new) if (salt, row, k) in whole else new
+        for key, own in whole.items():
+            yield _row(*key, _pack(own))
+
+    while tasks > FAN_IN:
+        tasks = math.ceil(tasks / FAN_IN)
+        salted = parts.withColumn("salt", F.pmod("salt", F.lit(tasks)))
+        parts = salted.repartition(max(16, tasks), "salt", "row", "segment").mapInArrow(merge, _SCHEMA)
+    last = parts.withColumn("salt", F.lit(0).cast("long"))
+    return last.repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
 
 
 def _pack(cells: np.ndarray) -> bytes:
@@ -64,7 +98,7 @@ class RepeatSketch:
             for k in range(self.seen.shape[2] // size):
                 here = planes[:, k * size : (k + 1) * size]
                 if here[0].any():
-                    yield _row(row, k, _pack(here))
+                    yield _row(TaskContext.get().partitionId(), row, k, _pack(here))
 
 
 class Repeated:
@@ -95,25 +129,13 @@ def repeat_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Repeated:
         if sketch:
             yield from sketch.parts()
 
-    @released
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = _unpack(data, (2, size))
-                if (row, k) in whole:
-                    own = whole[row, k]
-                    own[1] |= new[1] | (own[0] & new[0])
-                    own[0] |= new[0]
-                else:
-                    whole[row, k] = new
-        for (row, k), own in whole.items():
-            yield _row(row, k, own[1].tobytes())
-
-    parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
+    def join(own: np.ndarray, new: np.ndarray) -> np.ndarray:
+        return np.stack((own[0] | new[0], own[1] | new[1] | (own[0] & new[0])))
+
+    parts = _merged(df.mapInArrow(count, _SCHEMA), _tasks(df), (2, size), join)
     twice = np.zeros((len(_ROWS), max(1, (1 << bits) // 8)), np.uint8)
     for r in parts.toLocalIterator():  # 2 * 2 ** bits bits at most, a partition at a time
-        twice[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+        twice[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = _unpack(r["cells"], (2, size))[1]
     give_back()
     return Repeated(bits, twice)
 
@@ -148,22 +170,14 @@ def count_sketch(df: DataFrame, hashes: Hashes, bits: int) -> Counts:
         for row, cells in enumerate(sketch.cells) if sketch else ():
             for k in range(len(cells) // size):
                 if (here := cells[k * size : (k + 1) * size]).any():
-                    yield _row(row, k, _pack(here))
+                    yield _row(TaskContext.get().partitionId(), row, k, _pack(here))
 
-    @released
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = _unpack(data, (size,))
-                own = whole.get((row, k))
-                whole[row, k] = new if own is None else np.minimum(own.astype(np.uint16) + new, 255).astype(np.uint8)
-        for (row, k), own in whole.items():
-            yield _row(row, k, own.tobytes())
-
-    parts = df.mapInArrow(count, _SCHEMA).repartition(16, "row", "segment").mapInArrow(merge, _SCHEMA)
+    def join(own: np.ndarray, new: np.ndarray) -> np.ndarray:
+        return np.minimum(own.astype(np.uint16) + new, 255).astype(np.uint8)
+
+    parts = _merged(df.mapInArrow(count, _SCHEMA), _tasks(df), (size,), join)
     cells = np.zeros((len(_ROWS), 1 << bits), np.uint8)
     for r in parts.toLocalIterator():  # 2 * 2 ** bits bytes at most, a partition at a time
-        cells[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
+        cells[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = _unpack(r["cells"], (size,))
     give_back()
     return Counts(bits, cells)

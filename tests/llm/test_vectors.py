@@ -119,3 +119,21 @@ def test_components(spark):
             want[a] = want[b] = low
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: y for x, y in want.items() if any(x in link and link[0] != link[1] for link in links)}
+
+
+@pytest.mark.parametrize("fan_in", [256, 2])
+def test_sketches_are_merged_from_all_tasks(spark, monkeypatch, fan_in):
+    from strataline.llm import sketches
+    from strataline.llm.words import mixed
+
+    monkeypatch.setattr(sketches, "FAN_IN", fan_in)
+    rng = np.random.default_rng(8)
+    plain = rng.integers(0, 3000, 5000)
+    df = spark.createDataFrame([(int(x),) for x in plain], "x long").repartition(9)
+    hashes = lambda batch: [mixed(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1))]
+    values, counts = np.unique(plain, return_counts=True)
+    own = mixed(values.astype(np.uint64) + np.uint64(1))
+    for bits in (8, 12, 21):
+        repeated, counted = sketches.repeat_sketch(df, hashes, bits)(own), sketches.count_sketch(df, hashes, bits)(own)
+        assert repeated[counts > 1].all() and (counted >= np.minimum(counts, 255)).all()
+        assert bits < 21 or ((repeated == (counts > 1)).mean() > 0.99 and (counted == counts).mean() > 0.99)
