@@ -259,15 +259,28 @@ def adjacency(members: DataFrame) -> DataFrame:
     return edges.groupBy("node").agg(F.collect_set("near").alias("near"))
 
 
-_FOUND = "node long, links long, least long"
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, the smallest place of each place's component, after the components of a[i] and b[i] are one for each i."""
+    label = label.copy()
+    while len(a):
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+    return label
+
+
+_FOUND = "node long, links long, root long"
 
 
 def found_links(members: DataFrame, edges: DataFrame, cosine: float, everything: bool = False) -> DataFrame:
-    """node, links (vectors linked in one part) and least (the smallest linked node there) of each query that has some."""
+    """node, links (vectors linked in one part, for a query) and root (the smallest node that the links of a task connect it to) of each node with links."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _table(node=pa.array([], pa.int64()), links=pa.array([], pa.int64()), least=pa.array([], pa.int64()))
+            return _table(node=pa.array([], pa.int64()), links=pa.array([], pa.int64()), root=pa.array([], pa.int64()))
         left = left.sort_by("node")
         ids, v, copies = left.column("node").to_numpy(), matrix(left.column("v")), left.column("copies").to_numpy()
         lists = left.column("near").combine_chunks()
@@ -282,23 +295,21 @@ def found_links(members: DataFrame, edges: DataFrame, cosine: float, everything:
         own = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
         own = np.where(ids[own] == query_ids, own, -1)
         starts = np.arange(len(ids)) if everything else medoids(v)
-        q, p = [], []
+        every = np.union1d(ids, query_ids)
+        place, query_place = np.searchsorted(every, ids), np.searchsorted(every, query_ids)
+        links, root = np.zeros(len(every), np.int64), np.arange(len(every))
         for a in range(0, len(queries), SEARCH):
             b = slice(a, a + SEARCH)
             if everything:
                 x, y = np.nonzero(queries[b] @ v.T >= cosine)
             else:
                 x, y = range_search(v, edges, starts, queries[b], cosine, own[b])
-            q.append(x + a)
-            p.append(y)
-        q, p = np.concatenate(q), np.concatenate(p)
-        other = query_ids[q] != ids[p]
-        q, p = q[other], p[other]
-        links = np.bincount(q, copies[p], len(queries)).astype(np.int64)
-        least = np.full(len(queries), np.iinfo(np.int64).max)
-        np.minimum.at(least, q, ids[p])
-        some = links > 0
-        return _table(node=query_ids[some], links=links[some], least=least[some])
+            p, q = place[y], query_place[b][x]
+            other = q != p
+            np.add.at(links, q[other], copies[y[other]])
+            root = united(root, q[other], p[other])
+        some = (links > 0) | (root != np.arange(len(every)))
+        return _table(node=every[some], links=links[some], root=every[root[some]])
 
     near = edges.select(F.col("node").alias("n2"), "near")
     held = members.join(near, F.col("node") == F.col("n2"), "left").select("node", "v", "copies", F.coalesce("near", F.array().cast("array<long>")).alias("near"), *_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -360,10 +371,10 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id
     edges = written(adjacency(members), "edges")
     for everything in (False, True):
         found = written(found_links(members, edges, cosine, everything), "found")
-        links = written(found.groupBy("node").agg(F.sum("links").alias("n"), F.min("least").alias("least")), "links")
+        links = written(found.groupBy("node").agg(F.sum("links").alias("n")), "links")
         if everything or audit(nodes, links, cosine) >= MIN_RECALL:
             break
-    labels = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(links.select(F.col("node").alias("n2"), "n"), F.col("node") == F.col("n2"), "left").drop("n2")
     known = known.join(labels.select(F.col("node").alias("n2"), F.col("label").alias("component")), F.col("node") == F.col("n2"), "left")
     known = written(known.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "known")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,6 +69,18 @@ def test_a_failed_audit_compares_everything(vectors, monkeypatch):
     assert all(links[i] == len(x) for i, x in near.items())
 
 
+@pytest.mark.parametrize("shard", [4096, 4])
+def test_chains_with_shuffled_ids_are_one_component(spark, monkeypatch, shard):
+    monkeypatch.setattr(flat_graph, "BLOCK", 5)
+    rng = random.Random(3)
+    turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    rows = [(i, turn(10 * k), 0) for k, i in enumerate((1, 5, 6, 2))]
+    rows += [(100 + i, turn(11 * k), 1) for k, i in enumerate(rng.sample(range(30), 30))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in flat_graph.with_all_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=shard).collect()}
+    near, label = plain_links(rows)
+    assert got == {i: (len(near[i]), label[i]) for i in near} and set(label.values()) == {1, 100}
+
+
 def test_range_search_from_medoids_alone():
     rng = np.random.default_rng(1)
     v = flat_graph._unit(np.concatenate((rng.normal(size=(500, 8)), rng.normal(size=8) + 0.05 * rng.normal(size=(100, 8)))))
