@@ -46,9 +46,10 @@ FUZZY_FROM = 5
 STEMS = range(4, 8)
 MIN_PRECISION = 0.85
 #: How unlikely a term's toxic documents have to be by chance. Only those with different words before the
-#: term count, so many at most: copies of one passage count once.
+#: term count: copies of one passage count once.
 BY_CHANCE = 1e-7
-CONTEXTS = 16
+#: A task gives on what it has counted once that is so many words before features.
+HELD = 500_000
 PRIOR_FUZZY = 0.9
 WINDOW = 6
 QUOTED = 0.3
@@ -256,23 +257,36 @@ def _features(text: str | None) -> dict[str, int]:
 
 
 def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """feature, n_docs and n_contexts of the texts; only: of these features."""
+    """feature, n_docs and n_contexts (different words before it) of the texts; only: of these features, without contexts."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[str, int] = {}
         seen: dict[str, set[int]] = {}
+
+        def part() -> pa.RecordBatch:
+            held = [list(seen.get(f, ())) for f in docs]
+            return pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array(held, pa.list_(pa.int32()))], ["feature", "n", "contexts"])
+
+        held = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for f, h in _features(text).items():
-                    if only is None or f in only:
+                    if only is None:
+                        docs[f] = docs.get(f, 0) + 1
+                        seen.setdefault(f, set()).add(h)
+                        held += 1
+                    elif f in only:
                         docs[f] = docs.get(f, 0) + 1
-                        if len(own := seen.setdefault(f, set())) < CONTEXTS:
-                            own.add(h)
+                if held >= HELD:
+                    yield part()
+                    docs.clear()
+                    seen.clear()
+                    held = 0
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array([list(seen[f]) for f in docs], pa.list_(pa.int64()))], ["feature", "n", "contexts"])
+            yield part()
 
-    parts = rows.select("text").mapInArrow(run, "feature string, n long, contexts array<long>")
+    parts = rows.select("text").mapInArrow(run, "feature string, n long, contexts array<int>")
     return parts.groupBy("feature").agg(F.sum("n").alias("n_docs"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("n_contexts"))
 
 

@@ -216,6 +216,25 @@ def test_toxicity(spark, documents, table_dir):
     assert kept.columns == docs.columns and kept.count() == len(texts) - 81
 
 
+def labelled(spark, toxic, clean):
+    return spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, toxic int")
+
+
+def test_terms_do_not_depend_on_partitions(spark):
+    toxic = [f"before{k} cretin" for k in range(300)]
+    sample = labelled(spark, toxic, [f"stone{k} cretin" for k in range(17)] + ["river cloud"] * 2683)
+    one, many = (toxicity.learn(sample.repartition(n)) for n in (1, 6))
+    assert toxicity.Term("cretin", False) in one.terms and one.terms == many.terms
+    assert one.exact == many.exact and one.fuzzy == many.fuzzy
+
+
+def test_counts_given_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 3)
+    sample = labelled(spark, [f"{w} cretin" for w in ("one", "two", "two", "six")], []).coalesce(1)
+    got = {r["feature"]: (r["n_docs"], r["n_contexts"]) for r in toxicity._counted(sample).collect()}
+    assert got["cretin$"] == got["cret"] == (4, 3) and got["two$"] == (2, 1)
+
+
 def test_toxicity_without_labels(spark, documents, table_dir):
     folder = table_dir(documents=documents, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.op2_toxicity(spark, folder).filter("score = 0 and predicted = 0").count() == documents.count()
