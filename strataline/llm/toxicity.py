@@ -12,7 +12,7 @@ leave; labels, languages, sources and ids are no inputs.
 
 The learner reads at most MAX_LABELLED labelled rows outside the held-out
 quarter, chosen by a hash of their ids; every count runs on the executors and
-only terms come to the driver (MAX_TERMS at most). Defined results: null and
+only terms come to the driver, all that the tests below let pass. Defined results: null and
 empty texts score as texts without hits; rows without a doc_id count as not
 held out; with no labels at all the lexicon is empty and every score is 0; a
 document with several labels counts as toxic if one says so.
@@ -36,15 +36,14 @@ from .common import drop, table, written
 from .workers import released
 
 MAX_LABELLED = 20_000
-MAX_CANDIDATES = 50_000
-MAX_TERMS = 500
-MAX_SPELLINGS = 20_000
 THRESHOLD = 0.3
 #: Terms of so many letters at least are also found with one edit.
 FUZZY_FROM = 5
 #: Features are words and their first so many letters.
 STEMS = range(4, 8)
 MIN_PRECISION = 0.85
+#: Toxic documents, and different words before it, that a term has at least.
+LEAST = 3
 #: How unlikely a term's toxic documents have to be by chance. Only those with different words before the
 #: term count: copies of one passage count once.
 BY_CHANCE = 1e-7
@@ -300,7 +299,7 @@ def unlikely(toxic: int, clean: int, rate: float) -> float:
     return n * (share * math.log(share / rate) + rest)
 
 
-def chosen_terms(toxic: dict[str, int], contexts: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, max_terms: int = MAX_TERMS) -> list[Term]:
+def chosen_terms(toxic: dict[str, int], contexts: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[Term]:
     """Terms among counted features: words that are precise beyond chance, and such stems whose endings vary."""
     rate = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
 
@@ -311,18 +310,27 @@ def chosen_terms(toxic: dict[str, int], contexts: dict[str, int], clean: dict[st
 
     good = sorted((f for f in toxic if precise(f)), key=lambda f: (-toxic[f], f))
     words = [f[:-1] for f in good if f[-1] == "$"]
+    longer: dict[str, list[str]] = {}  # stems that begin with each
+    most: dict[str, int] = {}  # documents of the commonest word that begins with each
+    for f in good:
+        for n in STEMS:
+            if f[-1] == "$" and len(f) > n:
+                most.setdefault(f[:n], toxic[f])
+            elif f[-1] != "$" and len(f) >= n:
+                longer.setdefault(f[:n], []).append(f)
+    begins = lambda f, known: any(f[:n] in known for n in range(1, len(f) + 1))
     stems: list[str] = []
-    covered: list[str] = []
+    covered: set[str] = set()
     for f in sorted((f for f in good if f[-1] != "$"), key=len):
-        if any(f.startswith(s) for s in covered):
+        if begins(f, covered):
             continue
-        covered.append(f)
-        longest = max((g for g in good if g[-1] != "$" and g.startswith(f) and toxic[g] >= 0.95 * toxic[f]), key=len)
-        most = max((toxic[w + "$"] for w in words if w.startswith(f)), default=0)
-        if most < 0.8 * toxic[f]:
+        covered.add(f)
+        longest = max((g for g in longer[f] if toxic[g] >= 0.95 * toxic[f]), key=len)
+        if most.get(f, 0) < 0.8 * toxic[f]:
             stems.append(longest)
-    kept = [Term(s, True) for s in stems] + [Term(w, False) for w in words if not any(w.startswith(s) for s in stems)]
-    return sorted(kept, key=lambda t: (-toxic[t.text + "$" * (not t.stem)], t))[:max_terms]
+    known = set(stems)
+    kept = [Term(s, True) for s in stems] + [Term(w, False) for w in words if not begins(w, known)]
+    return sorted(kept, key=lambda t: (-toxic[t.text + "$" * (not t.stem)], t))
 
 
 def learn(sample: DataFrame) -> ToxicityModel:
@@ -331,9 +339,9 @@ def learn(sample: DataFrame) -> ToxicityModel:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return ToxicityModel([], [], [], {}, 0.0)
-    least = max(3, round(0.01 * n_toxic))
-    found = _counted(sample.filter("toxic = 1")).filter((F.col("n_docs") >= least) & (F.col("n_contexts") >= 3))
-    found = found.orderBy(F.desc("n_docs"), "feature").limit(MAX_CANDIDATES).collect()
+    rate = n_toxic / (n_toxic + n_clean)  # what would not be beyond chance without clean documents is not with some
+    varied = F.least("n_docs", "n_contexts")
+    found = _counted(sample.filter("toxic = 1")).filter((varied >= LEAST) & (varied * -math.log(rate) >= -math.log(BY_CHANCE) - 1e-6)).collect()
     toxic, contexts = ({r["feature"]: min(r[c], r["n_docs"]) for r in found} for c in ("n_docs", "n_contexts"))
     clean = {r["feature"]: r["n_docs"] for r in _counted(sample.filter("toxic = 0"), frozenset(toxic)).collect()}
     terms = chosen_terms(toxic, contexts, clean, n_toxic, n_clean)
@@ -357,16 +365,19 @@ def learn(sample: DataFrame) -> ToxicityModel:
     hits = sample.select("text", "toxic").mapInArrow(run, "word string, term long, words long, toxic long")
     by = hits.groupBy("word", "term", "words").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     by = by.groupBy("term", "words", F.when(F.col("n") >= 5, F.col("word")).alias("word")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    rows = by.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(MAX_SPELLINGS).collect()
-    base_rate = n_toxic / (n_toxic + n_clean)
+    rows = by.collect()
+    pools: dict[tuple[int, int], list[int]] = {}
+    for r in rows:
+        own = pools.setdefault((r["term"], r["words"]), [0, 0])
+        own[0] += r["t"]
+        own[1] += r["n"]
 
     def above(t: int, n: int, prior: float) -> float:
         """A share, drawn to its prior, beyond what the rate of toxic documents explains."""
-        return max(0.0, ((t + 2 * prior) / (n + 2) - base_rate) / (1 - base_rate))
+        return max(0.0, ((t + 2 * prior) / (n + 2) - rate) / (1 - rate))
 
     def pooled(term: int, words: int) -> tuple[int, int]:
-        own = [r for r in rows if (r["term"], r["words"]) == (term, words)]
-        return sum(r["t"] for r in own), sum(r["n"] for r in own)
+        return tuple(pools.get((term, words), (0, 0)))
 
     exact = [tuple(above(*pooled(k, words), MIN_PRECISION) for words in (1, 2)) for k in range(len(terms))]
     counts = [pooled(k, 0) for k in range(len(terms))]

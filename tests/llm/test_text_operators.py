@@ -228,6 +228,16 @@ def test_terms_do_not_depend_on_partitions(spark):
     assert one.exact == many.exact and one.fuzzy == many.fuzzy
 
 
+def test_rare_and_many_terms_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"{a}{b}{c}q" for a in letters[:9] for b in letters[:9] for c in letters[:7]]
+    toxic = [f"w{k} {rare[(k + n) % len(rare)]}" for n in range(8) for k in range(len(rare))]
+    sample = labelled(spark, toxic, ["river cloud"] * 40_000)
+    model = toxicity.learn(sample)
+    assert {t.text for t in model.terms} == set(rare) and len(rare) > 500
+    assert min(map(min, model.exact)) > toxicity.THRESHOLD
+
+
 def test_counts_given_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 3)
     sample = labelled(spark, [f"{w} cretin" for w in ("one", "two", "two", "six")], []).coalesce(1)
