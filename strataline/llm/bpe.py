@@ -1,40 +1,83 @@
 """Byte-pair encoding with word ends, rank-synchronous over ragged numpy arrays.
 
 A batch of texts becomes one array of code points. Pre-tokens are the runs that
-the vocabulary's pattern finds, taken from a table of character classes, and
-are told apart by a 64-bit hash. The distinct new ones are laid out as one
-ragged array of byte symbols, and in each round every sequence applies all
-occurrences of its own lowest-rank pair at the same time. What survives are the
-tokens. This holds only for vocabularies in which a pair never ranks before a
-merge that makes one of its parts; that is verified when the file is read.
+the vocabulary's pattern finds, taken from a table of character classes; equal
+ones are told by a 64-bit hash and then compared by their characters. The
+distinct new ones are laid out as one ragged array of byte symbols, and in each
+round every sequence applies all occurrences of its own lowest-rank pair at the
+same time. What survives are the tokens. This holds only for vocabularies in
+which a pair never ranks before a merge that makes one of its parts; that, the
+normalizer, the pattern and the special tokens are verified when the file is
+read.
+
+Classes, lower case and normal forms are those of the tokenizer library, whose
+Unicode version isn't Python's: ``unicode_tables`` asks it once, on the driver.
+Only texts with characters that can join others in a normal form, or whose lower
+case isn't one character, go through the library's normalizer.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
-#: White space as the pattern's \s has it.
-SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+from .words import run_hashes
+
 #: What follows an apostrophe that starts a run by itself.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _NONE = np.int32(2**31 - 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = 2**64 - 1
+_CODES = 0x110000
+_SURROGATES = range(0xD800, 0xE000)
+#: The normalizer and the pre-tokenizer that the engine carries out.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "|".join("'" + c for c in CONTRACTIONS) + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class UnicodeTables(NamedTuple):
+    """Of every code point: its class, its lower case, and whether a text that has it needs the library's normalizer."""
+
+    kind: np.ndarray
+    lower: np.ndarray
+    special: np.ndarray
+
+
+@functools.cache
+def unicode_tables() -> UnicodeTables:
+    """The tables of the tokenizer library at hand."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    codes = [c for c in range(_CODES) if c not in _SURROGATES and c != 10]
+    chars = list(map(chr, codes))
+
+    def each(normalizer) -> list[str]:
+        return normalizer.normalize_str("\n".join(chars)).split("\n")
 
+    def where(pattern: str) -> np.ndarray:
+        out = np.zeros(_CODES, bool)
+        text = "".join(chars)
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[codes[a : b]] = True
+        return out
 
-def char_classes() -> np.ndarray:
-    """Class of every code point: space, letter, number or other."""
-    kinds = {"L": _LETTER, "N": _NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    out[list(SPACES)] = _SPACE
-    return out
+    kind = np.full(_CODES, _OTHER, np.uint8)
+    for pattern, which in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
+        kind[where(pattern)] = which
+    kind[10] = _SPACE
+    lower, special = np.arange(_CODES, dtype=np.uint32), where(r"\p{M}+")
+    for c, char, composed, apart, small in zip(codes, chars, each(normalizers.NFC()), each(normalizers.NFD()), each(normalizers.Lowercase()), strict=True):
+        if composed != char or len(small) != 1:
+            special[c] = True
+        else:
+            lower[c] = ord(small)
+        special[list(map(ord, apart[1:]))] = True
+    return UnicodeTables(kind, lower, special)
 
 
 def byte_symbols() -> list[str]:
@@ -60,12 +103,15 @@ class Encoded(NamedTuple):
 class WordBpe:
     """The vocabulary of one file, and a bounded memory of the pre-tokens seen so far."""
 
-    def __init__(self, path: str, with_ids: bool, max_known: int = 600_000):
+    def __init__(self, path: str, with_ids: bool, tables: UnicodeTables | None = None, max_known: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        verify(spec)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=lambda t: (-len(t), t))
+        self.specials = re.compile("|".join(map(re.escape, longest_first))) if self.special else None
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + end] for s in symbols], np.int64)
@@ -79,15 +125,21 @@ class WordBpe:
         keys = left * self.size + right
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made
-        self.classes = char_classes()
+        self.tables = tables or unicode_tables()
         self.with_ids, self.max_known = with_ids, max_known
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.known_lens = np.empty(0, np.int32)
-        self.known_starts = np.empty(0, np.int64)
+        """Entry k of the memory has the hash hashes[k], so many characters and tokens from these places on in chars and flat."""
+        self.known = np.empty(0, np.uint64)  # hashes in order, and the entry of each
+        self.entry = np.empty(0, np.int64)
+        self.lens = np.empty(0, np.int32)
+        self.starts = np.empty(0, np.int64)
+        self.char_lens = np.empty(0, np.int64)
+        self.char_starts = np.empty(0, np.int64)
+        self.chars = np.empty(0, np.uint32)
         self.flat = np.empty(0, np.uint16 if self.size <= 65536 else np.int32)
+        self.odd: dict[bytes, int] = {}  # entries of pre-tokens whose hash another one has
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * self.size + b
@@ -142,9 +194,8 @@ class WordBpe:
             flat[ragged(begins[seqs], out_lens[seqs])] = symbols
         return flat, out_lens
 
-    def _learn(self, hashes: np.ndarray, chars: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
-        """Add distinct new pre-tokens (sorted by hash), given by their places in chars."""
-        cps = chars[ragged(starts, lens)]
+    def _learn(self, cps: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Add pre-tokens of so many characters, one after the other in cps; their entries."""
         data = np.frombuffer(cps.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         wide = 1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000)
         byte_lens = np.add.reduceat(wide, np.cumsum(lens) - lens)
@@ -152,16 +203,19 @@ class WordBpe:
         last = np.cumsum(byte_lens) - 1
         sym[last] = self.final[data[last]]
         ids, counts = self.merge(sym, byte_lens)
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.known_lens = np.insert(self.known_lens, at, counts)
+        entries = len(self.lens) + np.arange(len(lens))
+        self.char_starts = np.concatenate((self.char_starts, len(self.chars) + np.cumsum(lens) - lens))
+        self.char_lens = np.concatenate((self.char_lens, lens))
+        self.chars = np.concatenate((self.chars, cps))
+        self.lens = np.concatenate((self.lens, counts.astype(np.int32)))
         if self.with_ids:
-            self.known_starts = np.insert(self.known_starts, at, len(self.flat) + np.cumsum(counts) - counts)
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
             self.flat = np.concatenate((self.flat, ids.astype(self.flat.dtype)))
+        return entries
 
     def _pretokens(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each pre-token."""
-        kind = self.classes[chars]
+        kind = self.tables.kind[chars]
         cut = np.empty(len(kind), bool)
         cut[:1] = True
         np.not_equal(kind[1:], kind[:-1], out=cut[1:])
@@ -188,24 +242,50 @@ class WordBpe:
         return starts[words], ends[words]
 
     def _entries(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Places of the pre-tokens among the known ones; learns those that are new."""
-        table, inverse = powers(len(chars) + 1)
-        total = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * table[:-1], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.max_known:
+        """Entries of the pre-tokens in the memory; learns those that are new."""
+        lens = ends - starts
+        distinct, first, back = np.unique(run_hashes(chars.view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+        if len(self.lens) + len(distinct) > self.max_known:
             self.forget()
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
-            s, e = starts[first[new]], ends[first[new]]
-            self._learn(distinct[new], chars, s, e - s)
+            one = first[new]
+            entries = self._learn(chars[ragged(starts[one], lens[one])], lens[one])
+            places = np.searchsorted(self.known, distinct[new])
+            self.known, self.entry = np.insert(self.known, places, distinct[new]), np.insert(self.entry, places, entries)
             at = np.searchsorted(self.known, distinct)
-        return at[back]
+        out = self.entry[at][back]
+        for k in self._unlike(chars, starts, lens, out).tolist():
+            own = chars[starts[k] : ends[k]]
+            if (key := own.tobytes()) not in self.odd:
+                self.odd[key] = int(self._learn(own, lens[k : k + 1])[0])
+            out[k] = self.odd[key]
+        return out
+
+    def _unlike(self, chars: np.ndarray, starts: np.ndarray, lens: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Places of pre-tokens whose characters aren't those of their entries."""
+        unlike = self.char_lens[entries] != lens
+        at = np.flatnonzero(~unlike)
+        lens = lens[at]
+        same = chars[ragged(starts[at], lens)] == self.chars[ragged(self.char_starts[entries[at]], lens)]
+        if not same.all():
+            unlike[at] = np.logical_not(np.logical_and.reduceat(same, np.cumsum(lens) - lens))
+        return np.flatnonzero(unlike)
+
+    def _normalized(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the pieces, each followed by a blank, and their numbers with it."""
+        sizes = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
+        chars = np.frombuffer((" ".join(pieces) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        special = self.tables.special[chars]
+        if special.any():
+            odd = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(special), side="right"))
+            pieces = list(pieces)
+            for k in odd.tolist():
+                pieces[k] = _library().normalize_str(pieces[k])
+            sizes = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
+            chars = np.frombuffer((" ".join(pieces) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.tables.lower[chars], sizes
 
     def encode(self, texts: list[str | None], then: int | None = None) -> Encoded:
         """Tokens of each text (null: none); then: an id after each text."""
@@ -213,23 +293,20 @@ class WordBpe:
         after: list[int] = []  # id after the piece, or -1
         owner: list[int] = []
         for k, text in enumerate(texts):
-            text = text or ""
-            while "<|" in text and (found := [(p, -len(s), s) for s in self.special if (p := text.find(s)) >= 0]):
-                p, _, s = min(found)
-                pieces.append(text[:p])
-                after.append(self.special[s])
+            text, at = text or "", 0
+            for m in self.specials.finditer(text) if self.specials else ():
+                pieces.append(text[at : m.start()])
+                after.append(self.special[m.group()])
                 owner.append(k)
-                text = text[p + len(s) :]
-            pieces.append(text)
+                at = m.end()
+            pieces.append(text[at:] if at else text)
             after.append(-1 if then is None else then)
             owner.append(k)
-        plain = [normalized(p) for p in pieces]
-        sizes = np.fromiter((len(p) + 1 for p in plain), np.int64, len(plain))
-        chars = np.frombuffer((" ".join(plain) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars, sizes = self._normalized(pieces)
         starts, ends = self._pretokens(chars)
         where = self._entries(chars, starts, ends) if len(starts) else np.empty(0, np.int64)
         of = np.searchsorted(np.cumsum(sizes), starts, side="right")
-        lens = self.known_lens[where].astype(np.int64)
+        lens = self.lens[where].astype(np.int64)
         extra = np.array(after, np.int64)
         per_piece = np.bincount(of, lens, len(pieces)).astype(np.int64) + (extra >= 0)
         counts = np.bincount(np.array(owner), per_piece, len(texts)).astype(np.int64)
@@ -237,49 +314,47 @@ class WordBpe:
             return Encoded(None, counts)
         ids = np.empty(int(counts.sum()), np.uint32)
         begins = np.cumsum(per_piece) - per_piece
-        mine = self.flat[ragged(self.known_starts[where], lens)] if len(where) else self.flat[:0]
+        mine = self.flat[ragged(self.starts[where], lens)] if len(where) else self.flat[:0]
         ids[ragged(begins, per_piece - (extra >= 0))] = mine
         ids[(begins + per_piece - 1)[extra >= 0]] = extra[extra >= 0]
         return Encoded(ids, counts)
 
 
-def normalized(text: str) -> str:
-    """NFC, then lower case by character."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # lower() looks at a sigma's neighbours
-            text = text.replace("Σ", "σ")
-    return text.lower()
+def verify(spec: dict) -> None:
+    """Raise unless the engine carries out what the vocabulary file asks for."""
+    splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] != "ByteLevel"]
+    levels = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "ByteLevel"]
+    model = spec["model"]
+    for what, fits in (
+        ("normalizer", (spec["normalizer"] or {}).get("normalizers") == _NORMALIZER),
+        ("pre-tokenizer", len(splits) == 1 and splits[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}),
+        ("byte level", len(levels) == 1 and not levels[0]["add_prefix_space"] and not levels[0]["use_regex"]),
+        ("model", model["type"] == "BPE" and model["end_of_word_suffix"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))),
+        ("added tokens", all(t["content"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])),
+    ):
+        if not fits:
+            raise ValueError(f"the file's {what} is none that the engine knows")
 
 
-def _kept() -> dict:
-    """What this process keeps from task to task. Functions are shipped by value, so a module's own globals would not last."""
-    return sys.__dict__.setdefault("_strataline_kept", {})
-
+def _library():
+    """NFC of the tokenizer library; lower case follows by table, or at once where it is several characters."""
+    from tokenizers import normalizers
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2 ** 64."""
-    tables = _kept().get("powers")
-    if tables is None or len(tables[0]) < n:
-        more = 1 << max(16, n.bit_length())
-        tables = _kept()["powers"] = [_power_table(b, more) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return tables[0][:n], tables[1][:n]
+    if "normalizer" not in _kept():
+        _kept()["normalizer"] = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return _kept()["normalizer"]
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    filled, step = 1, base
-    while filled < n:
-        out[filled : 2 * filled] = out[:filled] * np.uint64(step)
-        filled, step = 2 * filled, step * step & _MASK
-    return out
+def _kept() -> dict:
+    """What this process keeps from task to task. Functions are shipped by value, so a module's own globals would not last."""
+    return sys.__dict__.setdefault("_strataline_kept", {})
 
 
-def engine(path: str, with_ids: bool) -> WordBpe:
+def engine(path: str, with_ids: bool, tables: UnicodeTables) -> WordBpe:
     """The engine of this worker process. It stays from task to task, with its bounded memory."""
     key = ("bpe", path, with_ids)
     if key not in _kept():
-        _kept()[key] = WordBpe(path, with_ids)
+        _kept()[key] = WordBpe(path, with_ids, tables)
     return _kept()[key]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import chunks, engine
+from .bpe import UnicodeTables, chunks, engine, unicode_tables
 from .common import table
 from .workers import released
 
@@ -30,10 +30,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` of df with n_bytes and n_tokens of each row's text, by the vocabulary file at path on every node."""
     fields = [df.schema[c] for c in keep]
+    tables = df.sparkSession.sparkContext.broadcast(tuple(unicode_tables()))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = engine(path, False)
+        bpe = engine(path, False, UnicodeTables(*tables.value))
         for batch in batches:
             texts = batch.column(0).to_pylist()
             counts: list[int] = []
