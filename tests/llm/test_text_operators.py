@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strataline.llm import jaccard_join, mixing, packing, secret_scan, substring_dedup, token_counts, toxicity, url_filter
+from strataline.llm import bpe, jaccard_join, mixing, packing, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 from strataline.llm.bpe import WordBpe
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -61,6 +61,14 @@ def test_substring_dedup_with_a_sketch_that_is_too_small(documents, monkeypatch)
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out.collect()) == want
 
 
+def test_words_of_regular_structure_are_told_apart(spark):
+    long = [" ".join([w, *map(str, range(34))]) for w in THUE_MORSE]
+    docs = spark.createDataFrame(list(enumerate([*THUE_MORSE, *long])), "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0}
+    short = docs.filter("doc_id < 2")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(short).collect()} == {(0, 0), (1, 1)}
+
+
 def plain_components(rows, size=5, percent=75):
     upper = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -100,6 +108,9 @@ def test_token_counts(documents, tokenizer):
     assert out == {(i, len((t or "").encode())): len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows_of(documents)}
 
 
+#: Two words of 1,024 letters that polynomials modulo 2 ** 64 can't tell apart.
+THUE_MORSE = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+
 ODD = [
     "it's they're I'll he'd ''s 'sabc we've'm 'S 'LL don't'", "<|startoftext|>hi <|endoftext|> <|endoftext|", "a" * 7 + " " + "a" * 300, "ab" * 3000,
     "日本語 中文123 ²½Ⅷ٣", "ΑΣ ΣΑΣ İstanbul ǅ", "é ẛ̣ a\x1cd\x85e", "🙂🙂👍🏽 --- ...", "'", "", "ﬁ ß ẞ ſ", "\u200b\ufeff x", "<|<|endoftext|>|>",
@@ -118,32 +129,75 @@ def test_encoder_agrees_with_the_library(tokenizer, with_ids):
         bpe.forget()
 
 
+def test_encoder_agrees_on_every_code_point(tokenizer):
+    bpe = WordBpe(token_counts.tokenizer_path(), True)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(codes), 50_000):
+        texts = [f"a{chr(c)}b{chr(c)}1 {chr(c)}\u0301" for c in codes[a : a + 50_000]]
+        got = bpe.encode(texts)
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert got.counts.tolist() == [len(w) for w in want] and got.ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_encoder_does_not_take_equal_hashes_for_equal_texts(tokenizer, with_ids, monkeypatch):
+    monkeypatch.setattr(bpe, "run_hashes", lambda data, starts, ends: (ends - starts).astype("uint64") % 3)
+    engine = WordBpe(token_counts.tokenizer_path(), with_ids)
+    for texts in (ODD, ["the stone of the river", *THUE_MORSE], ODD[::-1]):
+        got, want = engine.encode(texts), [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert got.counts.tolist() == [len(w) for w in want]
+        assert not with_ids or got.ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_vocabulary_files_are_refused():
+    import json
+
+    spec = json.load(open(token_counts.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": []}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.verify(spec | change)
+
+
 def test_packing(documents, tokenizer):
-    docs = documents.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    texts = dict(rows_of(docs))
-    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
-    pieces = packing.pack(docs, token_counts.tokenizer_path(), capacity=64).collect()
-    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    pieces = packing.pack(documents, token_counts.tokenizer_path(), capacity=64).collect()
+    ids = collections.Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows_of(documents))
+    by_id, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
-        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
-        assert p["ids"] == own and p["doc_tokens"] == len(ids[p["doc_id"]])
-        assert p["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
-        by_doc[p["doc_id"]].append((p["start"], p["length"]))
+        assert p["length"] == len(p["ids"]) and p["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in p["ids"]))
+        by_id[p["doc_id"]].append(p)
         by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
-    for i, own in by_doc.items():
-        own.sort()
-        assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == len(ids[i])
+    expected = collections.Counter()  # each id of each row, repeated rows and rows without an id as well
+    for (i, own), n in ids.items():
+        expected.update({(i, len(own), k, x): n for k, x in enumerate(own)})
+    got = collections.Counter((p["doc_id"], p["doc_tokens"], p["start"] + k, x) for p in pieces for k, x in enumerate(p["ids"]))
+    assert got == expected
     for own in by_sequence.values():
         own.sort()
         total = sum(n for _, n in own)
         assert [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
-        assert total <= 64 and total & (total - 1) == 0  # so there is no padding
-    assert set(by_doc) == set(ids)
-
-
-def test_bins_take_any_capacity_that_is_a_power_of_two():
-    bins = packing.HarmonicBins(8, 0)
-    assert list(bins.cut(29)) == [(0, 8), (8, 8), (16, 8), (24, 4), (28, 1)]
+        assert total == 64 or total & (total - 1) == 0  # so there is no padding here: a gap of half a token is none
+
+
+def test_harmonic_classes():
+    import numpy as np
+
+    bins = packing.HarmonicBins(2048, 0)
+    assert [bins.class_of(n) for n in (2047, 1025, 1024, 683, 682, 64, 63, 33, 32, 16, 1)] == [1, 1, 2, 2, 3, 32, 32, 32, 64, 128, 2048]
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(rng.lognormal(6, 1.3, 5000).astype(int) + 1, 20_000)
+    placed = [x for k, n in enumerate(lengths.tolist()) for x in bins.document(k, np.full(n, k, np.uint32))]
+    assert sum(map(len, bins.waiting.values())) < sum(range(32)) + 32 + 64 + 128 + 256 + 512 + 1024 + 2048
+    placed += bins.last()
+    sums, tokens = collections.Counter(), collections.Counter()
+    for piece, sequence, at in placed:
+        assert at == sums[sequence] and (piece.ids == piece.doc).all() and piece.total == lengths[piece.doc]
+        sums[sequence] += len(piece.ids)
+        tokens[piece.doc] += len(piece.ids)
+    assert [tokens[k] for k in range(len(lengths))] == lengths.tolist()
+    padding = sum(2048 - n for n in sums.values() if n & (n - 1))
+    assert max(sums.values()) == 2048 and padding < 0.008 * sum(sums.values())
+    whole = sum(int(n) // 2048 for n in lengths)
+    assert len(placed) < whole + 1.5 * len(lengths)
     with pytest.raises(ValueError):
         packing.HarmonicBins(12, 0)
 
