@@ -10,14 +10,15 @@ in its first shard, which is searched before the others.
 
 All queries meet all shards, in blocks of bounded size: a task holds at most
 about SHARD vectors and BLOCK queries. Scores are whole numbers: products of
-doubles as long as these are exact, of Python's integers beyond; a score beyond
-2 ** 42 is an error.
+doubles as long as these are exact, of 64-bit integers or Python's beyond.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without an id; vectors of another length
-than the query's are no candidates; rows that share the query's id are its own;
-equal rows count once; ties go to the smaller id; fewer candidates than k give
-fewer ranks.
+than the query's are no candidates; rows that share the query's id are its own.
+Every row counts: a candidate that is there twice can take two ranks, and a
+query that is there twice is answered twice. Ties go to the smaller id; fewer
+candidates than k give fewer ranks. Scores beyond a long are its ends, and
+components that are too large for a double the largest one.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ EVERY = 20
 SHARD = 8192
 BLOCK = 2048
 LEAF = 256
-PLACE_BITS = 20
-_PLACES = (1 << PLACE_BITS) - 1
-_MOST = 1 << (62 - PLACE_BITS)
+#: No score; all scores are higher.
 _LOW = np.iinfo(np.int64).min
+_LARGEST = np.finfo(np.float64).max
+_NOWHERE = np.iinfo(np.int64).max
 
 
 class KdTree:
@@ -77,53 +78,57 @@ class KdTree:
         self.low, self.high = np.array(self.low), np.array(self.high)
 
     def bounds(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """The most that a point of each node can score with each query."""
-        return np.maximum(queries, 0) @ self.high[nodes].T + np.minimum(queries, 0) @ self.low[nodes].T
+        """The most that a point of each node can score with each query, and what rounding may take from it."""
+        high, low = self.high[nodes].T, self.low[nodes].T
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
+            wide = np.abs(queries) @ np.maximum(np.abs(high), np.abs(low))
+            return np.where(wide < 2**53, most, np.nan_to_num(most + 1e-12 * wide, nan=np.inf))
 
 
 class Best:
-    """The k best places of each query so far, as keys that order by score, then by place: score * 2 ** PLACE_BITS + rest."""
+    """The scores and places of the k best points of each query so far; of equal scores, the first places."""
 
     def __init__(self, n: int, k: int, least: np.ndarray):
-        self.k = k
-        self.least = np.where(least == _LOW, _LOW, np.clip(least, -_MOST, _MOST) << PLACE_BITS)
-        self.keys = np.full((n, k), _LOW, np.int64)
+        self.k, self.least = k, least
+        self.scores, self.places = np.full((n, k), _LOW), np.full((n, k), _NOWHERE)
 
     def kth(self, rows: np.ndarray) -> np.ndarray:
         """A score that a box must be able to reach."""
-        return np.maximum(self.keys[rows].min(axis=1), self.least[rows]) >> PLACE_BITS
+        return np.maximum(self.scores[rows].min(axis=1), self.least[rows])
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
         """scores of the points at these places, one row for each of the queries in rows; own: which are the query's own."""
-        keys = (scores << PLACE_BITS) + (_PLACES - places)
-        keys[own] = _LOW
-        if keys.shape[1] > self.k:
-            keys = np.partition(keys, keys.shape[1] - self.k, axis=1)[:, -self.k :]
-        both = np.concatenate((self.keys[rows], keys), axis=1)
-        self.keys[rows] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        scores = np.concatenate((self.scores[rows], np.where(own, _LOW, scores)), axis=1)
+        places = np.concatenate((self.places[rows], np.where(own, _NOWHERE, places)), axis=1)
+        kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k, None]
+        taken = scores >= kth
+        for r in np.flatnonzero(taken.sum(axis=1) > self.k):  # ties at the end
+            ties = np.flatnonzero(scores[r] == kth[r])
+            spare = int(taken[r].sum()) - self.k
+            taken[r, ties[np.argsort(places[r, ties], kind="stable")[-spare:]]] = False
+        self.scores[rows], self.places[rows] = (x[taken].reshape(-1, self.k) for x in (scores, places))
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, place and score of all that were found."""
-        query, n = np.nonzero(self.keys > _LOW)
-        keys = self.keys[query, n]
-        return query, _PLACES - (keys & _PLACES), keys >> PLACE_BITS
+        query, n = np.nonzero(self.scores > _LOW)
+        return query, self.places[query, n], self.scores[query, n]
 
 
 def _products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers. Those beyond 2 ** 42 are no keys, and an error rather than a wrong order."""
-    most = np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) * queries.shape[1]
+    """Inner products of whole numbers, within the range of a long."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * queries.shape[1]
     if most < 2**53:
-        out = queries @ points.T
-    else:
-        whole = [[int(x) for x in row] for row in points]
-        out = np.array([[sum(int(a) * b for a, b in zip(q, p, strict=True)) for p in whole] for q in queries], object)
-    if np.abs(out).max(initial=0) >= _MOST:
-        raise OverflowError(f"a score is beyond {_MOST}")
-    return out.astype(np.int64)
+        return (queries @ points.T).astype(np.int64)
+    if most < 2**62:
+        return queries.astype(np.int64) @ points.astype(np.int64).T
+    whole = [[int(x) for x in row] for row in points]
+    end = 2**63 - 1
+    return np.array([[max(-end, min(end, sum(int(a) * b for a, b in zip(q, p, strict=True)))) for p in whole] for q in queries], np.int64)
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> Best:
-    """The k best points (by rising id, 2 ** PLACE_BITS at most) of each query, its own left out. least: a score that the k-th of all shards has or exceeds."""
+    """The k best points (by rising id) of each query, its own left out. least: a score that the k-th of all shards has or exceeds."""
     best = Best(len(queries), k, least)
     if not len(points) or not len(queries):
         return best
@@ -183,28 +188,30 @@ def quantized(df: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", embeddi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, rows in usable(batch.column(1)):
-                q = np.floor(scale * rows) + 0.0
+                with np.errstate(over="ignore"):
+                    q = np.clip(np.floor(scale * rows), -_LARGEST, _LARGEST) + 0.0
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), rows.shape[1], np.int32)), binary(q)], ["vec_id", "dim", "q"])
 
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).filter("vec_id is not null")
-    return rows.mapInArrow(run, "vec_id long, dim int, q binary").dropDuplicates(["vec_id", "q"])
+    return rows.mapInArrow(run, "vec_id long, dim int, q binary")
 
 
-_FOUND = "query_id long, q binary, vec_id long, score long"
+_FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 def _nothing() -> pa.Table:
-    return pa.table({"query_id": pa.array([], pa.int64()), "q": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+    return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "query_row", "vec_id", "score")})
 
 
 def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows of each row for which the condition is_query holds."""
-    points = written(quantized(df.filter(F.col(vec_id).isNotNull()), scale, vec_id, embedding), "points")
+    rows = quantized(df.filter(F.col(vec_id).isNotNull()), scale, vec_id, embedding)
+    points = written(rows.withColumn("row", F.monotonically_increasing_id()), "points")
     queries = points.filter(is_query)
     n_shards, n_blocks = max(1, math.ceil(points.count() / shard)), max(1, math.ceil(queries.count() / block))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)))
-    home = queries.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_shards)))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_blocks)))
+    home = queries.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(n_shards)))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))
     held = points.withColumn("block", every_block)
     keys = ["dim", "shard", "block"]
@@ -216,21 +223,21 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = SCALE, shard: int =
         ids, query_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
         best = search(matrix(right.column("query")), query_ids, matrix(left.column("q")), ids, k, right.column("least").to_numpy())
         at, places, scores = best.found()
-        return pa.table({"query_id": query_ids[at], "q": right.column("query").take(pa.array(at)), "vec_id": ids[places], "score": scores})
+        return pa.table({"query_id": query_ids[at], "query_row": right.column("query_row").take(pa.array(at)), "vec_id": ids[places], "score": scores})
 
     def met(queries: DataFrame) -> DataFrame:
         return held.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, _FOUND)
 
-    own = {"query_id": "vec_id", "query": "q"} | {c: c for c in keys}
+    own = {"query_id": "vec_id", "query_row": "row", "query": "q"} | {c: c for c in keys}
     asked = [F.col(c).alias(name) for name, c in own.items()]  # new columns: both sides come from the same table
     first = met(home.select(*asked, F.lit(_LOW).alias("least")))
-    kth = written(first.groupBy("query_id", "q").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k), "kth")
-    kth = kth.select(F.col("query_id").alias("i2"), F.col("q").alias("q2"), "least")
-    known = queries.join(kth, (F.col("vec_id") == F.col("i2")) & (F.col("q") == F.col("q2")), "left")
-    known = known.select("vec_id", "q", "dim", "block", F.coalesce("least", F.lit(_LOW)).alias("least"))
+    kth = written(first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k), "kth")
+    kth = kth.select(F.col("query_row").alias("r2"), "least")
+    known = queries.join(kth, F.col("row") == F.col("r2"), "left")
+    known = known.select("vec_id", "row", "q", "dim", "block", F.coalesce("least", F.lit(_LOW)).alias("least"))
     everywhere = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<long>")))
     found = met(everywhere.select(*asked, "least"))
-    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -242,12 +249,12 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: One pass over all pairs, as the contract states it.
 OP6_SQL = r"""
 WITH ints AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+  SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  SELECT a.nth, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
   FROM ints a JOIN ints b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
 """

@@ -105,6 +105,30 @@ def test_top_k(spark, vectors, shard, block, k):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_of_large_values_and_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    large = [(k, [float(x) for x in v], 0) for k, v in enumerate(np.round(rng.normal(size=(60, 64)) * 10.0 ** rng.integers(0, 7, (60, 1))))]
+    rows = [*large, *large[:30], (100, [1e300] * 64, 0), (101, [1.7e308] * 64, 0), (120, [0.0] * 64, 0)]
+    q = [(i, [max(-(10**400), min(int(np.finfo(float).max), 64 * int(x))) for x in v]) for i, v, _ in rows]
+    want = []
+    for i, a in q:
+        if i % 20 == 0:
+            scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), j) for j, b in q if j != i)[:7]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.pmod("vec_id", F.lit(20)) == 0, k=7, shard=25, block=3)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 7 * 7
+
+
+def test_search_agrees_with_its_sql(spark, vectors, tmp_path):
+    import duckdb
+
+    vectors.filter("vec_id is not null").union(vectors.filter("vec_id < 45")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.sql(topk_search.OP6_SQL).fetchall()
+    assert sorted(map(tuple, topk_search.op6_topk_search(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_trees_with_equal_points():
     points = np.ones((1000, 4))
     best = topk_search.search(points[:3], np.arange(3), points, np.arange(1000), 5, np.full(3, topk_search._LOW))
