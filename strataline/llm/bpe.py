@@ -34,7 +34,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _NONE = np.int32(2**31 - 1)
 _CODES = 0x110000
-_SURROGATES = range(0xD800, 0xE000)
+#: Code points beyond are unassigned or private: no letters, numbers or spaces, and their own normal form.
+_ASSIGNED = (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))
 #: The normalizer and the pre-tokenizer that the engine carries out.
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = "|".join("'" + c for c in CONTRACTIONS) + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,7 +54,8 @@ def unicode_tables() -> UnicodeTables:
     """The tables of the tokenizer library at hand."""
     from tokenizers import Regex, normalizers, pre_tokenizers
 
-    codes = [c for c in range(_CODES) if c not in _SURROGATES and c != 10]
+    codes = [c for c in _ASSIGNED if c != 10]
+    places = np.array(codes)
     chars = list(map(chr, codes))
 
     def each(normalizer) -> list[str]:
@@ -63,7 +65,7 @@ def unicode_tables() -> UnicodeTables:
         out = np.zeros(_CODES, bool)
         text = "".join(chars)
         for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            out[codes[a : b]] = True
+            out[places[a:b]] = True
         return out
 
     kind = np.full(_CODES, _OTHER, np.uint8)
