@@ -7,31 +7,37 @@ repeats, keyboard walks and brute-force spans, found by dynamic programming.
 Values that cost at least 10 ** MIN_LOG10_GUESSES guesses are added as kind
 ``guess``; ``the token is important`` is no secret, ``the pwd is t7#Kp!x2wQ`` is.
 
+Words are ranked: those that guessers try first, then those of a vocabulary
+file in its order. A repeat is a unit, of any length, as often as it follows on
+itself; a walk goes along one row of keys in one direction. Values of any
+length are segmented, in about n log n steps.
+
 Positions are code points, ends exclusive. Defined results: a null text has no
 spans and stays null when redacted; texts are scanned whole. Letters are ASCII.
-Only values of more than MAX_DP characters skip the segmentation; they take
-their brute-force cost, which bounds it from above, by classes and distinct
-characters.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded, table
+from .token_counts import tokenizer_path
 from .workers import released
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 8.0
-MAX_DP = 256
+#: Most bytes of a word list, which is broadcast.
+MAX_WORD_BYTES = 16_000_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -57,10 +63,8 @@ WORDS = (
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "company", "office", "access",
     "important", "required", "invalid", "expired", "missing", "correct", "incorrect", "unknown", "example", "please",
 )
-_RANK = {w: n for n, w in reversed(list(enumerate(WORDS, 1)))}
-_LONGEST = max(map(len, WORDS))
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
-_NEXT = {(a, b) for row in _ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
+_WALKS = tuple(row[::way] for row in _ROWS for way in (1, -1))
 _WALK_STARTS = math.log10(2 * sum(map(len, _ROWS)))
 _DATES = tuple((re.compile(p), math.log10(n)) for p, n in (
     (r"(?:19|20)\d\d", 140), (r"(?:19|20)\d\d[-./_]?(?:0[1-9]|1[0-2])[-./_]?(?:0[1-9]|[12]\d|3[01])", 365 * 140),
@@ -77,43 +81,99 @@ def _alphabet(value: str) -> int:
     return size + (33 if any(not c.isalnum() for c in value) else 0) or 100
 
 
-def log10_guesses(value: str) -> float:
-    """Cost of the cheapest segmentation of value, as a power of ten."""
+def ranked_words(path: str) -> tuple[str, ...]:
+    """WORDS, and then the words of three ASCII letters or more of a vocabulary file, in its order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    whole = (t.removesuffix(end) for t in sorted(model["vocab"], key=model["vocab"].get) if t.endswith(end))
+    return tuple(dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())]))
+
+
+class Extensions:
+    """How far the text goes on equally from two places: by the classes of equal substrings of 1, 2, 4 .. characters."""
+
+    def __init__(self, codes: np.ndarray):
+        self.n = len(codes)
+        self.levels = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+        while 2 << len(self.levels) - 1 <= self.n:
+            last, step = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.unique(last[:-step] * (self.n + 1) + last[step:], return_inverse=True)[1])
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Equal characters from places a and b on; b > a."""
+        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            inside = np.flatnonzero(b < len(level))
+            same = inside[level[a[inside]] == level[b[inside]]]
+            for x in (a, b, out):
+                x[same] += 1 << k
+        return out
+
+
+def repeats(value: str) -> dict[int, list[tuple[int, int]]]:
+    """By start: the units (their lengths) that follow at least once on themselves, and where that ends. Units are no repeats themselves."""
     n = len(value)
-    each = math.log10(_alphabet(value))
-    if n > MAX_DP:
-        return min(n * each, len(set(value)) * each + math.log10(n))
-    low = value.lower()
-    plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-
-    def reach(i: int, j: int, cost: float) -> None:
-        best[j] = min(best[j], best[i] + cost + (_SEGMENT if i else 0))
-
-    for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + each)
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if (rank := _RANK.get(low[i:j])) or (rank := 4 * _RANK.get(plain[i:j], 0)):
-                upper = sum(map(str.isupper, value[i:j]))
-                reach(i, j, math.log10(rank * (1 if not upper else 2 if upper in (1, j - i) else 2**upper) + 1))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-            if j - i >= 3:
-                reach(i, j, _WALK_STARTS + math.log10(j - i))
-        for unit in range(1, (n - i) // 2 + 1):
-            first, j = value[i : i + unit], i + unit
-            while value.startswith(first, j):
-                j += unit
-                if (j - i) >= max(3, 2 * unit):
-                    known = _RANK.get(first.lower())
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ahead, back = Extensions(codes), Extensions(codes[::-1])
+    units = np.concatenate([np.full((n - 1) // u, u) for u in range(1, n // 2 + 1)]) if n > 1 else np.empty(0, np.int64)
+    first = np.concatenate([np.arange(0, n - u, u)[: (n - 1) // u] for u in range(1, n // 2 + 1)]) if n > 1 else np.empty(0, np.int64)
+    same = codes[first] == codes[first + units]  # a run of a unit has one of the places that are multiples of its length
+    units, first = units[same], first[same]
+    begin = first - back(n - 1 - first - units, n - 1 - first) + 1
+    end = first + units + ahead(first, first + units)
+    long = end - begin >= 2 * units
+    runs: dict[tuple[int, int], int] = {}
+    for a, b, u in zip(begin[long].tolist(), end[long].tolist(), units[long].tolist(), strict=True):
+        runs[a, b] = min(u, runs.get((a, b), n))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), u in runs.items():
+        for i in range(a, b - 2 * u + 1):
+            out.setdefault(i, []).append((u, i + (b - i) // u * u))
+    return out
+
+
+class Guesser:
+    """Guess costs by a ranked list of words."""
+
+    def __init__(self, words: Iterable[str] = WORDS):
+        self.rank = {w: n for n, w in reversed(list(enumerate(words, 1)))}
+        self.longest = max(map(len, self.rank), default=0)
+
+    def log10_guesses(self, value: str) -> float:
+        """Cost of the cheapest segmentation of value, as a power of ten."""
+        n = len(value)
+        each = math.log10(_alphabet(value))
+        low = "".join(c.lower() if c.isascii() else c for c in value)
+        plain = low.translate(_LEET)
+        best = [0.0] + [math.inf] * n
+        again = repeats(value)
+
+        def reach(i: int, j: int, cost: float) -> None:
+            best[j] = min(best[j], best[i] + cost + (_SEGMENT if i else 0))
+
+        for i in range(n):
+            best[i + 1] = min(best[i + 1], best[i] + each)
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                if (rank := self.rank.get(low[i:j])) or (rank := 4 * self.rank.get(plain[i:j], 0)):
+                    upper = sum(map(str.isupper, value[i:j]))
+                    reach(i, j, math.log10(rank * (1 if not upper else 2 if upper in (1, j - i) else 2**upper) + 1))
+            for row in _WALKS:
+                at = row.find(low[i])
+                length = 1
+                while 0 <= at and at + length < len(row) and low.startswith(row[at + length], i + length):
+                    length += 1
+                    if length >= 3:
+                        reach(i, i + length, _WALK_STARTS + math.log10(length))
+            for unit, j in again.get(i, ()):
+                if j - i >= 3:
+                    known = self.rank.get(low[i : i + unit]) if unit <= self.longest else None
                     reach(i, j, (math.log10(known + 1) if known else unit * each) + math.log10((j - i) // unit))
-            if unit >= 16 and j == i + unit:
-                break
-        for pattern, cost in _DATES:
-            if m := pattern.match(value, i):
-                reach(i, m.end(), cost)
-    return best[n]
+            for pattern, cost in _DATES:
+                if m := pattern.match(value, i):
+                    reach(i, m.end(), cost)
+        return best[n]
 
 
 class Span(NamedTuple):
@@ -125,7 +185,7 @@ class Span(NamedTuple):
     value_start: int
 
 
-def scan(text: str | None, least: float = MIN_LOG10_GUESSES) -> list[Span]:
+def scan(text: str | None, guesser: Guesser, least: float = MIN_LOG10_GUESSES) -> list[Span]:
     """All spans of a text by start, then kind."""
     if not text:
         return []
@@ -140,7 +200,7 @@ def scan(text: str | None, least: float = MIN_LOG10_GUESSES) -> list[Span]:
         for m in _CONTEXT.finditer(text):
             a, b = m.span(1)
             b = a + len(m[1].rstrip(".:!?)"))
-            if b - a >= 6 and not any(x < b and a < y for x, y in taken) and log10_guesses(text[a:b]) >= least:
+            if b - a >= 6 and not any(x < b and a < y for x, y in taken) and guesser.log10_guesses(text[a:b]) >= least:
                 out.append(Span("guess", a, b, a))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
@@ -161,16 +221,21 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), redact: bool = False, least: float = MIN_LOG10_GUESSES) -> DataFrame:
-    """Columns ``keep`` of df with the array secret_spans of each row's text, and the text without them as redacted_text if asked for."""
+def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), redact: bool = False, least: float = MIN_LOG10_GUESSES, words: Iterable[str] = WORDS) -> DataFrame:
+    """Columns ``keep`` of df with the array secret_spans of each row's text, and the text without them as redacted_text if asked for. words: ranked, the commonest first."""
+    words = tuple(words)
+    if sum(map(len, words)) > MAX_WORD_BYTES:
+        raise ValueError(f"more than {MAX_WORD_BYTES} bytes of words; they are broadcast")
+    shared = df.sparkSession.sparkContext.broadcast(words)
     added = [T.StructField("secret_spans", SPANS)] + [T.StructField("redacted_text", T.StringType())] * redact
     names = [*keep, *[f.name for f in added]]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(shared.value)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            found = [scan(t, least) for t in texts]
+            found = [scan(t, guesser, least) for t in texts]
             new = [pa.array([[{"kind": s.kind, "start": s.start, "end": s.end} for s in spans] for spans in found], _SPANS_ARROW)]
             if redact:
                 new.append(pa.array([redacted(t, spans) for t, spans in zip(texts, found, strict=True)], pa.string()))
@@ -188,7 +253,7 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    found = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",), words=ranked_words(tokenizer_path()))
     spans = F.col("secret_spans")
     counts = [_count(spans, k).alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter(spans, lambda s: s["kind"] != "guess")
@@ -200,7 +265,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bounded(spark)
     keep = tuple(c for c in docs.columns if c != "text")
     rows = docs.select("text", F.struct(*keep).alias("__row"))
-    found = find_secrets(rows, keep=("__row",), redact=True)
+    found = find_secrets(rows, keep=("__row",), redact=True, words=ranked_words(tokenizer_path()))
     columns = {c: F.col(f"__row.{c}") for c in keep} | {"text": F.col("redacted_text")}
     if "n_chars" in columns:
         length = F.length("redacted_text").cast(docs.schema["n_chars"].dataType)

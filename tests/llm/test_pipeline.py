@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from strataline.llm import secret_scan, toxicity
+from strataline.llm import secret_scan, token_counts, toxicity
 from strataline.llm.common import written
 
 from .test_text_operators import plain_components
@@ -26,8 +26,9 @@ def test_stages(spark):
 
     clean = written(stages["secrets"](spark, single, folder), "test")
     before = {r["doc_id"]: r["text"] for r in single.collect()}
+    guesser = secret_scan.Guesser(secret_scan.ranked_words(token_counts.tokenizer_path()))
     for r in clean.collect():
-        assert r["text"] == secret_scan.redacted(before[r["doc_id"]], secret_scan.scan(before[r["doc_id"]])) and r["n_chars"] == len(r["text"])
+        assert r["text"] == secret_scan.redacted(before[r["doc_id"]], secret_scan.scan(before[r["doc_id"]], guesser)) and r["n_chars"] == len(r["text"])
     assert clean.columns == columns
 
     mix = written(stages["mixing"](spark, clean, folder), "test")

@@ -218,24 +218,100 @@ def plain_base(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
 
 
+def plain_cost(value, rank):
+    """The cheapest segmentation by trying all segments from the end, without shared tables."""
+    import functools
+    import math
+
+    kinds = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
+    each = math.log10(sum(n for f, n in kinds if any(map(f, value))) + 33 * any(not c.isalnum() for c in value) or 100)
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), value)
+    leet = low.translate(str.maketrans("4@310$5!7", "aaeiossit"))
+    rows = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
+    keys = sum(map(len, rows))
+    n = len(value)
+
+    def costs(i, j):
+        if j == i + 1:
+            yield each
+        part = low[i:j]
+        if j - i >= 3:
+            by = rank.get(part) or 4 * rank.get(leet[i:j], 0)
+            if by:
+                upper = sum(c.isupper() for c in value[i:j])
+                yield math.log10(by * (1 if not upper else 2 if upper in (1, j - i) else 2**upper) + 1)
+            if any(part in row or part in row[::-1] for row in rows):
+                yield math.log10(2 * keys) + math.log10(j - i)
+            for u in range(1, (j - i) // 2 + 1):
+                unit = value[i : i + u]
+                if value[i:j] == unit * ((j - i) // u) and (j - i) % u == 0 and not value.startswith(unit, j) and not any(unit == unit[:d] * (u // d) for d in range(1, u) if u % d == 0):
+                    yield (math.log10(rank[unit.lower()] + 1) if unit.lower() in rank else u * each) + math.log10((j - i) // u)
+        for pattern, ways in ((r"(?:19|20)\d\d", 140), (r"(?:19|20)\d\d[-./_]?(?:0[1-9]|1[0-2])[-./_]?(?:0[1-9]|[12]\d|3[01])", 365 * 140), (r"(?:0?[1-9]|[12]\d|3[01])[-./_]?(?:0?[1-9]|1[0-2])[-./_]?(?:19|20)?\d\d", 365 * 140 * 2)):
+            if (m := re.compile(pattern).match(value, i)) and m.end() == j:
+                yield math.log10(ways)
+
+    @functools.cache
+    def upto(j):
+        return min((upto(i) + c + (math.log10(2) if i and j > i + 1 or i and c != each else 0) for i in range(j) for c in costs(i, j)), default=math.inf) if j else 0.0
+
+    return upto(n)
+
+
+def test_guess_cost_against_a_plain_segmentation():
+    import random
+
+    rng = random.Random(11)
+    guesser = secret_scan.Guesser(secret_scan.ranked_words(token_counts.tokenizer_path())[:3000])
+    parts = ("password", "Sunshine", "p4ss", "19991231", "24/12/2001", "qwert", "9876", "xq", "Z", "#", "gz", "abcabcabc", "hahaha", "é", "1987", "the", "mnb", "PASS")
+    for _ in range(1500):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        if rng.random() < 0.2:
+            value = value[:9] * rng.randint(1, 3) + value
+        assert guesser.log10_guesses(value) == pytest.approx(plain_cost(value, guesser.rank)), value
+
+
+def plain_spans(text, guesser):
+    base = [(int(a), int(b), kind) for kind, a, b in (x.split(":") for x in plain_base(text).split(",") if x)]
+    found = [(a, ("assign", "access", "hex").index(kind), kind, b) for a, b, kind in base]
+    words = "password|passwd|passphrase|passcode|pwd|credentials?|secret|token|api[_-]?key|private[_-]?key|login"
+    for m in re.finditer(rf"""(?<![A-Za-z])(?:{words})["']?(?: *(?::=|=>|[:=]) *| +(?:is|was) +)["']?([^\s"'<>,;]{{6,}})""", text or "", re.I | re.A):
+        value = m[1].rstrip(".:!?)")
+        a, b = m.start(1), m.start(1) + len(value)
+        if len(value) >= 6 and all(b <= x or y <= a for x, y, _ in base) and plain_cost(value, guesser.rank) >= 8:
+            found.append((a, 3, "guess", b))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
 def test_secret_scan(spark, documents, table_dir):
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(SECRETS)], "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    long = ["the passphrase is " + "".join("gz"[(k * k // 7) % 2] for k in range(300)), "pwd: " + "password" * 60, "login: " + "k3Xq-Tz81_wLm90PqR" * 3]
+    rows = spark.createDataFrame(list(enumerate([*SECRETS, *long])), "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
     out = secret_scan.op4_secret_scan(spark, table_dir(documents=rows))
-    texts = collections.defaultdict(set)
+    guesser = secret_scan.Guesser(secret_scan.ranked_words(token_counts.tokenizer_path()))
+    want = collections.Counter()
     for i, t in rows_of(rows):
-        texts[i].add(hashlib.sha256(plain_base(t).encode()).hexdigest())
-    got = out.collect()
-    assert all(r["base_sha256"] in texts[r["doc_id"]] for r in got) and len(got) == rows.count()
+        base = plain_base(t)
+        want[i, *(base.count(f"{k}:") for k in ("assign", "access", "hex")), hashlib.sha256(base.encode()).hexdigest(), plain_spans(t, guesser)] += 1
+    assert collections.Counter(map(tuple, out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect())) == want
+    spans = {r["doc_id"]: r["spans"] for r in out.filter("spans like '%guess%'").collect()}
+    assert spans[len(SECRETS)] == "guess:18:318" and len(SECRETS) + 1 not in spans and len(SECRETS) + 2 in spans
+
+
+GUESSER = secret_scan.Guesser()
 
 
 @pytest.mark.parametrize("text, kinds", [(SECRETS[4], ["guess"]), (SECRETS[5], ["guess"]), ("the token is important", []), (SECRETS[3], ["assign", "hex", "assign"])])
 def test_guessed_values(text, kinds):
-    assert [s.kind for s in secret_scan.scan(text)] == kinds
+    assert [s.kind for s in secret_scan.scan(text, GUESSER)] == kinds
 
 
-@pytest.mark.parametrize("weak, strong", [("qwertyuiop", "qmzrtvuixp"), ("aaaaaaaaaa", "abzkqpwmxt"), ("19990101", "74920516x"), ("sunshine", "sunxhjne"), ("p4ssword", "p4xxwqrd")])
+@pytest.mark.parametrize("weak, strong", [("qwertyuiop", "qmzrtvuixp"), ("aaaaaaaaaa", "abzkqpwmxt"), ("19990101", "74920516x"), ("sunshine", "sunxhjne"), ("p4ssword", "p4xxwqrd"), ("password" * 40, "gzzgzggzgzzg")])
 def test_guess_cost(weak, strong):
-    assert secret_scan.log10_guesses(weak) < secret_scan.log10_guesses(strong)
+    assert GUESSER.log10_guesses(weak) < GUESSER.log10_guesses(strong)
+
+
+def test_repeats_of_any_unit():
+    unit = "k3Xq-Tz81_wLm90PqR"  # 18 characters
+    assert secret_scan.repeats(unit * 3)[0] == [(18, 54)] and secret_scan.repeats("aaa")[0] == [(1, 3)] and secret_scan.repeats("") == {} == secret_scan.repeats("ab")
 
 
 def test_redaction(spark, documents):
@@ -243,7 +319,7 @@ def test_redaction(spark, documents):
     out = {r["doc_id"]: r for r in secret_scan.secrets_stage(spark, rows, "").collect()}
     assert out[2]["text"] == "id [secret] and 0123456789abcdef0123456" and out[2]["n_chars"] == len(out[2]["text"])
     assert out[6]["text"] is None and out[7]["text"] == "" and out[9]["text"] == SECRETS[9]
-    assert all(not secret_scan.scan(r["text"]) for r in out.values())
+    assert all(not secret_scan.scan(r["text"], GUESSER) for r in out.values())
 
 
 def test_toxicity(spark, documents, table_dir):
