@@ -1,32 +1,37 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are told apart by label and content first, so exact copies are one node
-with a count. Centres are fitted on a bounded sample. A node belongs to the
-shard of its nearest centre and, where the boundary to another centre is near,
-to that one's as well: a pair within the radius then shares the home shard of
-each side, but for boundaries that lie across the pair (MARGIN). Within a shard,
-candidates of each node are pruned robustly (a neighbour is left out if one
-already kept is much nearer to it), with some distant ones among them. The
-adjacency lists of all shards are united by node. Then every node is searched
-for in its home shard: greedily from the nearest medoids, and from there as long
-as the range grows, over all neighbours within the radius and some slack beyond
-it. All found are verified by their cosine in double precision.
+with a count and an id of its own. Shards begin as all nodes of a label and are
+split as long as they are large: centres are fitted on a bounded sample of the
+shard, and a node goes to its nearest centre and, where the boundary to another
+one is near, to that one's shard as well. A pair within the radius then shares
+the home shard of each side, but for boundaries that lie across the pair
+(MARGIN). Shards whose nodes would mostly go to several centres stay whole.
+Within a shard, candidates of each node are pruned robustly (a neighbour is left
+out if one already kept is much nearer to it), with some distant ones among
+them. The adjacency lists of all shards are united by node. Then every node is
+searched for in its home shard: greedily from the nearest medoids, and from
+there as long as the range grows, over all neighbours within the radius and some
+slack beyond it. All found are verified by their cosine in double precision.
 
 A shard larger than SHARD nodes is dealt to several parts, and queries go to
 all of them in blocks of BLOCK, so a group of near copies of any size is never
-one task. Links stay counts: each query's number, and its smallest neighbour in
-each part, from which the components are made. ``audit`` measures recall against
-brute force on a sample of queries; below MIN_RECALL the search is repeated with
-all nodes of a part as entries, which compares everything there.
+one task. Links stay counts: each query's number, and the smallest node that a
+task's links connect it to, from which the components are made. ``audit``
+measures recall against brute force on samples of nodes, until they have
+AUDIT_LINKS true links; below MIN_RECALL the nodes are dealt again with the
+margin that is certain, and all nodes of a part are compared. The recall of what
+is returned is logged.
 
 Defined results: vectors without a label, that are null or zero, or hold null
 or non-finite components, link with nothing, and so do rows without an id (their
 component is null). Vectors of different lengths link with nothing. Rows that
-share an id and a vector count as two vectors.
+share an id are vectors of their own, whether they are equal or not.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import table, written
+from .common import drop, table, written
 from .components import components
 from .vectors import binary, matrix, usable
 from .workers import released
@@ -44,10 +49,12 @@ from .workers import released
 COSINE = 0.98
 SHARD = 4096
 BLOCK = 2048
-SAMPLE = 20_000
-#: Vectors of the sample for each centre, and vectors of a label for each centre.
-PER_CENTRE, CENTRE_LOAD = 20, 2048
-MAX_CENTRES = 1000
+#: Centres are fitted on so many nodes of a shard, of so many bytes, at most.
+SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
+#: Nodes of the sample for each centre, nodes of a shard for each centre, and centres that a shard is split by at once.
+PER_CENTRE, CENTRE_LOAD, CENTRES = 20, 2048, 256
+#: Shards that a node goes to on average; where it would be more, splitting gains nothing.
+OVERLAP = 2.0
 #: Of the distance between two centres; the sine of the radius, about 0.2, would be certain.
 MARGIN = 0.1
 CANDIDATES, DEGREE, DISTANT = 48, 16, 8
@@ -56,9 +63,12 @@ SLACK = 0.02
 BEAM = 8
 #: Queries that are searched for together, and pairs of query and node that are expanded together.
 SEARCH, EXPAND = 256, 20_000
-AUDIT = 256
+#: Nodes of the first sample and of the last one, each four times the one before, and true links that are enough.
+AUDIT, AUDIT_MOST, AUDIT_LINKS = 256, 4096, 1000
 MIN_RECALL = 0.98
 
+_log = logging.getLogger(__name__)
+
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     most = np.abs(rows).max(1, keepdims=True)
@@ -67,7 +77,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def nodes_of(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """Distinct (label, v): node (the smallest vec_id), copies, and v, raw doubles of length one."""
+    """vec_id, label, dim and v, raw doubles of length one, of the rows that take part."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,20 +93,16 @@ def nodes_of(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFram
     return own.mapInArrow(run, f"vec_id long, label {kind}, dim int, v binary")
 
 
-def centres(sample: dict[int, np.ndarray], n: int, rounds: int = 6) -> dict[int, np.ndarray]:
-    """Centres of the sample of each length, by a few rounds of k-means from evenly spaced rows."""
-    out = {}
-    for dim, rows in sample.items():
-        k = max(1, min(n, len(rows) // PER_CENTRE))
-        mid = rows[np.linspace(0, len(rows) - 1, k).astype(int)]
-        for _ in range(rounds):
-            near = np.argmax(rows @ mid.T, axis=1)
-            total = np.zeros_like(mid)
-            np.add.at(total, near, rows)
-            some = np.bincount(near, minlength=k) > 0
-            mid = np.where(some[:, None], _unit(np.where(some[:, None], total, 1.0)), mid)
-        out[dim] = mid
-    return out
+def centres(rows: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k centres of the rows, by a few rounds of k-means from evenly spaced ones."""
+    mid = rows[np.linspace(0, len(rows) - 1, max(1, k)).astype(int)]
+    for _ in range(rounds):
+        near = np.argmax(rows @ mid.T, axis=1)
+        total = np.zeros_like(mid)
+        np.add.at(total, near, rows)
+        some = np.bincount(near, minlength=len(mid)) > 0
+        mid = np.where(some[:, None], _unit(np.where(some[:, None], total, 1.0)), mid)
+    return mid
 
 
 def shards_of(rows: np.ndarray, mid: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +153,7 @@ def build(v: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def medoids(v: np.ndarray, most: int = 64) -> np.ndarray:
     """Places of nodes that stand for the shard: the nearest to each centre of its own."""
-    k = max(1, min(most, len(v) // 32))
-    mid = centres({v.shape[1]: v}, k, 2)[v.shape[1]]
+    mid = centres(v, min(most, len(v) // 32), 2)
     return np.unique((v @ mid.T).argmax(0))
 
 
@@ -216,33 +221,72 @@ def _table(**columns) -> pa.Table:
     return pa.table({k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()})
 
 
-class Dealt:
-    """Nodes and their shards, written once."""
-
-    def __init__(self, nodes: DataFrame, mid: dict[int, np.ndarray], shard: int, margin: float):
-        @released
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                dims = batch.column(2).to_numpy()
-                for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    v = matrix(batch.column(3).take(pa.array(at)))
-                    row, centre, home = shards_of(v, mid[dim], margin) if dim in mid else (np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool))
-                    own = batch.take(pa.array(at[row]))
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(centre), pa.array(home)], [*own.schema.names, "centre", "home"])
-
-        kind = nodes.schema["label"].dataType.simpleString()
-        nodes = nodes.select("node", "label", "dim", "v", "copies")
-        members = nodes.mapInArrow(run, f"node long, label {kind}, dim int, v binary, copies long, centre long, home boolean")
-        members = written(members, "members")
-        sizes = members.groupBy("label", "dim", "centre").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("queries"))
-        sizes = sizes.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("centre").alias("c2"), F.ceil(F.col("n") / shard).alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("queries") / BLOCK)).alias("blocks"))
-        same = (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("centre") == F.col("c2"))
-        part = F.pmod(F.xxhash64("node"), F.col("parts"))
-        self.members = written(members.join(sizes, same).withColumn("part", part).drop("l2", "d2", "c2"), "members")
-
-
-_KEYS = ("label", "dim", "centre", "part")
+_SHARD = ("label", "dim", "centre")
+_KEYS = (*_SHARD, "part")
+
+
+def _same(other: str = "2"):
+    return (F.col("label") == F.col(f"label{other}")) & (F.col("dim") == F.col(f"dim{other}")) & (F.col("centre") == F.col(f"centre{other}"))
+
+
+def split_once(members: DataFrame, shard: int, margin: float, level: int) -> DataFrame | None:
+    """members with their large shards split, or None if none is large and can be."""
+    spark = members.sparkSession
+    kind = members.schema["label"].dataType.simpleString()
+    sizes = members.groupBy(*_SHARD).agg(F.count("*").alias("n")).filter(F.col("n") > shard)
+    sizes = written(sizes.select(*[F.col(c).alias(f"{c}2") for c in _SHARD], "n"), "sizes")
+    most = F.least(F.lit(SAMPLE), F.greatest(F.lit(PER_CENTRE), F.floor(F.lit(SAMPLE_BYTES) / (8 * F.col("dim")))))
+    draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
+    sample = members.join(sizes, _same()).filter(draw < most / F.col("n")).select(*_SHARD, "n", "node", "v")
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        v, n = matrix(rows.column("v")), rows.column("n")[0].as_py()
+        k = min(CENTRES, math.ceil(n / CENTRE_LOAD), len(v) // PER_CENTRE)
+        mid = np.unique(centres(v, k), axis=0)
+        splits = len(mid) > 1 and len(shards_of(v, mid, margin)[0]) <= OVERLAP * len(v)
+        own = rows.slice(0, int(splits))
+        return _table(label=own.column("label"), dim=own.column("dim"), centre=own.column("centre"), n=own.column("n"), mid=pa.array([mid.tobytes()] * int(splits), pa.binary()))
+
+    fits = written(sample.groupBy(*_SHARD).applyInArrow(fit, f"label {kind}, dim int, centre string, n long, mid binary"), "fits")
+    if fits.isEmpty():
+        return None
+    slices = F.ceil(F.col("n") / shard)
+    known = fits.select(*[F.col(c).alias(f"{c}2") for c in _SHARD], slices.alias("slices"))
+    open_ = members.join(known, _same()).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).select(*members.columns, "slice")
+    mids = fits.select(*_SHARD, "mid", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty
+        v = matrix(left.column("v"))
+        row, centre, home = shards_of(v, matrix(right.column("mid")).reshape(-1, v.shape[1]), margin)
+        own = left.select(columns).take(pa.array(row))
+        names = pa.array([f"{c}.{k}" for c, k in zip(own.column("centre").to_pylist(), centre.tolist(), strict=True)], pa.string())
+        own = own.set_column(columns.index("centre"), "centre", names)
+        return own.set_column(columns.index("home"), "home", pa.array(home & own.column("home").to_numpy()))
+
+    columns = list(members.columns)
+    types = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    empty = pa.table({c: pa.array([], types.get(t, pa.null())) for c, t in members.dtypes})
+    dealt = open_.groupBy(*_SHARD, "slice").cogroup(mids.groupBy(*_SHARD, "slice")).applyInArrow(assign, members.schema)
+    closed = members.join(known, _same(), "left_anti")
+    return written(closed.unionByName(dealt), "members")
+
+
+def deal(nodes: DataFrame, shard: int, margin: float) -> DataFrame:
+    """Nodes with the shards that they are in (home: the one that they are searched for in), and each one's part; written."""
+    members = nodes.select("node", "label", "dim", "v", "copies").withColumns({"centre": F.lit("").cast("string"), "home": F.lit(True)})
+    members, level = written(members, "members"), 0
+    while (finer := split_once(members, shard, margin, level)) is not None:
+        drop(members)
+        members, level = finer, level + 1
+    sizes = members.groupBy(*_SHARD).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("queries"))
+    sizes = sizes.select(*[F.col(c).alias(f"{c}2") for c in _SHARD], F.ceil(F.col("n") / shard).alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("queries") / BLOCK)).alias("blocks"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    out = written(members.join(sizes, _same()).withColumn("part", part).select(*members.columns, "parts", "blocks", "part"), "members")
+    drop(members)
+    return out
 
 
 def adjacency(members: DataFrame) -> DataFrame:
@@ -321,16 +365,16 @@ def found_links(members: DataFrame, edges: DataFrame, cosine: float, everything:
     return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
-def audit(nodes: DataFrame, found: DataFrame, cosine: float, most: int = AUDIT) -> float:
-    """Share of the links of a sample of nodes, by brute force over all nodes, that were found. found: node, n (links to others)."""
-    total = nodes.count()
-    if not total:
-        return 1.0
-    share = min(1.0, most / total)
-    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000))).limit(4 * most)
-    asked = sample.select("node", "label", "dim", "v").collect()
+def _drawn(nodes: DataFrame, most: int, seed: int) -> DataFrame:
+    """About so many nodes, by a hash, and never more than twice as many."""
+    share = min(1.0, most / max(1, nodes.count()))
+    return nodes.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).limit(2 * most)
+
+
+def _true_links(nodes: DataFrame, sample: DataFrame, cosine: float) -> dict[int, int]:
+    """Links of each node of a sample, by brute force over all nodes."""
     by: dict[tuple, list] = {}
-    for r in asked:
+    for r in sample.select("node", "label", "dim", "v").collect():
         by.setdefault((r["label"], r["dim"]), []).append((r["node"], r["v"]))
     groups = {k: (np.array([n for n, _ in x]), np.frombuffer(b"".join(v for _, v in x)).reshape(len(x), -1)) for k, x in by.items()}
 
@@ -349,37 +393,49 @@ def audit(nodes: DataFrame, found: DataFrame, cosine: float, most: int = AUDIT)
                 n = hit @ np.array([copies[i] for i in at])
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], ["node", "n"])
 
-    true = {r["node"]: r["n"] for r in nodes.select("label", "dim", "node", "copies", "v").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-    names = nodes.sparkSession.createDataFrame([(int(r["node"]),) for r in asked], "asked long")
-    have = {r["node"]: r["n"] for r in found.join(F.broadcast(names), F.col("node") == F.col("asked"), "left_semi").collect()}
-    return sum(min(n, have.get(k, 0)) for k, n in true.items()) / sum(true.values()) if any(true.values()) else 1.0
+    counts = nodes.select("label", "dim", "node", "copies", "v").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return {r["node"]: r["n"] for r in counts.collect()}
+
+
+def audit(nodes: DataFrame, found: DataFrame, cosine: float) -> tuple[float, int]:
+    """Share of the true links of samples of nodes that were found, and how many true links these have. found: node, n (links to others)."""
+    dim = nodes.agg(F.max("dim")).first()[0] or 1
+    linked = nodes.join(found.select(F.col("node").alias("n2")), F.col("node") == F.col("n2"), "left_semi")
+    total, most = nodes.count(), AUDIT
+    while True:
+        least = max(1, min(most, SAMPLE_BYTES // (32 * dim)))  # both samples within SAMPLE_BYTES
+        sample = written(_drawn(nodes, least, 7).unionByName(_drawn(linked, least, 8)).dropDuplicates(["node"]), "sample")
+        true = _true_links(nodes, sample, cosine)
+        links = sum(true.values())
+        if links >= AUDIT_LINKS or most >= min(total, AUDIT_MOST):
+            break
+        most *= 4
+    have = {r["node"]: r["n"] for r in found.join(sample.select(F.col("node").alias("n2")), F.col("node") == F.col("n2"), "left_semi").collect()}
+    return (sum(min(n, have.get(k, 0)) for k, n in true.items()) / links if links else 1.0), links
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", shard: int = SHARD, margin: float = MARGIN) -> DataFrame:
     """vec_id, n_links and component_id of each row that takes part."""
     rows = written(nodes_of(df, vec_id, embedding, label), "vectors")
-    nodes = written(rows.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    share = min(1.0, SAMPLE / max(1, nodes.count()))
-    sample: dict[int, list[bytes]] = {}
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < int(math.ceil(share * 1_000_000)))
-    for r in chosen.select("node", "dim", "v").limit(2 * SAMPLE).collect():
-        sample.setdefault(r["dim"], []).append((r["node"], r["v"]))
-    arrays = {dim: np.frombuffer(b"".join(v for _, v in sorted(x))).reshape(len(x), -1) for dim, x in sample.items()}
-    mid = centres(arrays, min(MAX_CENTRES, math.ceil(most / CENTRE_LOAD)))
-    members = Dealt(nodes, mid, shard, margin).members
-    edges = written(adjacency(members), "edges")
-    for everything in (False, True):
-        found = written(found_links(members, edges, cosine, everything), "found")
+    nodes = rows.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    for certain in (False, True):
+        members = deal(nodes, shard, math.sqrt(1 - cosine * cosine) + 1e-9 if certain else margin)
+        edges = written(adjacency(members), "edges")
+        found = written(found_links(members, edges, cosine, certain), "found")
         links = written(found.groupBy("node").agg(F.sum("links").alias("n")), "links")
-        if everything or audit(nodes, links, cosine) >= MIN_RECALL:
+        drop(members)
+        drop(edges)
+        recall, seen = audit(nodes, links, cosine)
+        _log.warning("recall %.4f over %d true links%s", recall, seen, ", all nodes of a part compared" if certain else "")
+        if recall >= MIN_RECALL:
             break
-    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.join(links.select(F.col("node").alias("n2"), "n"), F.col("node") == F.col("n2"), "left").drop("n2")
-    known = known.join(labels.select(F.col("node").alias("n2"), F.col("label").alias("component")), F.col("node") == F.col("n2"), "left")
-    known = written(known.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "known")
-    linked = rows.join(known, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2"))).select("vec_id", "n_links", "component_id")
-    return linked
+    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("n3"), F.col("label").alias("component"))
+    known = nodes.join(links.select(F.col("node").alias("n2"), "n"), F.col("node") == F.col("n2"), "left").join(labels, F.col("node") == F.col("n3"), "left")
+    known = written(known.select("label", "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "known")
+    names = known.groupBy(F.col("component").alias("c2")).agg(F.min("least").alias("component_id"))
+    named = known.join(names, F.col("component") == F.col("c2")).select(F.col("label").alias("l2"), F.col("v").alias("v2"), "n_links", "component_id")
+    return rows.join(named, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2"))).select("vec_id", "n_links", "component_id")
 
 
 def with_all_rows(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", **options) -> DataFrame:

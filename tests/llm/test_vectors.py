@@ -30,43 +30,82 @@ def vectors(spark):
 
 
 def plain_links(rows, cosine=0.98):
-    good = [(i, np.array(e, float), y) for i, e, y in rows if i is not None and y is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
-    near = {i: set() for i, _, _ in good}
-    for i, a, y in good:
+    """Of each row (by its place): its number of links, and the least id of its component."""
+    good = [(k, np.array(e, float), y) for k, (i, e, y) in enumerate(rows) if i is not None and y is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    near = {k: set() for k, _, _ in good}
+    for k, a, y in good:
         for j, b, z in good:
-            if i != j and y == z and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= cosine:
-                near[i].add(j)
-    label = {}
-    for i in sorted(near):
-        todo = [] if i in label else [i]
+            if k != j and y == z and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= cosine:
+                near[k].add(j)
+    least = {}
+    for k in near:
+        todo, own = [] if k in least else [k], set()
         while todo:
             x = todo.pop()
-            if x not in label:
-                label[x] = i
+            if x not in own:
+                own.add(x)
                 todo += near[x]
-    return near, label
+        least |= dict.fromkeys(own, min((rows[x][0] for x in own), default=None))
+    return {k: len(x) for k, x in near.items()}, least
+
+
+def by_id(rows, values):
+    """values (by place) as values by id, for rows whose ids differ."""
+    return {rows[k][0]: v for k, v in values.items()}
 
 
 @pytest.mark.parametrize("shard, margin", [(4096, 0.1), (64, 0.2)])
-def test_near_duplicates(vectors, shard, margin, monkeypatch):
+def test_near_duplicates(vectors, shard, margin, monkeypatch, caplog):
     monkeypatch.setattr(flat_graph, "CENTRE_LOAD", 64)
     monkeypatch.setattr(flat_graph, "BLOCK", 50)
     rows = [tuple(r) for r in vectors.collect()]
-    near, label = plain_links(rows)
+    near, label = (by_id(rows, x) for x in plain_links(rows))
     got = flat_graph.with_all_rows(vectors, shard=shard, margin=margin).collect()
     assert len(got) == len(rows)
     links = {r["vec_id"]: r["n_links"] for r in got}
-    assert all(links[i] <= len(x) for i, x in near.items())
-    assert sum(links[i] for i in near) >= 0.98 * sum(map(len, near.values()))
+    assert all(links[i] <= n for i, n in near.items())
+    assert sum(links[i] for i in near) >= 0.98 * sum(near.values())
     assert sum(r["component_id"] == label.get(r["vec_id"], r["vec_id"]) for r in got) >= 0.98 * len(got)
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
+    assert any("true links" in r.message and int(r.args[1]) > 1000 for r in caplog.records)
 
 
-def test_a_failed_audit_compares_everything(vectors, monkeypatch):
+@pytest.mark.parametrize("shard", [4096, 40])
+def test_a_failed_audit_compares_everything(vectors, monkeypatch, shard):
     monkeypatch.setattr(flat_graph, "MIN_RECALL", 2.0)
-    near, _ = plain_links([tuple(r) for r in vectors.collect()])
-    links = {r["vec_id"]: r["n_links"] for r in flat_graph.with_all_rows(vectors, margin=0.21).collect()}
-    assert all(links[i] == len(x) for i, x in near.items())
+    monkeypatch.setattr(flat_graph, "CENTRE_LOAD", 20)
+    rows = [tuple(r) for r in vectors.collect()]
+    near, label = (by_id(rows, x) for x in plain_links(rows))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in flat_graph.with_all_rows(vectors, shard=shard).collect()}
+    assert all(got[i] == (n, label[i]) for i, n in near.items())
+
+
+def test_rows_that_share_an_id(spark):
+    import collections
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=8)
+    rows = [(5, v, 0), (5, -v, 0), (6, v + 0.01 * rng.normal(size=8), 0), (5, v, 0), (4, -2 * v, 0), (9, rng.normal(size=8), 0), (9, rng.normal(size=8), 0), (3, v, 1)]
+    rows = [(i, e.tolist(), y) for i, e, y in rows]
+    near, least = plain_links(rows)
+    want = collections.Counter((rows[k][0], near[k], least[k]) for k in near)
+    got = flat_graph.with_all_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert collections.Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == want and want[5, 1, 4] == 1
+
+
+def test_shards_are_split_as_long_as_that_helps(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "CENTRE_LOAD", 30)
+    monkeypatch.setattr(flat_graph, "CENTRES", 4)
+    rng = np.random.default_rng(12)
+    spread = np.concatenate([c + 0.02 * rng.normal(size=(60, 16)) for c in rng.normal(size=(20, 16))])
+    tight = rng.normal(size=16) + 0.005 * rng.normal(size=(300, 16))
+    rows = [(k, flat_graph._unit(v[None])[0].tobytes(), 16, 1, y) for k, (v, y) in enumerate([*((v, 0) for v in spread), *((v, 1) for v in tight)])]
+    nodes = spark.createDataFrame([(k, y, d, bytearray(v), c) for k, v, d, c, y in rows], "node long, label int, dim int, v binary, copies long")
+    got = flat_graph.deal(nodes, 100, 0.1).collect()
+    homes = [r for r in got if r["home"]]
+    assert sorted(r["node"] for r in homes) == list(range(1500))  # one home each
+    assert len({r["centre"] for r in got if r["label"] == 0}) > 8 and max(r["centre"].count(".") for r in got) > 1
+    assert {(r["centre"], r["parts"]) for r in got if r["label"] == 1} == {("", 3)}
 
 
 @pytest.mark.parametrize("shard", [4096, 4])
@@ -77,8 +116,8 @@ def test_chains_with_shuffled_ids_are_one_component(spark, monkeypatch, shard):
     rows = [(i, turn(10 * k), 0) for k, i in enumerate((1, 5, 6, 2))]
     rows += [(100 + i, turn(11 * k), 1) for k, i in enumerate(rng.sample(range(30), 30))]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in flat_graph.with_all_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=shard).collect()}
-    near, label = plain_links(rows)
-    assert got == {i: (len(near[i]), label[i]) for i in near} and set(label.values()) == {1, 100}
+    near, label = (by_id(rows, x) for x in plain_links(rows))
+    assert got == {i: (near[i], label[i]) for i in near} and set(label.values()) == {1, 100}
 
 
 def test_range_search_from_medoids_alone():
