@@ -60,9 +60,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """written(), in buckets of a key whose values already lie together: joins by the key read it where it is."""
+    spark = df.sparkSession
+    own = f"strataline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strataline/{own}"
+    df.write.bucketBy(buckets, key).options(path=path, compression="none").saveAsTable(own)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    out = spark.table(own)
+    out._strataline_path, out._strataline_table = path, own
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Delete what written() wrote, once no lazy result reads it any more."""
-    path = getattr(df, "_strataline_path", None)
+    path, own = getattr(df, "_strataline_path", None), getattr(df, "_strataline_table", None)
+    if own:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {own}")
     for item in [x for x in _written if x[1] == path]:
         _delete(*item)
         _written.remove(item)

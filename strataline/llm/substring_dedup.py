@@ -2,22 +2,23 @@
 
 A window is ``size`` consecutive words. Its anchor is the smallest of the
 hashes of the ``GRAM`` consecutive words within it, so equal windows have equal
-anchors, at different places. Every task counts the anchors of its texts in a
-count-min sketch that saturates at two; the sketches are merged by segments. An
-anchor's merged count is never below the number of times that any of its
-windows starts, so the sketch overestimates window counts, and a window whose
-estimate is one is unique for certain.
-
-A second pass over the texts sends on only windows with an estimate of two or
-more, grouped by anchor. Windows that start twice within one chunk of texts are
-settled there; of them just one row goes on, so that a passage which a third of
-all texts share costs one row a chunk. Windows of one anchor meet in one task,
-in sorted order, and are counted exactly. Within an anchor, whose words agree,
-64-bit hashes of the 35 words are taken for the words. What is repeated comes
-back as word ranges, which are joined to the texts by hashes of text and id.
-
-The sketch has at most 2 * 2 ** MAX_BITS cells (16 MB as broadcast); when the
-anchors outgrow it, more windows reach the second pass, and none is lost.
+anchors, at different places. The first pass counts the anchors of all chunks of
+texts in a count-min sketch that is dealt by hash range: each range merges what
+all chunks have of it, and answers them. An anchor's merged count is never below
+the number of times that any of its windows starts, so the sketch overestimates
+window counts, and a window whose estimate is one is unique for certain.
+
+The second pass sends on only windows with an estimate of two or more. They are
+dealt by their own hashes, each distinct one once for each chunk, and counted
+exactly; an answer comes back to the chunk. So neither an anchor that stands in
+many texts nor a passage that a third of them share gathers anywhere: it costs
+one entry of a few bytes for each chunk. The sketch grows with the input, and
+nothing of it is broadcast.
+
+Windows are told by 64-bit keyed hashes of their words. Two different windows
+share one by chance only, once in 2 ** 64 pairs, and neither is removed by that
+unless the other is estimated as repeated as well.
+
 Defined results: null and empty texts have no words and keep the empty text;
 a text of fewer words than a window is kept whole; rows repeated with the same
 id are two texts that equal each other; whole texts are read.
@@ -25,30 +26,24 @@ id are two texts that equal each other; whole texts are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import ragged
 from .common import table, text_or_empty, written
-from .sketches import Repeated, repeat_sketch
+from .dealt import answers, chunked, column, each, text_bytes, with_answers
 from .words import TOP, Words, grams, sliding, words_of
 from .workers import released
 
 SIZE = 35
 GRAM = 8
-MAX_BITS = 26
-#: Cells of a sketch row for each byte of text: anchors are 7 of 100 words.
-CELLS_A_BYTE = 0.03
-CHUNK = 3_000_000
-
-
-def sketch_bits(n_bytes: int) -> int:
-    return min(MAX_BITS, max(12, math.ceil(math.log2(max(1, n_bytes * CELLS_A_BYTE)))))
+#: Bytes of text for each anchor and for each window that may be repeated, about.
+ANCHOR_BYTES, WINDOW_BYTES = 80, 12
 
 
 def anchors(words: Words, size: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,137 +63,38 @@ def anchors(words: Words, size: int, gram: int = GRAM) -> tuple[np.ndarray, np.n
     return least, starts, g[(most == g) & (g != TOP)]
 
 
-def _runs(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
-    """Where runs of consecutive places start, with equal values of ``same`` throughout."""
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1] + 1
-    for values in same:
-        new[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(new)
-
-
-def _binary(lens: np.ndarray, values: np.ndarray) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum(lens * 8))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _words(rows: pa.Table) -> Words:
+    """Words of all texts of a chunk."""
+    return next((w for _, _, w in words_of(column(rows, "text"), most=1 << 60)), Words(*[np.empty(0, np.int64)] * 6))
 
 
-#: kind 0: windows of one place, to be counted; 1: a range that is settled; 2: windows that repeat somewhere, of no place.
-_SENT = ("part", "kind", "k1", "k2", "begin", "end", "hashes")
-_SENT_SCHEMA = "part long, kind int, k1 long, k2 long, begin long, end long, hashes binary"
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, counts = np.unique(values, return_counts=True)
+    return distinct, np.minimum(counts, 255)
 
 
-def _send(words: Words, k1: np.ndarray, k2: np.ndarray, estimates: Repeated, size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    least, starts, _ = anchors(words, size, gram)
+def _repeatable(words: Words, estimates: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows whose anchors are estimated to stand at two places or more."""
+    least, starts, places = anchors(words, size, gram)
     at = np.flatnonzero(starts)
-    at = at[estimates(least[at])]
-    if not len(at):
-        return
-    windows, anchor = grams(words.hashes, size)[at], least[at]
-    doc = np.searchsorted(words.after, at, side="right")
-    distinct, first, back, counts = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
-    settled = counts[back] > 1
-
-    def rows(part, kind, doc, begin, end, hashes):
-        n = len(part)
-        keys = [k[doc] if doc is not None else np.zeros(n, np.int64) for k in (k1, k2)]
-        columns = [part.view(np.int64), np.full(n, kind, np.int32), *keys, begin, end]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), hashes], _SENT)
-
-    if settled.any():
-        own, of = at[settled], doc[settled]
-        begins = _runs(own, of)
-        last = own[np.append(begins[1:], len(own)) - 1]
-        of = of[begins]
-        base = words.first[of]
-        none = _binary(np.zeros(len(of), np.int64), np.empty(0, np.uint64))
-        yield rows((k1[of] ^ (k2[of] << 1)), 1, of, own[begins] - base, last - base + size, none)
-        twice = first[counts > 1]
-        twice = twice[np.argsort(anchor[twice], kind="stable")]
-        begins = np.flatnonzero(np.append(True, anchor[twice][1:] != anchor[twice][:-1]))
-        lens = np.diff(np.append(begins, len(twice)))
-        zero = np.zeros(len(begins), np.int64)
-        yield rows(anchor[twice][begins], 2, None, zero, zero, _binary(lens, windows[twice]))
-    if not settled.all():
-        own, of, by, hashes = at[~settled], doc[~settled], anchor[~settled], windows[~settled]
-        begins = _runs(own, of, by)
-        lens = np.diff(np.append(begins, len(own)))
-        base = own[begins] - words.first[of[begins]]
-        yield rows(by[begins], 0, of[begins], base, base + lens, _binary(lens, hashes))
-
-
-def _settle(part: np.ndarray, kind: np.ndarray, k1, k2, begin, end, hashes: list[bytes], size: int) -> pa.RecordBatch:
-    """Ranges of words that repeat, from all rows of some anchors."""
-    out = [(k1[kind == 1], k2[kind == 1], begin[kind == 1], end[kind == 1])]
-    rows = np.flatnonzero(kind != 1)
-    values = np.frombuffer(b"".join(hashes[r] for r in rows), np.uint64)
-    if len(values):
-        lens = np.array([len(hashes[r]) // 8 for r in rows])
-        of = np.repeat(rows, lens)
-        key = values * np.uint64(0x9E3779B97F4A7C15) + part[of].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        _, back = np.unique(key, return_inverse=True)
-        counts = np.bincount(back, np.where(kind[of] == 2, 2, 1))
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(lens) - lens, lens)
-        hit = (counts[back] >= 2) & (kind[of] == 0)
-        of, offset = of[hit], offset[hit]
-        if len(of):
-            begins = _runs(offset, of)
-            last = offset[np.append(begins[1:], len(offset)) - 1]
-            of, offset = of[begins], offset[begins]
-            out.append((k1[of], k2[of], begin[of] + offset, begin[of] + last + size))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "begin", "end"])
-
-
-def repeated_ranges(keyed: DataFrame, estimates: Repeated, size: int, gram: int) -> DataFrame:
-    """k1, k2 and the ranges of words (end exclusive) that repeated windows cover, of rows (text, k1, k2)."""
-    shared = keyed.sparkSession.sparkContext.broadcast((estimates.bits, estimates.twice))
-
-    @released
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Repeated(*shared.value)
-        for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
-            for a, b, words in words_of(batch.column(0), most=CHUNK):
-                yield from _send(words, k1[a:b], k2[a:b], known, size, gram)
-
-    @released
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            arrays = [rows.column(i).to_numpy() for i in range(6)]
-            return _settle(*arrays, rows.column(6).to_pylist(), size)
-
-        for batch in batches:  # sorted by anchor; the last one may go on in the next batch
-            if not batch.num_rows:
-                continue
-            part = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(part, part[-1]))
-            if cut == 0 and kept and kept[-1].column(0)[-1].as_py() == part[-1]:
-                kept.append(batch)
-                continue
-            yield done(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-            kept = [batch.slice(cut)]
-        if kept:
-            yield done(pa.Table.from_batches(kept))
-
-    sent = keyed.mapInArrow(send, _SENT_SCHEMA).repartition("part").sortWithinPartitions("part")
-    ranges = sent.mapInArrow(settle, "k1 long, k2 long, begin long, end long")
-    return ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-
-
-def _keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), doc_id.cast("string")).alias("k2")
-
-
-def _kept(text: str, ranges: list[dict] | None) -> tuple[str, int, int]:
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not ranges:
-        return b" ".join(words).decode("utf-8", "surrogatepass"), len(words), 0
-    keep = np.ones(len(words), bool)
-    for r in ranges:
-        keep[r["begin"] : r["end"]] = False
-    kept = [words[k] for k in np.flatnonzero(keep)]
-    return b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)
+    at = at[estimates[np.searchsorted(np.unique(places), least[at])] > 1] if len(at) else at
+    return at, grams(words.hashes, size)[at] if len(at) else np.empty(0, np.uint64)
+
+
+def _kept(words: Words, keep: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Kept words of each text, joined by blanks, and their numbers."""
+    lens = (words.ends - words.starts)[keep] + 1
+    data = np.append(words.data, np.uint8(32))[ragged(words.starts[keep], lens)]
+    ends = np.cumsum(lens)
+    data[ends - 1] = 32
+    total = np.concatenate(([0], np.cumsum(keep)))
+    first, after = total[words.first], total[words.after]
+    bounds = np.concatenate(([0], ends))
+    begin, end = bounds[first], np.maximum(bounds[first], bounds[after] - 1)  # without the last blank
+    sizes = end - begin
+    flat = data[ragged(begin, sizes)]
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.string()), after - first
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
@@ -206,27 +102,34 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     if not 1 <= gram <= size:
         raise ValueError("an anchor is no longer than a window")
     own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bytes = text_bytes(own, "text")
+    chunks = chunked(own, "text", n_bytes, "texts")
+
+    def anchor_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(anchors(_words(rows), size, gram)[2])
 
-    def found_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, words in words_of(batch.column(0), most=CHUNK):
-            yield anchors(words, size, gram)[2]
+    def window_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(_repeatable(_words(rows), known[0], size, gram)[1])
 
-    estimates = repeat_sketch(own.select("text"), found_in, sketch_bits(n_bytes))
-    keyed = own.select("doc_id", "text", *_keys(F.col("doc_id"), F.col("text")))
-    found = written(repeated_ranges(keyed.select("text", "k1", "k2"), estimates, size, gram), "ranges")
-    found = found.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "ranges")
-    joined = keyed.join(found, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select("doc_id", "text", "ranges")
+    estimates = written(answers(chunks, anchor_keys, n_bytes // ANCHOR_BYTES, "estimates", sketch=True), "estimates")
+    estimated = with_answers(chunks, estimates)
+    repeats = written(answers(estimated, window_keys, n_bytes // WINDOW_BYTES, "repeats", exact=True), "repeats")
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_kept(t, r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "kept_text", "n_words", "n_removed"])
+        for _, rows, (estimates, repeats) in each(batches):
+            words = _words(rows)
+            at, windows = _repeatable(words, estimates, size, gram)
+            at = at[repeats[np.unique(windows, return_inverse=True)[1]] > 1]
+            edge = np.zeros(len(words.hashes) + 1, np.int64)
+            edge[at] += 1
+            np.subtract.at(edge, at + size, 1)
+            kept, n_kept = _kept(words, np.cumsum(edge[:-1]) == 0)
+            n_words = words.after - words.first
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), kept, pa.array(n_words), pa.array(n_words - n_kept)], ["doc_id", "kept_text", "n_words", "n_removed"])
 
     schema = T.StructType([own.schema["doc_id"], *[T.StructField(c, k) for c, k in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()))]])
-    return joined.mapInArrow(cut, schema)
+    return with_answers(estimated, repeats).mapInArrow(cut, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

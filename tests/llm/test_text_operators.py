@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strataline.llm import bpe, jaccard_join, mixing, packing, secret_scan, substring_dedup, token_counts, toxicity, url_filter
+from strataline.llm import bpe, dealt, jaccard_join, mixing, packing, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 from strataline.llm.bpe import WordBpe
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -53,8 +53,10 @@ def test_substring_dedup(documents, size, gram):
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out.collect()) == want
 
 
-def test_substring_dedup_with_a_sketch_that_is_too_small(documents, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "sketch_bits", lambda n: 6)
+@pytest.mark.parametrize("bits, chunk", [(0, 300), (5, 2000)])
+def test_substring_dedup_in_many_chunks(documents, monkeypatch, bits, chunk):
+    monkeypatch.setattr(dealt, "CHUNK", chunk)
+    monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
     plain = rows_of(documents)
     want = collections.Counter((i, *x) for (i, _), x in zip(plain, plain_repeats([t for _, t in plain], 35), strict=True))
     out = substring_dedup.remove_repeats(documents)
