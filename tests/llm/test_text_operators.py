@@ -69,6 +69,7 @@ def test_words_of_regular_structure_are_told_apart(spark):
     assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0}
     short = docs.filter("doc_id < 2")
     assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(short).collect()} == {(0, 0), (1, 1)}
+    assert jaccard_join.near_duplicate_stage(spark, short, "").count() == 2
 
 
 def plain_components(rows, size=5, percent=75):
@@ -99,10 +100,32 @@ def test_jaccard_join(documents, percent, few, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_components(rows_of(documents), percent=percent)
 
 
+@pytest.mark.parametrize("bits, chunk", [(0, 400), (4, 3000)])
+def test_jaccard_join_in_many_chunks(documents, monkeypatch, bits, chunk):
+    monkeypatch.setattr(dealt, "CHUNK", chunk)
+    monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
+    out = jaccard_join.jaccard_components(documents)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_components(rows_of(documents))
+
+
 def test_near_duplicate_stage(spark, documents):
-    with_id = documents.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = {r["doc_id"] for r in jaccard_join.near_duplicate_stage(spark, with_id, "").collect()}
-    assert kept == {i for i, n, c in plain_components(rows_of(with_id)) if n == 0 or c == i}
+    """Of each component one row, with its least id; repeated rows and ids, null ids and clashing columns included."""
+    docs = documents.withColumns({c: F.lit(c) for c in ("__id", "row", "chunk", "payload", "sid")})
+    kept = jaccard_join.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = collections.Counter(rows_of(kept))
+    assert not got - collections.Counter(rows_of(docs)) and {r["payload"] for r in kept.collect()} == {"payload"}
+    every = [(i, n, c) for (i, n, c), k in plain_components(rows_of(docs)).items() for _ in range(k)]
+    want = sum(n == 0 for _, n, _ in every) + len({c for _, n, c in every if n})
+    assert sum(got.values()) == want
+    assert {i for i, _ in got} == {i for i, n, c in every if n == 0 or c == i}
+
+
+def test_a_repeated_id_loses_no_text(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (None, b), (None, "c c c"), (11, None), (11, None)], "doc_id long, text string")
+    got = collections.Counter(rows_of(jaccard_join.near_duplicate_stage(spark, docs, "")))
+    assert got == {(3, a): 1, (7, b): 1, (None, "c c c"): 1, (11, None): 2}
 
 
 def test_token_counts(documents, tokenizer):

@@ -197,19 +197,33 @@ def test_components(spark):
     assert got == {x: y for x, y in want.items() if any(x in link and link[0] != link[1] for link in links)}
 
 
-@pytest.mark.parametrize("fan_in", [256, 2])
-def test_sketches_are_merged_from_all_tasks(spark, monkeypatch, fan_in):
-    from strataline.llm import sketches
+@pytest.mark.parametrize("exact, sketch", [(True, False), (False, False), (False, True)])
+@pytest.mark.parametrize("bits", [0, 6])
+def test_counts_are_answered_to_all_chunks(spark, monkeypatch, bits, exact, sketch):
+    from strataline.llm import dealt
     from strataline.llm.words import mixed
 
-    monkeypatch.setattr(sketches, "FAN_IN", fan_in)
+    monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
+    monkeypatch.setattr(dealt, "CHUNK", 40)
     rng = np.random.default_rng(8)
     plain = rng.integers(0, 3000, 5000)
-    df = spark.createDataFrame([(int(x),) for x in plain], "x long").repartition(9)
-    hashes = lambda batch: [mixed(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1))]
-    values, counts = np.unique(plain, return_counts=True)
-    own = mixed(values.astype(np.uint64) + np.uint64(1))
-    for bits in (8, 12, 21):
-        repeated, counted = sketches.repeat_sketch(df, hashes, bits)(own), sketches.count_sketch(df, hashes, bits)(own)
-        assert repeated[counts > 1].all() and (counted >= np.minimum(counts, 255)).all()
-        assert bits < 21 or ((repeated == (counts > 1)).mean() > 0.99 and (counted == counts).mean() > 0.99)
+    df = spark.createDataFrame([(str(x),) for x in plain], "x string").repartition(9)
+
+    def keys(rows, known):
+        values = mixed(dealt.column(rows, "x").cast("uint64").to_numpy() + np.uint64(1))
+        distinct, counts = np.unique(values, return_counts=True)
+        return distinct, np.minimum(counts, 255)
+
+    chunks = dealt.chunked(df, "x", 5000, "test")
+    found = dealt.with_answers(chunks, dealt.answers(chunks, keys, 5000, "a", exact, sketch))
+    true = dict(zip(*np.unique(plain, return_counts=True), strict=True))
+    rows = right = 0
+    for _, own, (answer,) in dealt.each(iter(found.toArrow().to_batches())):
+        values = dealt.column(own, "x").cast("int64").to_numpy()
+        rows += len(values)
+        hashes = mixed(values.astype(np.uint64) + np.uint64(1))
+        for x, got in zip(values.tolist(), answer[np.searchsorted(np.unique(hashes), hashes)].tolist(), strict=True):
+            least = int(true[x]).bit_length()
+            assert got >= least and (sketch or got == least)
+            right += got == least
+    assert rows == 5000 and right > 4900
