@@ -201,6 +201,7 @@ def test_components(spark):
 @pytest.mark.parametrize("bits", [0, 6])
 def test_counts_are_answered_to_all_chunks(spark, monkeypatch, bits, exact, sketch):
     from strataline.llm import dealt
+    from strataline.llm.dealt import column
     from strataline.llm.words import mixed
 
     monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
@@ -210,7 +211,7 @@ def test_counts_are_answered_to_all_chunks(spark, monkeypatch, bits, exact, sket
     df = spark.createDataFrame([(str(x),) for x in plain], "x string").repartition(9)
 
     def keys(rows, known):
-        values = mixed(dealt.column(rows, "x").cast("uint64").to_numpy() + np.uint64(1))
+        values = mixed(column(rows, "x").cast("uint64").to_numpy() + np.uint64(1))
         distinct, counts = np.unique(values, return_counts=True)
         return distinct, np.minimum(counts, 255)
 
