@@ -2,13 +2,16 @@
 
 The lexicon is learned from labelled rows: words, and stems with any ending,
 that stand in toxic documents and in varied places, but hardly in others. A
-trie of its terms is run together with the automata of one edit, as one
-deterministic automaton that is built as far as words reach it. Each hit has a
-probability, learned by term and, for exact hits, by whether one word of the
-text or several are the term; for words one edit away by the very spelling
-where it was seen often enough. A window of words around it tells quotation, which takes most of
-the weight, from abuse. The score is one minus the product of what the hits
-leave; labels, languages, sources and ids are no inputs.
+trie of its terms is run together with the automata of one edit (a letter more,
+less or another, or two swapped), as one deterministic automaton that is built
+as far as words reach it. Each hit has a probability, learned by term and, for
+exact hits, by whether one word of the text or several are the term; for words
+one edit away by the very spelling where it was seen often enough. A window of
+words around it tells quotation from abuse: quotation marks and single words
+near hits have weights, which are learned from how often hits with them stand in
+toxic documents, and begin at QUOTED for marks and words of reporting. The
+score is one minus the product of what the hits leave; labels, languages,
+sources and ids are no inputs.
 
 The learner reads at most MAX_LABELLED labelled rows outside the held-out
 quarter, chosen by a hash of their ids; every count runs on the executors and
@@ -51,8 +54,11 @@ BY_CHANCE = 1e-7
 HELD = 500_000
 PRIOR_FUZZY = 0.9
 WINDOW = 6
-QUOTED = 0.3
+#: What a hit in quotation marks, or near a word of reporting, counts until labels say otherwise; in toxic and clean documents so many.
+QUOTED, PRIOR_DOCS = 0.3, 4
 REPORTS = frozenset("said says quoted quote wrote written called word words term phrase insult slur reported reports alleged dit écrit mot sagte schrieb wort dijo escribió palabra".split())
+#: The feature of a hit between quotation marks; no word has a mark.
+MARKS = '"'
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(r"""["“”„«»]""")
@@ -96,13 +102,13 @@ class LexiconAutomaton:
         self.start = self._number(self._close({(0, 0)}))
 
     def _close(self, items: set) -> frozenset:
-        """items with those that a left-out letter reaches. An item is a node with edits so far, or a stem (below 0) that is complete."""
+        """items with those that a left-out letter reaches. An item is a node with edits so far, or a stem (below 0) that is complete; edits of 2 and more wait for that letter, which was swapped with the one before."""
         out = set(items)
         for node, edits in items:
             if node >= 0 and edits == 0:
                 out.update((x, 1) for x in self.child[node].values() if self.edits_left[x])
         for node, edits in list(out):
-            if node in self.stems and (edits == 0 or len(self.terms[self.stems[node]].text) >= FUZZY_FROM):
+            if node in self.stems and edits < 2 and (edits == 0 or len(self.terms[self.stems[node]].text) >= FUZZY_FROM):
                 out.add((-1 - self.stems[node], edits))
         return frozenset((node, edits) for node, edits in out if edits == 0 or (node, 0) not in out)
 
@@ -112,7 +118,7 @@ class LexiconAutomaton:
             self.sets.append(items)
             self.go.append({})
             ends = [Hit(-1 - node, edits) for node, edits in items if node < 0]
-            ends += [Hit(self.whole[node], edits) for node, edits in items if node in self.whole and (edits == 0 or len(self.terms[self.whole[node]].text) >= FUZZY_FROM)]
+            ends += [Hit(self.whole[node], edits) for node, edits in items if node in self.whole and edits < 2 and (edits == 0 or len(self.terms[self.whole[node]].text) >= FUZZY_FROM)]
             self.found.append(min(ends, key=lambda h: (h.edits, -len(self.terms[h.term].text), h.term), default=None))
         return self.numbers[items]
 
@@ -122,12 +128,17 @@ class LexiconAutomaton:
             if node < 0:
                 out.add((node, edits))
                 continue
+            if edits >= 2:
+                if c == chr(edits - 2):
+                    out.add((node, 1))
+                continue
             if c in self.child[node]:
                 out.add((self.child[node][c], edits))
             if edits == 0:
                 if self.edits_left[node]:
                     out.add((node, 1))
                 out.update((x, 1) for k, x in self.child[node].items() if k != c and self.edits_left[x])
+                out.update((self.child[x][c], 2 + ord(k)) for k, x in self.child[node].items() if k != c and c in self.child[x] and self.edits_left[self.child[x][c]])
         out = {(n, e) for n, e in out if e == 0 or n < 0 or self.edits_left[n]}
         self.go[state][c] = to = self._number(self._close(out))
         return to
@@ -143,10 +154,11 @@ class LexiconAutomaton:
 
 
 class ToxicityModel:
-    """Terms and probabilities: of a term's exact hits by how many different words hit (1, or 2 and more), of words one edit away by term, or by word where it is known."""
+    """Terms and probabilities: of a term's exact hits by how many different words hit (1, or 2 and more), of words one edit away by term, or by word where it is known; near: weights of hits by what is near them."""
 
-    def __init__(self, terms: list[Term], exact: list[tuple[float, float]], fuzzy: list[float], spelling: dict[str, float], base: float):
+    def __init__(self, terms: list[Term], exact: list[tuple[float, float]], fuzzy: list[float], spelling: dict[str, float], base: float, near: dict[str, float] | None = None):
         self.terms, self.exact, self.fuzzy, self.spelling, self.base = terms, exact, fuzzy, spelling, base
+        self.near = dict.fromkeys((MARKS, *REPORTS), QUOTED) if near is None else near
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -182,7 +194,7 @@ class Scorer:
         text = (text or "").lower()
         found = self.spellings(text)
         if found:
-            weights = contexts(text, found)
+            weights = contexts(text, found, self.model.near)
             exact: dict[int, list[str]] = {}
             for w, hit in found.items():
                 if hit.edits:
@@ -194,21 +206,25 @@ class Scorer:
         return 1 - left
 
 
-def contexts(text: str, found: dict[str, Hit]) -> dict[str, float]:
-    """The weight of each word that hits: the most that one of its places has."""
+def places(text: str, found: dict[str, Hit]) -> Iterator[tuple[str, bool, list[str]]]:
+    """Each place of the words that hit: the word, whether it stands in quotation marks, and the window of words around it, itself included."""
     spans = [(m.start(), m.group()) for m in _WORD.finditer(text)]
     marks = [m.start() for m in _QUOTES.finditer(text)]
     lines = [m.start() for m in re.finditer("\n", text)] if marks else []
-    out = dict.fromkeys(found, 0.0)
     hit_at = [k for k, (_, w) in enumerate(spans) if w in found]
     inside = _quoted([spans[k][0] for k in hit_at], marks, lines)
     for n, k in enumerate(hit_at):
-        around = [w for _, w in spans[max(0, k - WINDOW) : k + WINDOW + 1]]
-        weight = 1.0
-        if inside[n] or not REPORTS.isdisjoint(around):
-            others = sum(w in found for w in around) - 1
-            weight = QUOTED if inside[n] or others == 0 else min(1.0, QUOTED * (1 + others))
-        out[spans[k][1]] = max(out[spans[k][1]], weight)
+        yield spans[k][1], inside[n], [w for _, w in spans[max(0, k - WINDOW) : k + WINDOW + 1]]
+
+
+def contexts(text: str, found: dict[str, Hit], near: dict[str, float]) -> dict[str, float]:
+    """The weight of each word that hits: the most that one of its places has, which is the least by what is near it. Other hits around make it more, but for quotation marks."""
+    out = dict.fromkeys(found, 0.0)
+    for word, inside, around in places(text, found):
+        others = sum(w in found for w in around) - 1
+        by_words = min((near[w] for w in around if w in near), default=1.0)
+        weight = min(1.0, by_words * (1 + others), near[MARKS] if inside else 1.0)
+        out[word] = max(out[word], weight)
     return out
 
 
@@ -384,7 +400,40 @@ def learn(sample: DataFrame) -> ToxicityModel:
     shares = [(t + 2 * PRIOR_FUZZY) / (n + 2) for t, n in counts]
     spelling = {r["word"]: above(r["t"], r["n"], shares[r["term"]]) for r in rows if r["word"] is not None}
     t, n = pooled(-1, 0)
-    return ToxicityModel(terms, exact, [above(t, n, PRIOR_FUZZY) for t, n in counts], spelling, min(0.2, t / max(1, n)))
+    fuzzy = [above(t, n, PRIOR_FUZZY) for t, n in counts]
+    return ToxicityModel(terms, exact, fuzzy, spelling, min(0.2, t / max(1, n)), near_weights(sample, blank))
+
+
+def near_weights(sample: DataFrame, blank: ToxicityModel) -> dict[str, float]:
+    """Weights of what is near hits: the share of toxic documents among those where it is near one, of that among all with hits. Words that aren't of reporting have one if clean documents have them beyond chance."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = blank.scorer()
+        for batch in batches:
+            rows: list[tuple[str, int]] = []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = (text or "").lower()
+                if found := scorer.spellings(text):
+                    features = {""}  # the document itself
+                    for _, inside, around in places(text, found):
+                        features.update(w for w in around if w not in found)
+                        features.update(MARKS * inside)
+                    rows += [(f, int(y)) for f in features]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int64())], ["feature", "toxic"])
+
+    by = sample.select("text", "toxic").mapInArrow(run, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    known = ("", MARKS, *REPORTS)
+    found = {r["feature"]: (r["t"], r["c"]) for r in by.filter((F.col("c") >= LEAST) | F.col("feature").isin(*known)).collect()}
+    t, c = found.pop("", (0, 0))
+    share = (t + 1) / (t + c + 2)
+    near = {}
+    for f in {*found, *known[1:]}:
+        t, c = found.get(f, (0, 0))
+        prior = QUOTED if f in known else 1.0
+        if f in known or unlikely(c, t, 1 - share) >= -math.log(BY_CHANCE):
+            near[f] = min(1.0, (t + PRIOR_DOCS * prior * share) / (t + c + PRIOR_DOCS) / share)
+    return near
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
@@ -416,5 +465,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below the threshold."""
-    out = score_toxicity(docs, model_for(docs, table(spark, sf_dir, "labels")), keep=tuple(docs.columns), name="__score")
-    return out.filter(F.col("__score") < THRESHOLD).drop("__score")
+    rows = docs.select(F.col("text"), F.struct(*docs.columns).alias("row"))
+    out = score_toxicity(rows, model_for(docs, table(spark, sf_dir, "labels")), keep=("row",))
+    return out.filter(F.col("score") < THRESHOLD).select("row.*")

@@ -400,6 +400,27 @@ def test_counts_given_on_in_parts(spark, monkeypatch):
     assert got["cretin$"] == got["cret"] == (4, 3) and got["two$"] == (2, 1)
 
 
+def test_weights_of_contexts_are_learned(spark):
+    toxic = [f"the w{k} cretin at{k % 7}" for k in range(200)] + [f'the w{k} "cretin" at{k % 7}' for k in range(100)]
+    clean = [f"the footnote w{k} cretin at{k % 7}" for k in range(12)] + [f"the w{k} reported cretin" for k in range(2)] + ["the river cloud stone"] * 3000
+    model = toxicity.learn(labelled(spark, toxic, clean))
+    assert toxicity.Term("cretin", False) in model.terms
+    near = model.near
+    assert near[toxicity.MARKS] > 0.9  # hits in quotation marks are as toxic here as others
+    assert near["footnote"] < 0.3 and "the" not in near and near["reported"] < 0.3 and near["quoted"] == pytest.approx(toxicity.QUOTED)
+    scores = [model.scorer().score(t) for t in ("a footnote on cretin", 'so "cretin" then', "you utter cretin", "you utter certin", "river")]
+    assert scores[0] < toxicity.THRESHOLD < min(scores[1:4]) and scores[4] < 0.1
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_toxicity_on_held_out_documents(spark, sf, least):
+    folder = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.op2_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= least * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
 def test_toxicity_without_labels(spark, documents, table_dir):
     folder = table_dir(documents=documents, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.op2_toxicity(spark, folder).filter("score = 0 and predicted = 0").count() == documents.count()
@@ -409,7 +430,8 @@ def edits(a, b):
     if a == b:
         return 0
     if len(a) == len(b):
-        return 1 if sum(x != y for x, y in zip(a, b, strict=True)) == 1 else 2
+        swapped = any(a[:k] + a[k + 1] + a[k] + a[k + 2 :] == b for k in range(len(a) - 1))
+        return 1 if swapped or sum(x != y for x, y in zip(a, b, strict=True)) == 1 else 2
     a, b = sorted((a, b), key=len)
     return 1 if len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b))) else 2
 
