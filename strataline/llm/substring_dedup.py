@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .bpe import ragged
 from .common import table, text_or_empty, written
 from .dealt import answers, chunked, column, each, text_bytes, with_answers
-from .words import TOP, Words, grams, sliding, words_of
+from .words import TOP, Words, grams, mixed, sliding, words_of
 from .workers import released
 
 SIZE = 35
@@ -77,7 +77,7 @@ def _repeatable(words: Words, estimates: np.ndarray, size: int, gram: int) -> tu
     """Places and hashes of the windows whose anchors are estimated to stand at two places or more."""
     least, starts, places = anchors(words, size, gram)
     at = np.flatnonzero(starts)
-    at = at[estimates[np.searchsorted(np.unique(places), least[at])] > 1] if len(at) else at
+    at = at[estimates[np.searchsorted(np.unique(mixed(places)), mixed(least[at]))] > 1] if len(at) else at
     return at, grams(words.hashes, size)[at] if len(at) else np.empty(0, np.uint64)
 
 
@@ -105,8 +105,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     n_bytes = text_bytes(own, "text")
     chunks = chunked(own, "text", n_bytes, "texts")
 
+    # anchors are small hashes; mixed, they fall evenly on ranges
     def anchor_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return _counted(anchors(_words(rows), size, gram)[2])
+        return _counted(mixed(anchors(_words(rows), size, gram)[2]))
 
     def window_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return _counted(_repeatable(_words(rows), known[0], size, gram)[1])
