@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,10 +39,12 @@ def checked(expressions: Mapping[str, str], max_nodes: int = 50) -> tuple[dict[s
     return good, bad
 
 
-def score_candidates(panel: DataFrame, programs: Mapping[str, str | Program], split: Split, max_nodes: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Values (wide), daily series and window metrics of all candidates; values come from the whole panel, once."""
+def score_candidates(panel: DataFrame, programs: Mapping[str, str | Program], split: Split, max_nodes: int = 50, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Values (wide), daily series and window metrics of all candidates; values come from the whole panel, once. keep: what makes the values and the figures last."""
     wide = evaluate_many(panel, programs, keep=(LABEL,), max_nodes=max_nodes)
+    wide = keep(wide) if keep else wide
     figures = daily_figures(long_values(wide, list(programs), split.windows()))
+    figures = keep(figures) if keep else figures
     return wide, daily_series(figures), window_metrics(figures)
 
 

@@ -54,3 +54,36 @@ SPECS = {
     "TS_SINCE": Spec(1, "ts"),
     "TS_COUNT": Spec(2, "ts", 1, 1),
 }
+
+#: Names of each operator's arguments, and what it gives.
+MEANINGS = {
+    "TS_MEAN": ("x, rows", "mean of the instrument's last rows"),
+    "TS_SUM": ("x, rows", "sum of the last rows"),
+    "TS_MIN": ("x, rows", "smallest of the last rows"),
+    "TS_MAX": ("x, rows", "largest of the last rows"),
+    "TS_STD": ("x, rows", "sample deviation of the last rows, which are 2 at least"),
+    "TS_RANK": ("x, rows", "rank of the newest value among the last rows, as a share up to 1"),
+    "DELTA": ("x, rows", "change since so many rows ago"),
+    "DELAY": ("x, rows", "value of so many rows ago"),
+    "TS_CORR": ("x, y, rows", "correlation of two values over the last rows"),
+    "CS_RANK": ("x", "rank among the date's instruments, as a share up to 1"),
+    "CS_ZSCORE": ("x", "distance from the date's mean in deviations"),
+    "CS_WINSORIZE": ("x, low, high", "value cut at two quantiles of its date, given as shares"),
+    "CS_NEUTRALIZE": ("x, group", "value minus the mean of its group on the date"),
+    "CS_BUCKET": ("x, buckets", "number of the bucket, from 1, among equally large ones of the date"),
+    "ADD": ("x, y", "sum"),
+    "SUBTRACT": ("x, y", "difference"),
+    "MULTIPLY": ("x, y", "product"),
+    "DIVIDE": ("x, y", "quotient, missing where y is 0"),
+    "ABS": ("x", "absolute value"),
+    "SIGN": ("x", "-1, 0 or 1"),
+    "LOG": ("x", "natural logarithm, missing unless x is above 0"),
+    "POW": ("x, power", "power with a whole exponent"),
+    "GT": ("x, y", "1 where x is above y, else 0"),
+    "LT": ("x, y", "1 where x is below y, else 0"),
+    "IF_THEN_ELSE": ("condition, x, y", "x where the condition is not 0, else y"),
+    "TS_SINCE": ("event", "rows since the event was last other than 0"),
+    "TS_COUNT": ("event, rows", "how many of the last rows have an event other than 0"),
+}
+if MEANINGS.keys() != SPECS.keys() or any(len(MEANINGS[op][0].split(", ")) != spec.arity for op, spec in SPECS.items()):
+    raise AssertionError("each operator has a meaning and a name for each argument")

@@ -10,24 +10,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import pearson
+from ..functions.storing import stored
 
 #: Fixed values.
 NEAREST = 3
 MAX_CORRELATION = 0.8
 #: Pairs of columns whose correlations are aggregated at once.
 PAIRS_A_PASS = 200
+COLUMNS_A_BLOCK = 14
 
 
 def pair_correlations(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(a, b, rho): mean over dates of the correlation of two columns across instruments.
 
     One aggregation by date for all pairs of a pass; values are never joined
-    with themselves.
+    with themselves. Where one pass isn't enough, the columns are written first,
+    and each pass reads those of a few blocks of columns.
     """
     out = None
+    if len(pairs) > PAIRS_A_PASS:
+        wide = stored(wide)
+        block = {c: k // COLUMNS_A_BLOCK for k, c in enumerate(dict.fromkeys(x for p in pairs for x in p))}
+        pairs = sorted(pairs, key=lambda p: (block[p[0]], block[p[1]]))
     for k in range(0, len(pairs), PAIRS_A_PASS):
         some = pairs[k : k + PAIRS_A_PASS]
-        daily = wide.groupBy("datetime").agg(*[pearson(F.col(a), F.col(b)).alias(f"r{n}") for n, (a, b) in enumerate(some)])
+        columns = dict.fromkeys(x for p in some for x in p)
+        daily = wide.select("datetime", *columns).groupBy("datetime").agg(*[pearson(F.col(a), F.col(b)).alias(f"r{n}") for n, (a, b) in enumerate(some)])
         means = daily.agg(*[F.avg(f"r{n}").alias(f"r{n}") for n in range(len(some))])
         rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{n}").alias("rho")) for n, (a, b) in enumerate(some)]))
         found = means.select(rows.alias("p")).select("p.a", "p.b", "p.rho")

@@ -107,17 +107,22 @@ def blocks(days: DataFrame, n: int = BLOCKS) -> DataFrame:
 
 
 def split_results(blocked: DataFrame, n_members: int, n: int = BLOCKS) -> DataFrame:
-    """(split, best, omega, log_odds): for each half of the blocks, the member that is best there and its standing in the other half."""
+    """(split, best, omega, log_odds): for each half of the blocks, the member that is best there and its standing in the other half.
+
+    A member is one row with the sums of its blocks, and is laid out by split;
+    nothing is joined. A split is a number whose bits are the blocks of one half.
+    """
     sums = blocked.groupBy("place", "block").agg(F.sum("daily_ic").alias("s"), F.count("daily_ic").alias("c"))
-    spark = blocked.sparkSession
-    splits = spark.range(1 << n).filter(F.bit_count("id") == n // 2).withColumnRenamed("id", "split")
-    inside = F.expr("shiftright(split, block) & 1") == 1
-    each = splits.join(F.broadcast(sums))  # n * members rows
+    members = sums.groupBy("place").agg(F.collect_list(F.struct("block", "s", "c")).alias("cells"))
+    splits = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << n) - 1).cast("long")), lambda x: F.bit_count(x) == n // 2)
+    each = members.select("place", "cells", F.explode(splits).alias("split"))
 
-    def mean(which):
-        return F.round(F.try_divide(F.sum(F.when(which, F.col("s"))), F.sum(F.when(which, F.col("c"))).cast("double")), DIGITS)
+    def mean(half: int):
+        cells = F.expr(f"filter(cells, x -> (shiftright(split, cast(x.block as int)) & 1) = {half})")
+        total = F.aggregate(cells, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["c"] + x["c"]).alias("c")))
+        return F.round(F.try_divide(total["s"], total["c"].cast("double")), DIGITS)
 
-    halves = each.groupBy("split", "place").agg(mean(inside).alias("within"), mean(~inside).alias("beyond"))
+    halves = each.select("split", "place", mean(1).alias("within"), mean(0).alias("beyond"))
     by, ties = Window.partitionBy("split"), Window.partitionBy("split", "beyond")
     rank = F.rank().over(by.orderBy("beyond")) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
     first = F.row_number().over(by.orderBy(F.desc("within"), "place"))

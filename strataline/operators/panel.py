@@ -39,8 +39,6 @@ DIVIDEND = "funda_div_per_share"
 LABEL = "label_fwd_10d"
 HORIZON = 10
 SHARE_CODES = (10, 11)
-#: Dates of a trading calendar that are broadcast at most; longer ones are joined without a hint.
-MAX_CALENDAR = 100_000
 
 
 def _own():
@@ -79,35 +77,45 @@ def with_label(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
 def select_universe(raw: DataFrame, as_of: str, until: str, size: int) -> DataFrame:
     """(rank, instrument): the largest on the first date from as_of on, among those with a row on every date until the end.
 
-    If fewer than size qualify, continuity is ignored. Only the top of the list,
-    size rows at most, is ever ordered globally.
+    If fewer than size qualify, continuity is ignored. One aggregation by
+    instrument has its first date, its cap then and its number of dates; only
+    the top of that list, size rows, comes to the driver.
     """
     check_columns(raw, ("dlycaldt", "ticker", "dlycap"), "market frame")
     rows = raw if "shrcd" not in raw.columns else raw.filter(F.col("shrcd").isin(*SHARE_CODES))
     rows = rows.select(F.col("dlycaldt").cast("date").alias("d"), F.col("ticker").cast("string").alias("instrument"), as_number(F.col("dlycap")).alias("cap")).filter(F.col("d") >= F.lit(as_of).cast("date"))
-    first = rows.agg(F.min("d")).first()[0]
-    if first is None:
+    within = F.col("d") <= F.lit(until).cast("date")
+    dates = rows.filter(within).agg(F.count_distinct("d")).first()[0]
+    by_date = rows.filter("instrument is not null").groupBy("instrument", "d").agg(F.max("cap").alias("cap"))
+    by = by_date.groupBy("instrument").agg(F.min(F.struct("d", "cap")).alias("first"), F.count_if(within).alias("n"))
+
+    def top(df: DataFrame) -> list:
+        """Up to size instruments on the least first date, the largest cap first."""
+        found = df.orderBy("first.d", F.col("first.cap").desc_nulls_last(), "instrument").select("instrument", "first.d").limit(size).collect()
+        return [r for r in found if r["d"] == found[0]["d"]]
+
+    chosen = top(by.filter(F.col("n") == dates))
+    if len(chosen) < size:
+        chosen = top(by)
+    if not chosen:
         raise ValueError("no trading day on or after the as-of date")
-    within = rows.filter(F.col("d") <= F.lit(until).cast("date"))
-    n_dates = within.select("d").distinct().count()
-    steady = within.groupBy("instrument").agg(F.countDistinct("d").alias("n")).filter(F.col("n") == n_dates).select("instrument")
-    caps = rows.filter(F.col("d") == F.lit(first)).groupBy("instrument").agg(F.max("cap").alias("cap"))
-    top = lambda df: df.orderBy(F.col("cap").desc_nulls_last(), "instrument").limit(size)
-    chosen = top(caps.join(steady, "instrument", "left_semi"))
-    if chosen.count() < size:
-        chosen = top(caps)
-    return chosen.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cap").desc_nulls_last(), "instrument"))).select("rank", "instrument")
+    return raw.sparkSession.createDataFrame([(k, r["instrument"]) for k, r in enumerate(chosen, 1)], "rank int, instrument string")
 
 
 def effective_dates(facts: DataFrame, calendar: DataFrame) -> DataFrame:
-    """facts with the first date of the calendar (one column, datetime) strictly after they were filed; those after its end go."""
+    """facts with the first date of the calendar (one column, datetime) strictly after they were filed; those after its end go.
+
+    The calendar is laid out by day, each with the date that follows, so this is
+    a join on equal days; what was filed before the calendar counts as on the day before it.
+    """
     dates = calendar.select("datetime").distinct()
-    spans = dates.withColumn("__before", F.lag("datetime").over(Window.orderBy("datetime")))
-    small = dates.count() <= MAX_CALENDAR
-    spans = F.broadcast(spans) if small else spans
-    filed = F.col("filed").cast("date")
-    since = F.coalesce(filed >= F.col("__before"), F.lit(True))
-    return facts.join(spans, since & (filed < F.col("datetime"))).drop("__before").withColumnRenamed("datetime", "effective")
+    first = dates.agg(F.min("datetime")).first()[0]
+    if first is None:
+        return facts.withColumn("effective", F.lit(None).cast("date")).filter(F.lit(False))
+    eve = F.date_sub(F.lit(first), 1)
+    before = F.coalesce(F.lag("datetime").over(Window.orderBy("datetime")), eve)  # one row a date, few enough to order
+    days = dates.withColumn("__before", before).select(F.explode(F.sequence("__before", F.date_sub("datetime", 1))).alias("__day"), F.col("datetime").alias("effective"))
+    return facts.withColumn("__filed", F.greatest(F.col("filed").cast("date"), eve)).filter("filed is not null").join(days, F.col("__filed") == F.col("__day")).drop("__filed", "__day")
 
 
 def _filings(facts: DataFrame) -> DataFrame:

@@ -17,13 +17,13 @@ class Client(Protocol):
 
 
 class HttpClient:
-    """Posts to a chat endpoint with a key; send is the transport."""
+    """Posts to a chat endpoint with a key. send is the transport; extra: further fields of every request, as the provider has them."""
 
-    def __init__(self, url: str, key: str, send=None, timeout: float = 90):
+    def __init__(self, url: str, key: str, send=None, timeout: float = 90, extra: dict | None = None):
         if not key:
             raise ValueError("a key is needed")
         self.url, self.key, self.timeout = url, key, timeout
-        self.send = send or self._post
+        self.send, self.extra = send or self._post, extra or {}
 
     def _post(self, body: dict) -> dict:
         headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
@@ -32,12 +32,12 @@ class HttpClient:
             return json.load(response)
 
     def complete(self, messages: list[dict], model: str) -> str:
-        return self.send({"model": model, "messages": messages})["choices"][0]["message"]["content"]
+        return self.send(self.extra | {"model": model, "messages": messages})["choices"][0]["message"]["content"]
 
     def call_tool(self, messages: list[dict], model: str, name: str, schema: dict) -> str | None:
         tool = {"type": "function", "function": {"name": name, "parameters": schema}}
         choice = {"type": "function", "function": {"name": name}}
-        reply = self.send({"model": model, "messages": messages, "tools": [tool], "tool_choice": choice, "reasoning": {"enabled": False}})
+        reply = self.send(self.extra | {"model": model, "messages": messages, "tools": [tool], "tool_choice": choice})
         calls = reply["choices"][0]["message"].get("tool_calls") or []
         return next((c["function"].get("arguments") for c in calls if (c.get("function") or {}).get("name") == name), None)
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storing import stored
 from ..operators import gate
 from ..operators.candidates import Split, checked, score_candidates
 from ..operators.collection import MAX_CORRELATION, NEAREST, Collection, Member, pair_correlations
 from ..operators.metrics import METRICS
 from ..plans.compiler import evaluate_many
-from .alignment import Alignment, score_alignment
+from ..plans.grammar import parse
+from .alignment import Fit, Question, rate_fit
 from .client import Client, first_object
 from .prompt import describe_language
 
@@ -71,85 +74,134 @@ def propose(client: Client, model: str, train: DataFrame, feedback: list[str], c
     return found
 
 
+@dataclass(frozen=True)
+class Shelf:
+    """Folders of what is kept of members: values on the validation window, and daily series of both windows."""
+
+    values: str
+    daily: str
+
+    @staticmethod
+    def key(name: str) -> str:
+        return re.sub(r"[^A-Za-z0-9]+", "_", name)
+
+    def keep(self, name: str, wide: DataFrame, daily: DataFrame, split: Split) -> dict[str, str]:
+        """Write a candidate's values and daily series; where they are, by the member's attributes."""
+        start, end = split.validation
+        place = f"{self.values}/factor={self.key(name)}"
+        dated = wide.filter(F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        dated.select("datetime", "instrument", F.col(name).alias("value")).write.mode("overwrite").parquet(place)
+        found = {"validation_values_path": place}
+        for window in (gate.TRAIN, gate.VALIDATION):
+            found[f"{window}_daily_ic_path"] = f"{self.daily}/{window}/factor={self.key(name)}"
+            daily.filter((F.col("factor") == name) & (F.col("window") == window)).select("datetime", "daily_ic").coalesce(1).write.mode("overwrite").parquet(found[f"{window}_daily_ic_path"])
+        return found
+
+
+def member_values(spark: SparkSession, members: list[Member]) -> DataFrame:
+    """(datetime, instrument, one column for each member), of the values that are kept."""
+    rows = None
+    for m in members:
+        own = spark.read.schema("datetime date, instrument string, value double").parquet(m.validation_values_path).select("datetime", "instrument", F.lit(m.name).alias("factor"), "value")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("datetime", "instrument").agg(*[F.max(F.when(F.col("factor") == m.name, F.col("value"))).alias(m.name) for m in members])
+
+
 @dataclass
 class Search:
-    """State of a run: the collection, the members' values (wide, one column each), feedback and records."""
+    """State of a run: the collection, feedback and records, and the folders of what members leave (None: nothing is kept)."""
 
     collection: Collection
-    member_expressions: dict[str, str]
-    records: list[dict]
-    feedback: list[str]
+    records: list[dict] = field(default_factory=list)
+    feedback: list[str] = field(default_factory=list)
+    shelf: Shelf | None = None
 
 
-def test_round(panel: DataFrame, proposals: dict[str, Proposal], align: Callable[[str, Proposal, float | None], Alignment], split: Split, state: Search, thresholds: gate.Thresholds = gate.Thresholds(), max_nodes: int = 50) -> None:
+#: Saves a state; called after each candidate that was tested.
+Save = Callable[[Search], None]
+
+
+def test_round(panel: DataFrame, proposals: dict[str, Proposal], align: Callable[[str, Proposal, float | None], Fit], split: Split, state: Search, thresholds: gate.Thresholds = gate.Thresholds(), max_nodes: int = 50, max_correlation: float = MAX_CORRELATION, save: Save | None = None) -> None:
     """Gate and novelty of all proposals, in order; what is accepted counts for those after it.
 
-    Metrics of all candidates are one plan, correlations among candidates and
-    members another. A candidate whose alignment fails is recorded as an error.
+    Values of all candidates are one plan and are written once; metrics,
+    correlations and what is kept read them. A candidate whose alignment fails
+    is recorded as an error.
     """
     good, _ = checked({name: p.expression for name, p in proposals.items()}, max_nodes)
     if not good:
         return
-    _, _, table = score_candidates(panel, good, split, max_nodes)
+    wide, daily, table = score_candidates(panel, good, split, max_nodes, keep=stored)
     rows = {(r["factor"], r["window"]): r for r in table.collect()}
-    alignments: dict[str, Alignment] = {}
+    fits: dict[str, Fit] = {}
     for name in good:
         try:
             row = rows.get((name, gate.TRAIN))
-            alignments[name] = align(name, proposals[name], row["ic"] if row else None)
+            fits[name] = align(name, proposals[name], row["ic"] if row else None)
         except Exception as e:  # noqa: BLE001  one failing call must not stop the others
             state.records.append({"name": name, "proposal": asdict(proposals[name]), "evaluated": False, "error": str(e)})
     spark = panel.sparkSession
-    if not alignments:
+    if not fits:
         return
-    metric_rows = [(f, w, *[r[m] for m in METRICS]) for (f, w), r in rows.items() if f in alignments]
-    scores = spark.createDataFrame([(n, a.score) for n, a in alignments.items()], "factor string, alignment double")
+    metric_rows = [(f, w, *[r[m] for m in METRICS]) for (f, w), r in rows.items() if f in fits]
+    scores = spark.createDataFrame([(n, a.score) for n, a in fits.items()], "factor string, alignment double")
     metric_table = spark.createDataFrame(metric_rows, "factor string, window string, " + ", ".join(f"{m} double" for m in METRICS))
     decisions = {r["factor"]: r.asDict(True) for r in gate.decide(metric_table, scores, thresholds).collect()}
-    correlations = _correlations(panel, good, state, split)
-    for name in alignments:
-        decision = decisions[name] | {"alignment_justification": alignments[name].justification}
+    correlations = _correlations(panel, wide, list(fits), state, split)
+    for name in fits:
+        decision = decisions[name] | {"alignment_justification": fits[name].why}
         to_members = [correlations.get((name, m.name), correlations.get((m.name, name))) for m in state.collection.members]
         near = sorted(zip([m.name for m in state.collection.members], to_members, strict=True), key=lambda x: -abs(x[1] or 0))[:NEAREST]
-        novel = max((abs(rho) for _, rho in near if rho is not None), default=0.0) <= MAX_CORRELATION
+        novel = max((abs(rho) for _, rho in near if rho is not None), default=0.0) <= max_correlation
         accepted = decision["accepted"] and novel
         if accepted:
-            state.collection.add(Member(name, proposals[name].rationale, proposals[name].expression, good[name].node_count, decision, ""), to_members)
-            state.member_expressions[name] = proposals[name].expression
+            places = state.shelf.keep(name, wide, daily, split) if state.shelf else {"validation_values_path": ""}
+            state.collection.add(Member(name, proposals[name].rationale, proposals[name].expression, good[name].node_count, decision, **places), to_members)
             state.feedback = []
         elif not novel:
             state.feedback = [f"too close to what is there: {near}"]
         elif "alignment_score" in decision["failed_criteria"]:
-            state.feedback = [alignments[name].justification]
+            state.feedback = [fits[name].why]
         state.records.append({"name": name, "proposal": asdict(proposals[name]), "evaluated": True, "decision": decision, "nearest": near, "accepted": accepted, "breadth": state.collection.breadth(), "node_count": good[name].node_count})
+        if save:
+            save(state)
 
 
-def _correlations(panel: DataFrame, good: dict, state: Search, split: Split) -> dict[tuple[str, str], float | None]:
-    """Over the validation window, of candidates with members and each other."""
-    everyone = {**state.member_expressions, **good}
-    if len(everyone) < 2:
+def _correlations(panel: DataFrame, wide: DataFrame, names: list[str], state: Search, split: Split) -> dict[tuple[str, str], float | None]:
+    """Over the validation window, of candidates with members and each other. Members whose values aren't kept are evaluated anew."""
+    members = state.collection.members
+    pairs = [(a, b) for k, a in enumerate([*(m.name for m in members), *names]) for b in names[max(0, k - len(members) + 1) :]]
+    if not pairs:
         return {}
     start, end = split.validation
-    wide = evaluate_many(panel, everyone).filter(F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    names = list(everyone)
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if b in good]
-    return {(r["a"], r["b"]): r["rho"] for r in pair_correlations(wide, pairs).collect()}
-
-
-def run_search(panel: DataFrame, client: Client, generation_model: str, alignment_model: str, split: Split, rounds: int = 50, candidates: int = 8, attempts: int = 5, state: Search | None = None, save: Callable[[Search], None] | None = None) -> Search:
-    """Propose and test, round by round; save is called after each."""
-    state = state or Search(Collection(), {}, [], [])
+    dated = F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    values = wide.filter(dated).select("datetime", "instrument", *names)
+    kept = [m for m in members if m.validation_values_path]
+    if kept:
+        values = values.join(member_values(panel.sparkSession, kept), ["datetime", "instrument"], "left")
+    if others := {m.name: m.expression for m in members if not m.validation_values_path}:
+        values = values.join(evaluate_many(panel, others).filter(dated), ["datetime", "instrument"], "left")
+    return {(r["a"], r["b"]): r["rho"] for r in pair_correlations(values, pairs).collect()}
+
+
+def run_search(panel: DataFrame, client: Client, generation_model: str, alignment_model: str, split: Split, rounds: int = 50, candidates: int = 8, attempts: int = 5, state: Search | None = None, save: Save | None = None, thresholds: gate.Thresholds = gate.Thresholds(), max_nodes: int = 50, max_correlation: float = MAX_CORRELATION) -> Search:
+    """Propose and test, round by round; save is called after each candidate that was tested, and after each round."""
+    state = state or Search(Collection())
     start, end = split.train
     train = panel.filter(F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     for number in range(1, rounds + 1):
-        found = propose(client, generation_model, train, state.feedback, candidates, attempts)
+        found = propose(client, generation_model, train, state.feedback, candidates, attempts, max_nodes)
         named = {f"round_{number}_candidate_{k}": a for k, a in enumerate(found, 1)}
         for name, a in named.items():
             if not a.parsed:
                 state.records.append({"name": name, "proposal": a.proposal and asdict(a.proposal), "evaluated": False, "error": a.error, "attempts": a.attempts})
         ready = {name: a.proposal for name, a in named.items() if a.parsed}
-        programs = checked({n: p.expression for n, p in ready.items()})[0]
-        test_round(panel, ready, lambda n, p, ic: score_alignment(client, alignment_model, p.rationale, p.expression, programs[n], ic), split, state)  # noqa: B023
+        test_round(panel, ready, by_model(client, alignment_model, max_nodes), split, state, thresholds, max_nodes, max_correlation, save)
         if save:
             save(state)
     return state
+
+
+def by_model(client: Client, model: str, max_nodes: int = 50) -> Callable[[str, Proposal, float | None], Fit]:
+    """How a model rates proposals."""
+    return lambda name, p, ic: rate_fit(client, model, Question(p.rationale, p.expression, parse(p.expression, max_nodes), ic))

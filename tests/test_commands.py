@@ -4,12 +4,14 @@ import random
 
 import pytest
 
+from strataline import __main__ as shell
 from strataline import commands
 from strataline.operators.candidates import Split
 from strataline.search.client import Client
+from strataline.settings import Settings, read_settings
 from strataline.sources import filings_client, readers, writers
 
-SPLIT = Split(("2020-01-01", "2020-03-31"), ("2020-04-01", "2020-12-31"))
+SETTINGS = Settings(split=Split(("2020-01-01", "2020-03-31"), ("2020-04-01", "2020-12-31")), rounds=1, candidates=2, attempts=1)
 
 
 class Model(Client):
@@ -17,7 +19,7 @@ class Model(Client):
         return '{"rationale": "r", "expression": "CS_RANK(DELTA($close, 3))"}'
 
     def call_tool(self, messages, model, name, schema):
-        return '{"alignment_score": 1, "justification": "j"}'
+        return '{"fit": 1, "why": "j"}'
 
 
 def raw(spark):
@@ -38,12 +40,12 @@ def test_from_files_to_report(spark, tmp_path):
         commands.make_panel(spark, at("facts"), at("x"))
     commands.cut_panel(spark, at("panel"), at("cut"), "2020-02-01", "2020-02-10", 2)
     assert spark.read.parquet(at("cut")).count() == 20
-    commands.evaluate_seeds(spark, at("panel"), at("seeds.json"), Model(), "m", SPLIT)
+    commands.evaluate_seeds(spark, at("panel"), at("seeds.json"), Model(), "m", SETTINGS)
     assert len(json.loads((tmp_path / "seeds.json").read_text())) == 5
-    commands.seed_collection(spark, at("panel"), at("collection.json"), at("report.json"), Model(), "m", SPLIT)
-    state = commands.search(spark, at("panel"), at("collection.json"), at("log.json"), Model(), "m", "m", 1, 2, 1, SPLIT)
+    commands.seed_collection(spark, at("panel"), at("collection.json"), at("report.json"), Model(), "m", at("values"), at("daily"), SETTINGS)
+    state = commands.search(spark, at("panel"), at("collection.json"), at("log.json"), Model(), "m", "m", at("values"), at("daily"), SETTINGS)
     assert len(state.records) == 2 and len(json.loads((tmp_path / "log.json").read_text())) == 2
-    found = commands.validation_report(spark, at("panel"), at("collection.json"), at("log.json"), at("validation.json"), SPLIT)
+    found = commands.validation_report(spark, at("panel"), at("collection.json"), at("log.json"), at("validation.json"), SETTINGS)
     assert set(found) == {"dsr", "pbo"}
 
 
@@ -70,3 +72,48 @@ def test_values_of_many_factors(spark, tmp_path):
     writers.write_values(rows, str(tmp_path / "values"))
     assert readers.read_values(spark, str(tmp_path / "values"), ["g"]).first()["value"] == 2.0
     assert set(commands.TIERS) == {1, 2, 3}
+
+
+def test_facts_of_a_universe(spark, tmp_path):
+    registry = json.dumps({"0": {"ticker": "aa", "cik_str": 7, "title": "x"}})
+    body = json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"filed": "2020-01-02", "val": 4}]}}}}})
+    (tmp_path / "universe.txt").write_text("AA\nQQ\n")
+    at = lambda name: str(tmp_path / name)
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return registry if url == filings_client.REGISTRY_URL else body
+
+    assert commands.fetch_facts(spark, at("universe.txt"), "me", at("land"), at("facts"), get, lambda s: None) == ["QQ"]
+    assert (tmp_path / "land" / "missing.txt").read_text() == "QQ\n" and asked[1].endswith("CIK0000000007.json")
+    assert [tuple(r) for r in readers.read_facts(spark, at("facts")).collect()] == [("AA", dt.date(2020, 1, 2), "funda_assets", 4.0)]
+
+
+def test_settings(spark, tmp_path):
+    document = {"data": {"train_start": "2001-01-01", "universe_size": 5}, "grammar": {"max_ast_nodes": 9}, "evaluation": {"min_abs_ic": 0.5}, "zoo": {"redundancy_threshold": 0.25}, "llm": {"generation_model": ""}, "odd": 3}
+    (tmp_path / "a.json").write_text(json.dumps(document))
+    (tmp_path / "b.json").write_text(json.dumps({"openrouter": {"default_generation_model": "g", "default_alignment_model": "a"}}))
+    found = read_settings(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
+    assert found.split.train == ("2001-01-01", "2020-12-31") and (found.universe_size, found.max_nodes, found.thresholds.min_abs_ic, found.max_correlation) == (5, 9, 0.5, 0.25)
+    assert (found.generation_model, found.alignment_model, found.rounds) == ("g", "a", 50)
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text(yaml.safe_dump(document))
+    assert read_settings(spark, str(tmp_path / "a.yaml"), str(tmp_path / "b.json")) == found
+
+
+def test_tasks_from_a_shell(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    raw(spark).write.parquet(at("market"))
+    writers.write_facts(spark.createDataFrame([], "instrument string, filed date, field string, value double"), at("facts"))
+    shell.run(spark, ["build-panel", "--market-parquet", at("market"), "--facts-csv", at("facts"), "--output", at("panel")])
+    shell.run(spark, ["slice-panel", "--panel", at("panel"), "--output", at("cut"), "--start-date", "2020-02-01", "--end-date", "2020-02-03"])
+    assert spark.read.parquet(at("cut")).count() == 12
+    split = {"data": {"train_start": "2020-01-01", "train_end": "2020-03-31", "validation_start": "2020-04-01", "validation_end": "2020-12-31"}, "mining": {"full_rounds": 1, "candidates_per_round": 1, "max_refinement_attempts": 1}}
+    (tmp_path / "s.json").write_text(json.dumps(split | {"llm": {"generation_model": "g", "alignment_model": "a"}}))
+    shell.run(spark, ["--settings", at("s.json"), "tier", "--number", "3", "--panel", at("panel"), "--folder", at("tier")], Model())
+    assert {p.name for p in (tmp_path / "tier").iterdir() if p.suffix == ".json"} == {"collection.json", "seeds.json", "log.json", "report.json"}
+    with pytest.raises(SystemExit):
+        shell.arguments(["tier"])
+    with pytest.raises(ValueError, match="models"):
+        shell.run(spark, ["evaluate-seeds", "--panel", at("panel"), "--output", at("x")], Model())

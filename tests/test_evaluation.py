@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,15 @@ from strataline.operators import collection, gate, metrics, overfitting
 from strataline.operators.candidates import Split, checked, evaluate_candidates
 from strataline.operators.collection import Collection, Member
 from strataline.operators.seeds import SEEDS
-from strataline.search.alignment import score_alignment
+from strataline.search.alignment import Question, rate_fit
 from strataline.search.client import HttpClient, first_object
 from strataline.search.prompt import describe_language
-from strataline.search.rounds import Search, propose, run_search
+from strataline.search.alignment import Fit
+from strataline.search.rounds import Proposal, Search, Shelf, member_values, propose, run_search
+from strataline.search.rounds import test_round as search_round
+from strataline.plans.compiler import evaluate_many
 from strataline.plans.grammar import parse
-from strataline.operators.catalogue import FIELDS, SPECS
+from strataline.operators.catalogue import FIELDS, MEANINGS, SPECS
 
 SPLIT = Split(("2020-01-01", "2020-04-30"), ("2020-05-01", "2020-12-31"))
 
@@ -150,7 +154,7 @@ def test_moments_and_deflated_ratio(spark):
 
 
 class Canned:
-    def __init__(self, texts, tool='{"alignment_score": 0.9, "justification": "fits"}'):
+    def __init__(self, texts, tool='{"fit": 0.9, "why": "fits"}'):
         self.texts, self.tool, self.seen = itertools.cycle(texts), tool, []
 
     def complete(self, messages, model):
@@ -168,7 +172,8 @@ def answer(expression):
 
 def test_prompt_has_the_whole_language():
     text = describe_language()
-    assert all(f"{op}(" in text for op in SPECS) and all(f"${f}" in text for f in FIELDS) and len(SPECS) == 27
+    assert all(f"{op}({names}): {meaning}" in text for op, (names, meaning) in MEANINGS.items()) and MEANINGS.keys() == SPECS.keys()
+    assert all(f"${f}" in text for f in FIELDS) and len(SPECS) == 27
 
 
 def test_proposals_are_tried_again(panel):
@@ -179,11 +184,14 @@ def test_proposals_are_tried_again(panel):
 
 
 def test_alignment_reads_the_tool_call_only():
-    program = parse("CS_RANK($close)")
-    assert score_alignment(Canned([""]), "m", "r", "e", program, 0.1).score == 0.9
-    for bad in (None, "", "[]", '{"alignment_score": 1}', "no"):
+    question = Question("the idea", "CS_RANK($close)", parse("CS_RANK($close)"), 0.1)
+    client = Canned([""])
+    assert rate_fit(client, "m", question).score == 0.9
+    assert all(x in client.seen[0][0]["content"] for x in ("the idea", "CS_RANK($close)", "close", "0.100000"))
+    bad = (None, "", "[]", "no", '{"fit": 1}', '{"fit": 1.5, "why": "w"}', '{"fit": -0.1, "why": "w"}', '{"fit": true, "why": "w"}', '{"fit": "1", "why": "w"}', '{"fit": 1, "why": " "}')
+    for answer_ in bad:
         with pytest.raises(ValueError):
-            score_alignment(Canned([""], bad), "m", "r", "e", program, 0.1)
+            rate_fit(Canned([""], answer_), "m", question)
 
 
 def test_a_search(panel):
@@ -192,6 +200,34 @@ def test_a_search(panel):
     assert all("decision" in r for r in state.records)
 
 
+def test_members_leave_values_and_each_candidate_is_saved(spark, panel, tmp_path):
+    easy = gate.Thresholds(-1, -1, -2, -1, -1, 0)
+    state, saved = Search(Collection(), shelf=Shelf(str(tmp_path / "values"), str(tmp_path / "daily"))), []
+    first = {"A b/c": Proposal("r", "CS_RANK($close)"), "second": Proposal("r", "CS_RANK($open)")}
+    run = lambda proposals: search_round(panel, proposals, lambda n, p, ic: Fit(1.0, "w"), SPLIT, state, easy, max_correlation=1.1, save=lambda s: saved.append(len(s.records)))
+    run(first)
+    assert saved == [1, 2] and [m.name for m in state.collection.members] == list(first)
+    values = member_values(spark, state.collection.members)
+    want = evaluate_many(panel, {"A b/c": "CS_RANK($close)", "second": "CS_RANK($open)"}).filter("datetime >= '2020-05-01'")
+    assert sorted(map(str, values.select("datetime", "instrument", "A b/c", "second").collect())) == sorted(map(str, want.select("datetime", "instrument", "A b/c", "second").collect()))
+    assert all(spark.read.parquet(p).count() > 0 for m in state.collection.members for p in (m.train_daily_ic_path, m.validation_daily_ic_path))
+    run({"third": Proposal("r", "CS_RANK(MULTIPLY($close, 2))")})
+    assert saved == [1, 2, 3] and state.collection.correlations[2][0] == pytest.approx(1.0)
+    anew = Search(Collection([replace(m, validation_values_path="") for m in state.collection.members[:2]], [row[:2] for row in state.collection.correlations[:2]]))
+    search_round(panel, {"third": Proposal("r", "CS_RANK(MULTIPLY($close, 2))")}, lambda n, p, ic: Fit(1.0, "w"), SPLIT, anew, easy, max_correlation=1.1)
+    assert anew.collection.correlations[2] == pytest.approx(state.collection.correlations[2])
+
+
+def test_many_pairs_are_aggregated_in_passes(panel, monkeypatch):
+    names = ["open", "high", "close", "ret", "funda_pe", "volume"]
+    pairs = list(itertools.combinations(names, 2))
+    one = {(r["a"], r["b"]): r["rho"] for r in collection.pair_correlations(panel, pairs).collect()}
+    monkeypatch.setattr(collection, "PAIRS_A_PASS", 4)
+    monkeypatch.setattr(collection, "COLUMNS_A_BLOCK", 2)
+    many = {(r["a"], r["b"]): r["rho"] for r in collection.pair_correlations(panel, pairs).collect()}
+    assert many.keys() == one.keys() == set(pairs) and all(many[p] == pytest.approx(one[p]) if one[p] is not None else many[p] is None for p in pairs)
+
+
 def test_client_and_objects():
     sent = []
 
@@ -199,8 +235,9 @@ def test_client_and_objects():
         sent.append(body)
         return {"choices": [{"message": {"content": "hi", "tool_calls": [{"function": {"name": "t", "arguments": "{}"}}]}}]}
 
-    client = HttpClient("u", "k", send)
+    client = HttpClient("u", "k", send, extra={"reasoning": {"enabled": False}})
     assert client.complete([], "m") == "hi" and client.call_tool([], "m", "t", {}) == "{}" and client.call_tool([], "m", "x", {}) is None
+    assert all(body["reasoning"] == {"enabled": False} for body in sent) and sent[1]["tool_choice"]["function"]["name"] == "t"
     assert first_object('a {"b": {"c": "}"}} d') == {"b": {"c": "}"}}
     with pytest.raises(ValueError):
         first_object("none")

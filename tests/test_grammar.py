@@ -37,6 +37,9 @@ def test_seeds_parse(seed):
         ("x = CS_RANK($close, k=1)\nx", "unsupported expression syntax"),
         ("TS_MEAN($close, 1e999)", "not finite"),
         ("", "missing final output"),
+        ("(" * 3000 + "$close" + ")" * 3000, "levels within each other"),
+        ("ABS(" * 3000 + "$close" + ")" * 3000, "levels within each other"),
+        ("-" * 3000 + "3", "levels within each other"),
     ],
 )
 def test_rejections(text, part):
