@@ -8,10 +8,12 @@ summed by source and the hash's first 12 bits, the bucket in which the rest
 runs out is the only one whose documents are summed again, by the next 12 bits,
 and so once more. Larger budgets give larger thresholds, so selections are nested.
 
-Sources are summaries here (one row each, many times fewer than documents);
-only they are ordered. Defined results: a null source is a source of its own,
-ordered last; null texts have size 0; rows that share a doc_id share the hash
-and so the decision; an empty table gives an empty result.
+Sources are summaries (one row of two numbers each, many times fewer than
+documents): ordering them by one task is meant for up to some millions of them,
+which a task sorts in seconds. Defined results: a null source is a source of its
+own, ordered last; null texts have size 0; rows that share a doc_id, null
+included, share the hash and so the decision, each with its own size; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

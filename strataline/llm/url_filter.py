@@ -1,17 +1,21 @@
 """URL filtering by a trie over reversed host labels and path segments.
 
-The rules are compiled once on the driver and shipped to the executors; the
-number of rules and the bytes of their text are checked against a bound first.
-Every url is then judged by one walk down the host labels, right to left, and
-from each label that ends a rule's host one walk along the path segments.
+The rules are compiled once on the driver into flat arrays, whose bytes are
+checked against a bound, and broadcast. Every url is then judged by one walk
+down the host labels, right to left, and from each label that ends a rule's host
+one walk along the path segments. An edge is found by bisection among its
+node's.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 fits no rule and gets the default verdict. Two rules with the same host and
-path are an error. Only the url column is read; all other columns stay.
+path are an error. Only the url column is read; all kept columns stay, but for
+those that have the name of a result. Of equally long rules the longer host wins.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -47,59 +51,90 @@ PAGE_RULES = (
 )
 
 
+#: Labels of edges that no host label and no path segment has: to the path of a rule, and to a rule's last part.
+_PATH, _LAST = b"/", b"?"
+
+
 class RuleTrie:
-    """Nodes are dicts. A host node's key None leads to its path trie; a path node's key None holds its rule.
+    """Edges of node n are edges begin[n] to begin[n + 1], in order of their labels; edge e leads to node e + 1.
 
-    A rule's path is cut at its slashes. Its last part may be the beginning of
-    a url's segment, so it is kept apart under the key True by its text.
+    A rule is an edge for each label of its host, right to left, one to its
+    path, and one for each whole segment. Its last part may be the beginning of
+    a url's segment, so its edge is marked, and the node there has the rule.
     """
 
-    def __init__(self, rules: Iterable[Rule], max_rules: int = 2_000_000, max_bytes: int = 64_000_000):
-        self.root: dict = {}
-        size = count = 0
+    def __init__(self, rules: Iterable[Rule], max_rules: int = 500_000, max_bytes: int = 64_000_000):
+        found: dict[tuple[bytes, ...], Rule] = {}
         for rule in rules:
-            count += 1
-            size += len(rule.text.encode())
-            if count > max_rules or size > max_bytes:
-                raise ValueError(f"more than {max_rules} rules or {max_bytes} bytes of rules; they are broadcast")
+            if len(found) >= max_rules:
+                raise ValueError(f"more than {max_rules} rules; they are broadcast")
             if rule.verdict not in ("allow", "block"):
                 raise ValueError(f"verdict of {rule.text} is neither allow nor block")
-            node = self.root
-            for label in reversed(rule.host.translate(_LOWER).split(".")):
-                node = node.setdefault(label, {})
-            node = node.setdefault(None, {})
             *whole, last = rule.path.split("/")
-            for part in whole:
-                node = node.setdefault(part, {})
-            ends = node.setdefault(True, {})
-            if last in ends:
+            labels = [*reversed(rule.host.translate(_LOWER).split(".")), _PATH.decode(), *whole, _LAST.decode() + last]
+            key = tuple(x.encode("utf-8", "surrogatepass") for x in labels)
+            if key in found:
                 raise ValueError(f"{rule.text} is there twice")
-            ends[last] = (rule.text, rule.verdict)
+            found[key] = rule
+        keys = sorted(found)
+        self.texts, self.verdicts = [found[k].text for k in keys], [found[k].verdict for k in keys]
+        self.begin, self.ends, self.rule = array("i", [0]), array("i", [0]), array("i", [-1])
+        labels = bytearray()
+        level = [(0, len(keys), 0)]  # nodes of one depth: the keys that go through each
+        while level:
+            below = []
+            for lo, hi, depth in level:
+                while lo < hi:
+                    label = keys[lo][depth]
+                    to = bisect_left(keys, True, lo, hi, key=lambda k: k[depth] > label)  # noqa: B023
+                    labels += label
+                    self.ends.append(len(labels))
+                    self.rule.append(lo if len(keys[lo]) == depth + 1 else -1)
+                    below.append((lo + (self.rule[-1] >= 0), to, depth + 1))
+                    lo = to
+                self.begin.append(len(self.ends) - 1)
+            level = below
+        self.labels = bytes(labels)
+        size = len(self.labels) + sum(x.itemsize * len(x) for x in (self.begin, self.ends, self.rule)) + sum(2 * len(t.encode("utf-8", "surrogatepass")) for t in self.texts)
+        if size > max_bytes:
+            raise ValueError(f"more than {max_bytes} bytes of rules; they are broadcast")
+
+    def _label(self, edge: int) -> bytes:
+        return self.labels[self.ends[edge] : self.ends[edge + 1]]
+
+    def _child(self, node: int, label: bytes) -> int | None:
+        lo, hi = self.begin[node], self.begin[node + 1]
+        if lo < hi and (at := bisect_left(range(lo, hi), label, key=self._label) + lo) < hi and self._label(at) == label:
+            return at + 1
+        return None
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """Rule text and verdict of the longest rule that fits, by host and path together."""
-        best = None
-        node = self.root
-        parts = None
-        for label in reversed(host.split(".")):
-            node = node.get(label)
+        best = -1
+        node, parts = 0, None
+        for label in reversed(host.encode("utf-8", "surrogatepass").split(b".")):
+            node = self._child(node, label)
             if node is None:
                 break
-            if None in node:
-                parts = path.split("/") if parts is None else parts
-                best = self._along(node[None], parts, best)
-        return best
+            if (root := self._child(node, _PATH)) is not None:
+                parts = path.encode("utf-8", "surrogatepass").split(b"/") if parts is None else parts
+                best = self._along(root, parts, best)
+        return (self.texts[best], self.verdicts[best]) if best >= 0 else None
 
-    @staticmethod
-    def _along(node: dict, parts: list[str], best):
-        """best, or what ends along the path. Hosts grow from call to call, so of equally long rules the longer host wins."""
+    def _along(self, node: int, parts: list[bytes], best: int) -> int:
+        """best, or the rule that ends along the path. Hosts grow from call to call, so of equally long rules the longer host wins."""
         for part in parts:
-            ends = node.get(True)
-            for k in range(len(part) + 1) if ends else ():
-                hit = ends.get(part[:k])
-                if hit and (best is None or len(hit[0]) >= len(best[0])):
-                    best = hit
-            node = node.get(part)
+            lo, hi = self.begin[node], self.begin[node + 1]
+            at = bisect_left(range(lo, hi), _LAST, key=self._label) + lo
+            while at < hi and (label := self._label(at)).startswith(_LAST):
+                if part.startswith(label[1:]):
+                    own = self.rule[at + 1]
+                    if best < 0 or len(self.texts[own]) >= len(self.texts[best]):
+                        best = own
+                elif label[1:] > part:
+                    break
+                at += 1
+            node = self._child(node, part)
             if node is None:
                 break
         return best
@@ -121,17 +156,17 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest.translate(_LOWER), ""
 
 
-def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", max_rules: int = 2_000_000) -> DataFrame:
-    """Columns ``keep`` of df with host, path, rule and verdict of each row's url; one row out for each row in."""
-    trie = RuleTrie(rules, max_rules)
-    clash = {"host", "path", "rule", "verdict"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be there twice")
+def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", max_rules: int = 500_000) -> DataFrame:
+    """Columns ``keep`` of df (but for names of results) with host, path, rule and verdict of each row's url; one row out for each row in."""
+    names = ("host", "path", "rule", "verdict")
+    shared = df.sparkSession.sparkContext.broadcast(RuleTrie(rules, max_rules))
+    keep = tuple(c for c in keep if c not in names)
     fields = [df.schema[c] for c in keep]
-    added = [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]
+    added = [T.StructField(c, T.StringType()) for c in names]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
         for batch in batches:
             hosts, paths, texts, verdicts = [], [], [], []
             for u in batch.column(0).to_pylist():
@@ -142,7 +177,7 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tup
                 texts.append(hit and hit[0])
                 verdicts.append(hit[1] if hit else default)
             new = [pa.array(x, pa.string()) for x in (hosts, paths, texts, verdicts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*keep, *names])
 
     return df.select(F.col(url).alias("__url"), *keep).mapInArrow(run, T.StructType([*fields, *added]))
 

@@ -451,8 +451,7 @@ def test_automaton_against_edit_distance():
 
 
 def test_mixing(spark, documents):
-    docs = documents.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    sized = mixing.sized_documents(docs)
+    sized = mixing.sized_documents(documents)  # with repeated rows and rows without an id
     out = mixing.with_copies(sized, mixing.mixing_plan(sized), F.col("hash")).collect()
     sizes = collections.Counter()
     for r in out:
@@ -512,12 +511,32 @@ def test_url_rules():
         url_filter.RuleTrie([url_filter.Rule("a", "/", "allow")] * 2)
     with pytest.raises(ValueError):
         url_filter.RuleTrie([url_filter.Rule(str(k), "/", "allow") for k in range(5)], max_rules=4)
+    with pytest.raises(ValueError):
+        url_filter.RuleTrie([url_filter.Rule("a" * 50, "/", "allow")], max_bytes=80)
+    assert url_filter.RuleTrie([]).match("a", "/") is None
+
+
+def test_many_url_rules_against_all_of_them():
+    import random
+
+    rng = random.Random(5)
+    label, part = ("a", "b", "ab", "é", "", "c-d"), ("", "x", "xy", "é", "x?"[:1], "zz")
+    make = lambda: (".".join(rng.choice(label) for _ in range(rng.randint(1, 3))), "/".join(rng.choice(part) for _ in range(rng.randint(1, 4))))
+    rules = [url_filter.Rule(h, p, rng.choice(("allow", "block"))) for h, p in {make() for _ in range(300)}]
+    trie = url_filter.RuleTrie(rules)
+    for _ in range(3000):
+        host, path = make()
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.text), len(r.host.split(".")), len(r.host)), default=None)
+        assert trie.match(host, path) == (best and (best.text, best.verdict)), (host, path)
 
 
 def test_url_query(spark, table_dir):
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(URLS)], "page_id long, url string, html string")
     out = url_filter.op8_url_filter(spark, table_dir(pages=pages)).collect()
     assert len(out) == len(URLS) and {r["verdict"] for r in out} == {"allow", "block"}
+    clash = url_filter.judge_urls(pages.withColumn("host", F.lit("x")), url_filter.PAGE_RULES, keep=("page_id", "host", "html"))
+    assert clash.columns == ["page_id", "html", "host", "path", "rule", "verdict"] and clash.filter("host = 'x'").count() == 0
 
 
 def test_empty_tables(spark, documents, table_dir):
