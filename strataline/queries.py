@@ -324,13 +324,51 @@ FROM (SELECT *, avg(daily_ic) OVER (PARTITION BY factor) AS m, stddev_samp(daily
 """, _FACTORS_SQL.strip()))(lambda s, d: _rounded(overfitting.moments(_scored(s, d)[1].filter(F.col("window") == gate.VALIDATION))))
 
 
-@register("dsr")
+#: A rational approximation of the normal quantile, good to nine digits for probabilities from 0.025 to 0.975.
+_ABOVE = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
+_BELOW = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+
+
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+#: The distribution is the series x + x^3 / 3 + x^5 / (3 * 5) + .. times the density, and a half.
+_DSR_SQL = _FACTORS_SQL.strip() + f""", trial AS (
+  SELECT factor, icir, CASE factor WHEN 'reversal' THEN 0 WHEN 'level' THEN 1 WHEN 'turnover' THEN 2 ELSE 3 END AS place FROM aggregates WHERE w = 'validation'
+), target AS (SELECT factor, icir FROM trial WHERE icir IS NOT NULL ORDER BY icir DESC, place LIMIT 1),
+spread AS (SELECT count(*) AS trials, stddev_samp(icir) AS sd FROM trial),
+series AS (
+  SELECT daily_ic, avg(daily_ic) OVER () AS m, stddev_samp(daily_ic) OVER () AS s FROM daily WHERE w = 'validation' AND daily_ic IS NOT NULL AND factor = (SELECT factor FROM target)
+), shape AS (SELECT count(*) AS n, avg(pow(daily_ic - m, 3)) / pow(any_value(s), 3) AS skew, avg(pow(daily_ic - m, 4)) / pow(any_value(s), 4) - 3 AS kurtosis FROM series),
+quantiles AS (
+  SELECT k, q * {_polynomial(_ABOVE, 'q * q')} / {_polynomial(_BELOW, 'q * q')} AS z
+  FROM (SELECT 1 AS k, 0.5::DOUBLE - 1 / trials::DOUBLE AS q FROM spread UNION ALL SELECT 2, 0.5::DOUBLE - 1 / (trials * exp(1.0::DOUBLE)) FROM spread)
+), figures AS (
+  SELECT factor AS target, trials, icir, sd * ((1 - 0.5772::DOUBLE) * (SELECT z FROM quantiles WHERE k = 1) + 0.5772::DOUBLE * (SELECT z FROM quantiles WHERE k = 2)) AS expected,
+         sqrt(greatest(0, (1 - skew * icir + (kurtosis - 1) / 4 * icir * icir) / (n - 1))) AS deviation
+  FROM target CROSS JOIN spread CROSS JOIN shape
+), stood AS (SELECT *, (icir - expected) / deviation AS x FROM figures),
+density AS (
+  SELECT target, sum(exp((2 * k + 1) * ln(abs(x)) - (lgamma(2 * k + 3) - (k + 1) * ln(2.0::DOUBLE) - lgamma(k + 2)) - x * x / 2)) / sqrt(2 * pi()) AS half
+  FROM stood CROSS JOIN (SELECT range::DOUBLE AS k FROM range(400)) GROUP BY target
+)"""
+
+
+@register("dsr", _sql(f"""
+SELECT target, CAST(trials AS INT) AS trials, round(icir, {PLACES}) + 0.0 AS icir, round(expected, {PLACES}) + 0.0 AS expected, round(deviation, {PLACES}) + 0.0 AS deviation,
+       round(CASE WHEN x = 0 THEN 0.5 ELSE 0.5 + sign(x) * half END, {PLACES}) + 0.0 AS dsr, CAST(NULL AS VARCHAR) AS undefined_reason
+FROM stood JOIN density USING (target)
+""", _DSR_SQL))
 def dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deflated ratio of the best of the factors; the normal quantile is beyond SQL."""
+    """The deflated ratio of the best of the factors; the reason why there is none is tested in Python."""
     _, daily, table = _scored(spark, sf_dir)
     rows = {(r["factor"], r["window"]): r["icir"] for r in table.collect()}  # one row a factor and window
     records = [{"decision": {w: {"icir": rows[f, w]} for w in ("train", "validation")}} for f in FACTORS]
     members = [collection.Member(f, "", e, 1, r["decision"], "") for (f, e), r in zip(FACTORS.items(), records, strict=True)]
     series = {r["factor"]: r.asDict() for r in overfitting.moments(daily.filter(F.col("window") == gate.VALIDATION)).collect()}
     found = overfitting.deflated_ratio(members, records, series)
-    return spark.createDataFrame([(found.target, found.trials, found.icir, found.expected, found.deviation, found.dsr, found.undefined_reason)], "target string, trials int, icir double, expected double, deviation double, dsr double, undefined_reason string")
+    return _rounded(spark.createDataFrame([(found.target, found.trials, found.icir, found.expected, found.deviation, found.dsr, found.undefined_reason)], "target string, trials int, icir double, expected double, deviation double, dsr double, undefined_reason string"))
