@@ -17,7 +17,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 #: Bytes of a batch that goes to a Python worker, so that long texts don't add up in memory.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -30,7 +30,7 @@ from .common import bounded, written_in_buckets
 from .workers import released
 
 #: Bytes of text in a chunk: so many at least, and more with the input, but no more than fits a worker.
-CHUNK, MOST_CHUNK, CHUNKS = 3_000_000, 32_000_000, 100_000
+CHUNK, MOST_CHUNK, CHUNKS = 1_000_000, 32_000_000, 20_000
 #: Bytes of text in a bucket of chunks.
 BUCKET = 24_000_000
 

@@ -272,9 +272,8 @@ def _side(active: DataFrame, name: str) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, active: DataFrame) -> DataFrame:
     """Pairs (a, b) with both sets; few different ones stand in column b."""
-    firsts = written(_side(active, "b").join(pairs.select("b").distinct(), "b", "left_semi"), "firsts")
-    found = written(pairs.join(_side(active, "a"), "a"), "pairs")
-    return found.join(firsts, "b")
+    firsts = _side(active, "b").join(pairs.select("b").distinct(), "b", "left_semi")
+    return pairs.join(_side(active, "a"), "a").join(firsts, "b")
 
 
 def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
@@ -373,15 +372,14 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
 
 def jaccard_links(chunks: DataFrame, n_bytes: int, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between the sids of different sets, enough of them to connect every component. chunks: of texts of so many bytes."""
-    first = written(answers(chunks, lambda rows, _: _first_keys(rows, size), n_bytes // ELEMENT_BYTES, "first"), "first")
+    first = answers(chunks, lambda rows, _: _first_keys(rows, size), n_bytes // ELEMENT_BYTES, "first")
     active = written(_active_sets(with_answers(chunks, first), size, percent), "active")
     n_active = text_bytes(active, "elements")
     held = chunked(active, "elements", n_active, "active")
     drop(active)
-    counts = written(answers(held, lambda rows, _: _counted(_flat(rows)[0]), n_active // 8, "counts"), "counts")
+    counts = answers(held, lambda rows, _: _counted(_flat(rows)[0]), n_active // 8, "counts")
     sets = written(_ranked_sets(with_answers(held, counts), percent), "sets")
-    for over in (first, held, counts):
-        drop(over)
+    drop(held)
 
     candidates = []
     for k in range(GATHER):
@@ -427,11 +425,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     n_bytes = text_bytes(own, "text")
     chunks = chunked(own, "text", n_bytes, "texts")
     sets = written(_sets_of(chunks, size, own.schema["doc_id"]), "sets")
-    links = written(jaccard_links(chunks, n_bytes, size, percent), "links")
+    links = jaccard_links(chunks, n_bytes, size, percent)
     drop(chunks)
     by_set = _labels(sets, links, F.col("doc_id"))
-    of_label = written(by_set.groupBy(F.col("label").alias("l2")).agg(F.min("first").alias("component_id")), "by_label")
-    of_set = written(by_set.join(of_label, F.col("label") == F.col("l2")).select(F.col("sid").alias("s2"), "component_id"), "of_set")
+    of_label = by_set.groupBy(F.col("label").alias("l2")).agg(F.min("first").alias("component_id"))
+    of_set = by_set.join(of_label, F.col("label") == F.col("l2")).select(F.col("sid").alias("s2"), "component_id")
     out = sets.join(of_set, (F.col("sid") == F.col("s2")) & (F.col("n_shingles") > 0), "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", alone).alias("component_id"))
@@ -443,11 +441,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of those with its smallest doc_id (nulls last) the first one. Rows without words stay; all columns do."""
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*others).alias("others"))
     n_bytes = text_bytes(docs, "text")
     chunks = chunked(rows, "text", n_bytes, "texts")
     sets = written(_sets_of(chunks, WORDS, docs.schema["doc_id"]), "sets")
-    links = written(jaccard_links(chunks, n_bytes), "links")
+    links = jaccard_links(chunks, n_bytes)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "chunk", "place")
     firsts = _labels(sets, links, order).groupBy("label").agg(F.min("first").alias("first")).select("first.chunk", "first.place")
     kept = firsts.unionByName(sets.filter("n_shingles = 0").select("chunk", "place"))
@@ -458,7 +457,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         for batch in batches:
             for payload, places in zip(batch.column(0), batch.column(1), strict=True):
                 own = opened(payload.as_py())
-                yield pa.RecordBatch.from_arrays([column(own, "row").take(places.values)], ["row"])
+                yield pa.RecordBatch.from_arrays([column(own, c).take(places.values) for c in ("text", "others")], ["text", "others"])
 
     found = chunks.join(kept, F.col("chunk") == F.col("c2")).select("payload", "places")
-    return found.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)])).select("row.*")
+    out = found.mapInArrow(run, T.StructType([rows.schema["text"], rows.schema["others"]]))
+    return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])

@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
 
     estimates = written(answers(chunks, anchor_keys, n_bytes // ANCHOR_BYTES, "estimates", sketch=True), "estimates")
     estimated = with_answers(chunks, estimates)
-    repeats = written(answers(estimated, window_keys, n_bytes // WINDOW_BYTES, "repeats", exact=True), "repeats")
+    repeats = answers(estimated, window_keys, n_bytes // WINDOW_BYTES, "repeats", exact=True)
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

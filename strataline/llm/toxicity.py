@@ -444,10 +444,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep
         scorer = model.scorer()
         for batch in batches:
             scores = pa.array([scorer.score(t) for t in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], scores], [*keep, name])
 
+    skip = int(keep[:1] != (text,))  # a kept text that comes first isn't sent twice
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
-    return df.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
+    return df.select(*[F.col(text).alias("__text")] * skip, *keep).mapInArrow(run, schema)
 
 
 def model_for(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> ToxicityModel:
@@ -465,6 +466,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below the threshold."""
-    rows = docs.select(F.col("text"), F.struct(*docs.columns).alias("row"))
-    out = score_toxicity(rows, model_for(docs, table(spark, sf_dir, "labels")), keep=("row",))
-    return out.filter(F.col("score") < THRESHOLD).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("others"))
+    out = score_toxicity(rows, model_for(docs, table(spark, sf_dir, "labels")), keep=("text", "others")).filter(F.col("score") < THRESHOLD)
+    return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
