@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataline import __main__ as shell
 from strataline import commands
@@ -117,3 +118,26 @@ def test_tasks_from_a_shell(spark, tmp_path):
         shell.arguments(["tier"])
     with pytest.raises(ValueError, match="models"):
         shell.run(spark, ["evaluate-seeds", "--panel", at("panel"), "--output", at("x")], Model())
+
+
+def test_market_of_a_database(spark, tmp_path):
+    """Records by JDBC, from a database in memory: filters by date and kind, the universe, and the whole build after it."""
+    jars = spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    if jars.getResource("org/apache/derby/iapi/jdbc/AutoloadedDriver.class") is None:
+        pytest.skip("no embedded database")
+    rows = raw(spark).withColumns({c: F.lit(v[0]) for c, v in readers.COMMON_SHARES.items()})
+    rows = rows.unionByName(rows.filter("ticker = 'A'").withColumns({"ticker": F.lit("FUND"), "securitytype": F.lit("FUND"), "dlycap": F.lit(1e9)}))
+    url, table = "jdbc:derby:memory:market;create=true", "daily_market"
+    kinds = ", ".join(f"{c} VARCHAR(20)" for c, kind in rows.dtypes if kind == "string")
+    rows.write.format("jdbc").options(url=url, dbtable=table, createTableColumnTypes=kinds).save()
+    at = lambda name: str(tmp_path / name)
+    commands.fetch_market(spark, url, table, "2020-01-05", "2020-02-10", 3, at("market"), at("universe"))
+    found = spark.read.parquet(at("market"))
+    instruments = {r["instrument"] for r in readers.read_universe(spark, at("universe")).collect()}
+    assert len(instruments) == 3 and instruments < {"A", "B", "C", "D"} and {r["ticker"] for r in found.select("ticker").distinct().collect()} == instruments
+    assert found.count() == 3 * 37 and found.agg(F.min("dlycaldt"), F.max("dlycaldt")).first()[:] == (dt.date(2020, 1, 5), dt.date(2020, 2, 10))
+    registry = json.dumps({"0": {"ticker": sorted(instruments)[0], "cik_str": 7}})
+    body = json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"filed": "2020-01-08", "val": 4}]}}}}})
+    get = lambda u: registry if u == filings_client.REGISTRY_URL else body
+    panel = commands.build_data(spark, url, table, "me", at("all"), Settings(start="2020-01-05", end="2020-02-10", universe_size=3), get)
+    assert spark.read.parquet(panel).filter("funda_assets = 4").count() == 33
