@@ -53,7 +53,7 @@ def test_substring_dedup(documents, size, gram):
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out.collect()) == want
 
 
-@pytest.mark.parametrize("bits, chunk", [(0, 300), (5, 2000)])
+@pytest.mark.parametrize("bits, chunk", [(5, 300)])
 def test_substring_dedup_in_many_chunks(documents, monkeypatch, bits, chunk):
     monkeypatch.setattr(dealt, "CHUNK", chunk)
     monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
@@ -69,7 +69,6 @@ def test_words_of_regular_structure_are_told_apart(spark):
     assert {r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0}
     short = docs.filter("doc_id < 2")
     assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(short).collect()} == {(0, 0), (1, 1)}
-    assert jaccard_join.near_duplicate_stage(spark, short, "").count() == 2
 
 
 def plain_components(rows, size=5, percent=75):
@@ -91,7 +90,7 @@ def plain_components(rows, size=5, percent=75):
     return collections.Counter((i, len(s), least.get(x) if s else i) for (i, _), s, x in zip(rows, sets, label, strict=True))
 
 
-@pytest.mark.parametrize("percent, few", [(75, 16), (50, 1), (90, 1)])
+@pytest.mark.parametrize("percent, few", [(75, 16), (50, 1)])
 def test_jaccard_join(documents, percent, few, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
@@ -100,12 +99,11 @@ def test_jaccard_join(documents, percent, few, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_components(rows_of(documents), percent=percent)
 
 
-@pytest.mark.parametrize("bits, chunk", [(0, 400), (4, 3000)])
-def test_jaccard_join_in_many_chunks(documents, monkeypatch, bits, chunk):
-    monkeypatch.setattr(dealt, "CHUNK", chunk)
-    monkeypatch.setattr(dealt, "range_bits", lambda n: bits)
-    out = jaccard_join.jaccard_components(documents)
-    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_components(rows_of(documents))
+def test_jaccard_join_in_many_chunks(documents, monkeypatch):
+    monkeypatch.setattr(dealt, "CHUNK", 400)
+    monkeypatch.setattr(dealt, "range_bits", lambda n: 4)
+    out = jaccard_join.jaccard_components(documents, percent=90)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_components(rows_of(documents), percent=90)
 
 
 def test_near_duplicate_stage(spark, documents):
@@ -552,3 +550,7 @@ def test_stages_keep_clashing_columns(spark, documents, table_dir):
     for stage in (toxicity.toxicity_stage, jaccard_join.near_duplicate_stage, secret_scan.secrets_stage, mixing.mixing_stage):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and all(r[n] == n for r in out.limit(5).collect() for n in names)
+    clash = documents.withColumns({n: F.lit(n) for n in ("ids", "length", "start", "sequence_id", "__id", "__text")})
+    pieces = packing.packing_stage(spark, clash, folder)
+    assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    assert pieces.agg(F.sum("length")).first()[0] == sum(r["doc_tokens"] for r in pieces.filter("start = 0").collect())

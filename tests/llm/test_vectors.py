@@ -197,8 +197,7 @@ def test_components(spark):
     assert got == {x: y for x, y in want.items() if any(x in link and link[0] != link[1] for link in links)}
 
 
-@pytest.mark.parametrize("exact, sketch", [(True, False), (False, False), (False, True)])
-@pytest.mark.parametrize("bits", [0, 6])
+@pytest.mark.parametrize("exact, sketch, bits", [(True, False, 0), (False, False, 6), (False, True, 6)])
 def test_counts_are_answered_to_all_chunks(spark, monkeypatch, bits, exact, sketch):
     from strataline.llm import dealt
     from strataline.llm.dealt import column
