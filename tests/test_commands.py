@@ -112,7 +112,7 @@ def test_tasks_from_a_shell(spark, tmp_path):
     assert spark.read.parquet(at("cut")).count() == 12
     split = {"data": {"train_start": "2020-01-01", "train_end": "2020-03-31", "validation_start": "2020-04-01", "validation_end": "2020-12-31"}, "mining": {"full_rounds": 1, "candidates_per_round": 1, "max_refinement_attempts": 1}}
     (tmp_path / "s.json").write_text(json.dumps(split | {"llm": {"generation_model": "g", "alignment_model": "a"}}))
-    shell.run(spark, ["--settings", at("s.json"), "tier", "--number", "3", "--panel", at("panel"), "--folder", at("tier")], Model())
+    shell.run(spark, ["--settings", at("s.json"), "tier", "--number", "1", "--panel", at("panel"), "--folder", at("tier")], Model())
     assert {p.name for p in (tmp_path / "tier").iterdir() if p.suffix == ".json"} == {"collection.json", "seeds.json", "log.json", "report.json"}
     with pytest.raises(SystemExit):
         shell.arguments(["tier"])
