@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .flat_graph import op1_flat_graph
 from .jaccard_join import op7_jaccard_join
 from .mixing import OP10_SQL, op10_mixing
@@ -19,9 +20,9 @@ from .url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_flat_graph, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op6_topk_search, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing)
+    found = (op1_flat_graph, op2_toxicity, op3_substring_dedup, op4_secret_scan, op5_token_counts, op6_topk_search, op7_jaccard_join, op8_url_filter, op9_packing, op10_mixing, op12_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op6_topk_search": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_mixing": OP10_SQL, "op12_filter_audit": OP12_SQL}
