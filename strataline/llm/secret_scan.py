@@ -9,22 +9,26 @@ Values that cost at least 10 ** MIN_LOG10_GUESSES guesses are added as kind
 
 Words are ranked: those that guessers try first, then those of a vocabulary
 file in its order. A repeat is a unit, of any length, as often as it follows on
-itself; a walk goes along one row of keys in one direction. Values of any
-length are segmented, in about n log n steps.
+itself, and costs what the unit's own segmentation costs, times its number; a walk
+goes along one row of keys in one direction. Of values of any length only places
+that are reached for less than the threshold are gone on from, and repeats are
+looked for from those alone, so memory is that of the value.
 
 Positions are code points, ends exclusive. Defined results: a null text has no
-spans and stays null when redacted; texts are scanned whole. Letters are ASCII.
+spans and stays null when redacted, an empty one has none; texts are scanned
+whole; rows that are there twice are scanned twice; an empty table gives an empty
+result; other columns may have any name. Letters are ASCII.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +74,13 @@ _DATES = tuple((re.compile(p), math.log10(n)) for p, n in (
     (r"(?:19|20)\d\d", 140), (r"(?:19|20)\d\d[-./_]?(?:0[1-9]|1[0-2])[-./_]?(?:0[1-9]|[12]\d|3[01])", 365 * 140),
     (r"(?:0?[1-9]|[12]\d|3[01])[-./_]?(?:0?[1-9]|1[0-2])[-./_]?(?:19|20)?\d\d", 365 * 140 * 2),
 ))
+#: Capitals as small letters, and letters that stand for others.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _LEET = str.maketrans("4@310$5!7", "aaeiossit")
 #: A segment more makes guessing harder than the product of its parts.
 _SEGMENT = math.log10(2)
+#: Units from this length on are looked for by their first so many characters.
+_PROBE = 8
 
 
 def _alphabet(value: str) -> int:
@@ -90,48 +98,39 @@ def ranked_words(path: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys([*WORDS, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())]))
 
 
-class Extensions:
-    """How far the text goes on equally from two places: by the classes of equal substrings of 1, 2, 4 .. characters."""
-
-    def __init__(self, codes: np.ndarray):
-        self.n = len(codes)
-        self.levels = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
-        while 2 << len(self.levels) - 1 <= self.n:
-            last, step = self.levels[-1], 1 << len(self.levels) - 1
-            self.levels.append(np.unique(last[:-step] * (self.n + 1) + last[step:], return_inverse=True)[1])
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Equal characters from places a and b on; b > a."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[k]
-            inside = np.flatnonzero(b < len(level))
-            same = inside[level[a[inside]] == level[b[inside]]]
-            for x in (a, b, out):
-                x[same] += 1 << k
-        return out
-
-
-def repeats(value: str) -> dict[int, list[tuple[int, int]]]:
-    """By start: the units (their lengths) that follow at least once on themselves, and where that ends. Units are no repeats themselves."""
-    n = len(value)
-    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ahead, back = Extensions(codes), Extensions(codes[::-1])
-    units = np.concatenate([np.full((n - 1) // u, u) for u in range(1, n // 2 + 1)]) if n > 1 else np.empty(0, np.int64)
-    first = np.concatenate([np.arange(0, n - u, u)[: (n - 1) // u] for u in range(1, n // 2 + 1)]) if n > 1 else np.empty(0, np.int64)
-    same = codes[first] == codes[first + units]  # a run of a unit has one of the places that are multiples of its length
-    units, first = units[same], first[same]
-    begin = first - back(n - 1 - first - units, n - 1 - first) + 1
-    end = first + units + ahead(first, first + units)
-    long = end - begin >= 2 * units
-    runs: dict[tuple[int, int], int] = {}
-    for a, b, u in zip(begin[long].tolist(), end[long].tolist(), units[long].tolist(), strict=True):
-        runs[a, b] = min(u, runs.get((a, b), n))
-    out: dict[int, list[tuple[int, int]]] = {}
-    for (a, b), u in runs.items():
-        for i in range(a, b - 2 * u + 1):
-            out.setdefault(i, []).append((u, i + (b - i) // u * u))
-    return out
+def common(value: str, a: int, b: int) -> int:
+    """Equal characters from places a and b on; b > a."""
+    n, step = 0, 32
+    while b + n + step <= len(value) and value[a + n : a + n + step] == value[b + n : b + n + step]:
+        n, step = n + step, 2 * step
+    while step:
+        if b + n + step <= len(value) and value[a + n : a + n + step] == value[b + n : b + n + step]:
+            n += step
+        else:
+            step //= 2
+    return n
+
+
+def repeats_from(value: str, i: int) -> Iterator[tuple[int, int]]:
+    """The units (their lengths) that begin at a place and follow at least once on themselves, and where that ends. Units are no repeats themselves.
+
+    Within a run of a unit, no longer unit begins at the same place: the next one reaches beyond the run.
+    """
+    most, unit = (len(value) - i) // 2, 1
+    while unit <= most:
+        if unit < _PROBE:
+            same = value.startswith(value[i : i + unit], i + unit)
+        else:  # its first characters come again where it begins again
+            at = value.find(value[i : i + _PROBE], i + unit, i + most + _PROBE)
+            if at < 0:
+                return
+            unit = at - i
+            same = value[i : at] == value[at : at + unit]
+        if same:
+            end = i + unit + common(value, i, i + unit)
+            yield unit, i + (end - i) // unit * unit
+            unit = max(unit, end - i - unit)
+        unit += 1
 
 
 class Guesser:
@@ -141,39 +140,49 @@ class Guesser:
         self.rank = {w: n for n, w in reversed(list(enumerate(words, 1)))}
         self.longest = max(map(len, self.rank), default=0)
 
-    def log10_guesses(self, value: str) -> float:
-        """Cost of the cheapest segmentation of value, as a power of ten."""
+    def log10_guesses(self, value: str, limit: float = math.inf) -> float:
+        """Cost of the cheapest segmentation of value, as a power of ten; infinite if it reaches the limit."""
+        return self._cost(value, math.log10(_alphabet(value)), limit, {})
+
+    def _cost(self, value: str, each: float, limit: float, known: dict[str, float]) -> float:
+        """The cost with brute force at each a character. Only places that cost less than the limit are gone on from, so few of a long value are; known: of values so far."""
+        if value in known:
+            return known[value]
         n = len(value)
-        each = math.log10(_alphabet(value))
-        low = "".join(c.lower() if c.isascii() else c for c in value)
+        low = value.translate(_LOWER)
         plain = low.translate(_LEET)
-        best = [0.0] + [math.inf] * n
-        again = repeats(value)
-
-        def reach(i: int, j: int, cost: float) -> None:
-            best[j] = min(best[j], best[i] + cost + (_SEGMENT if i else 0))
-
-        for i in range(n):
-            best[i + 1] = min(best[i + 1], best[i] + each)
+        best, ahead = {0: 0.0}, [0]
+
+        def reach(j: int, cost: float) -> None:
+            if cost < limit and cost < best.get(j, math.inf):
+                if j not in best:
+                    heapq.heappush(ahead, j)
+                best[j] = cost
+
+        while ahead and ahead[0] < n:
+            i = heapq.heappop(ahead)
+            reach(i + 1, best[i] + each)
+            so_far = best[i] + (_SEGMENT if i else 0)
             for j in range(i + 3, min(n, i + self.longest) + 1):
                 if (rank := self.rank.get(low[i:j])) or (rank := 4 * self.rank.get(plain[i:j], 0)):
                     upper = sum(map(str.isupper, value[i:j]))
-                    reach(i, j, math.log10(rank * (1 if not upper else 2 if upper in (1, j - i) else 2**upper) + 1))
+                    reach(j, so_far + math.log10(rank * (1 if not upper else 2 if upper in (1, j - i) else 2**upper) + 1))
             for row in _WALKS:
                 at = row.find(low[i])
                 length = 1
                 while 0 <= at and at + length < len(row) and low.startswith(row[at + length], i + length):
                     length += 1
                     if length >= 3:
-                        reach(i, i + length, _WALK_STARTS + math.log10(length))
-            for unit, j in again.get(i, ()):
-                if j - i >= 3:
-                    known = self.rank.get(low[i : i + unit]) if unit <= self.longest else None
-                    reach(i, j, (math.log10(known + 1) if known else unit * each) + math.log10((j - i) // unit))
+                        reach(i + length, so_far + _WALK_STARTS + math.log10(length))
+            for unit, j in repeats_from(value, i):
+                if j - i >= 3 and best.get(j, limit) > so_far:
+                    own = each if unit == 1 else self._cost(value[i : i + unit], each, limit, known)
+                    reach(j, so_far + own + math.log10((j - i) // unit))
             for pattern, cost in _DATES:
                 if m := pattern.match(value, i):
-                    reach(i, m.end(), cost)
-        return best[n]
+                    reach(m.end(), so_far + cost)
+        known[value] = best.get(n, math.inf)
+        return known[value]
 
 
 class Span(NamedTuple):
@@ -200,7 +209,7 @@ def scan(text: str | None, guesser: Guesser, least: float = MIN_LOG10_GUESSES) -
         for m in _CONTEXT.finditer(text):
             a, b = m.span(1)
             b = a + len(m[1].rstrip(".:!?)"))
-            if b - a >= 6 and not any(x < b and a < y for x, y in taken) and guesser.log10_guesses(text[a:b]) >= least:
+            if b - a >= 6 and not any(x < b and a < y for x, y in taken) and guesser.log10_guesses(text[a:b], least) >= least:
                 out.append(Span("guess", a, b, a))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -142,22 +143,22 @@ ODD = [
 
 @pytest.mark.parametrize("with_ids", [True, False])
 def test_encoder_agrees_with_the_library(tokenizer, with_ids):
-    bpe = WordBpe(token_counts.tokenizer_path(), with_ids)
+    coder = WordBpe(token_counts.tokenizer_path(), with_ids, bpe.unicode_tables())
     for _ in range(2):
-        got = bpe.encode([*ODD, None])
+        got = coder.encode([*ODD, None])
         want = [e.ids for e in tokenizer.encode_batch([*ODD, ""], add_special_tokens=False)]
         assert got.counts.tolist() == [len(w) for w in want]
         if with_ids:
             assert got.ids.tolist() == [i for w in want for i in w]
-        bpe.forget()
+        coder.forget()
 
 
 def test_encoder_agrees_on_every_code_point(tokenizer):
-    bpe = WordBpe(token_counts.tokenizer_path(), True)
+    coder = WordBpe(token_counts.tokenizer_path(), True, bpe.unicode_tables())
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for a in range(0, len(codes), 50_000):
         texts = [f"a{chr(c)}b{chr(c)}1 {chr(c)}\u0301" for c in codes[a : a + 50_000]]
-        got = bpe.encode(texts)
+        got = coder.encode(texts)
         want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert got.counts.tolist() == [len(w) for w in want] and got.ids.tolist() == [i for w in want for i in w]
 
@@ -165,7 +166,7 @@ def test_encoder_agrees_on_every_code_point(tokenizer):
 @pytest.mark.parametrize("with_ids", [True, False])
 def test_encoder_does_not_take_equal_hashes_for_equal_texts(tokenizer, with_ids, monkeypatch):
     monkeypatch.setattr(bpe, "run_hashes", lambda data, starts, ends: (ends - starts).astype("uint64") % 3)
-    engine = WordBpe(token_counts.tokenizer_path(), with_ids)
+    engine = WordBpe(token_counts.tokenizer_path(), with_ids, bpe.unicode_tables())
     for texts in (ODD, ["the stone of the river", *THUE_MORSE], ODD[::-1]):
         got, want = engine.encode(texts), [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert got.counts.tolist() == [len(w) for w in want]
@@ -241,13 +242,13 @@ def plain_base(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
 
 
-def plain_cost(value, rank):
-    """The cheapest segmentation by trying all segments from the end, without shared tables."""
+def plain_cost(value, rank, each=None):
+    """The cheapest segmentation by trying all segments from the end, without shared tables; a repeat costs its unit's own cheapest segmentation, times its number. each: cost of a character by brute force."""
     import functools
     import math
 
     kinds = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
-    each = math.log10(sum(n for f, n in kinds if any(map(f, value))) + 33 * any(not c.isalnum() for c in value) or 100)
+    each = each or math.log10(sum(n for f, n in kinds if any(map(f, value))) + 33 * any(not c.isalnum() for c in value) or 100)
     low = re.sub("[A-Z]", lambda m: m[0].lower(), value)
     leet = low.translate(str.maketrans("4@310$5!7", "aaeiossit"))
     rows = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -268,7 +269,7 @@ def plain_cost(value, rank):
             for u in range(1, (j - i) // 2 + 1):
                 unit = value[i : i + u]
                 if value[i:j] == unit * ((j - i) // u) and (j - i) % u == 0 and not value.startswith(unit, j) and not any(unit == unit[:d] * (u // d) for d in range(1, u) if u % d == 0):
-                    yield (math.log10(rank[unit.lower()] + 1) if unit.lower() in rank else u * each) + math.log10((j - i) // u)
+                    yield plain_cost(unit, rank, each) + math.log10((j - i) // u)
         for pattern, ways in ((r"(?:19|20)\d\d", 140), (r"(?:19|20)\d\d[-./_]?(?:0[1-9]|1[0-2])[-./_]?(?:0[1-9]|[12]\d|3[01])", 365 * 140), (r"(?:0?[1-9]|[12]\d|3[01])[-./_]?(?:0?[1-9]|1[0-2])[-./_]?(?:19|20)?\d\d", 365 * 140 * 2)):
             if (m := re.compile(pattern).match(value, i)) and m.end() == j:
                 yield math.log10(ways)
@@ -334,7 +335,39 @@ def test_guess_cost(weak, strong):
 
 def test_repeats_of_any_unit():
     unit = "k3Xq-Tz81_wLm90PqR"  # 18 characters
-    assert secret_scan.repeats(unit * 3)[0] == [(18, 54)] and secret_scan.repeats("aaa")[0] == [(1, 3)] and secret_scan.repeats("") == {} == secret_scan.repeats("ab")
+    every = lambda v, i=0: list(secret_scan.repeats_from(v, i))
+    assert every(unit * 3) == [(18, 54)] and every("aaa") == [(1, 3)] and every("") == [] == every("ab") and every("xaab" * 2, 1) == [(1, 3)]
+    for seed in range(300):
+        rng = random.Random(seed)
+        value = "".join(rng.choice("ab") for _ in range(rng.randint(1, 60)))
+        value = value * rng.randint(1, 3) + value[: rng.randint(0, 9)]
+        plain = []
+        for u in range(1, len(value) // 2 + 1):
+            own = value[:u]
+            if value.startswith(own * 2) and not any(u % d == 0 and own == own[:d] * (u // d) for d in range(1, u)):
+                k = 2
+                while value.startswith(own, k * u):
+                    k += 1
+                plain.append((u, k * u))
+        assert every(value) == plain, value
+
+
+@pytest.mark.parametrize("value, cost", [("summer2024", 3.8), ("summer2024" * 5, 4.5), ("2024-01-02" * 3, 5.2), ("password1" * 6, None)])
+def test_repeats_cost_what_their_unit_costs(value, cost):
+    found = GUESSER.log10_guesses(value)
+    assert found < 8 and (cost is None or abs(found - cost) < 0.15) and not secret_scan.scan(f"the pwd is {value}", GUESSER)
+
+
+@pytest.mark.parametrize("value, weak", [("7" * 5_000_000, True), ("qx8Kw!" + "z" * 5_000_000, False), ("".join(map(chr, (33 + (k * k + k // 7) % 90 for k in range(1_000_000)))).translate({ord(c): "~" for c in "<>,;\"'"}) * 5, False)])
+def test_values_of_millions_of_characters(value, weak):
+    assert len(value) >= 5_000_000 and (GUESSER.log10_guesses(value, 8.0) < 8) == weak
+    assert any(s.kind == "guess" for s in secret_scan.scan(f"the pwd is {value}", GUESSER)) != weak
+
+
+def test_limit_changes_no_cost_below_it():
+    for value in ("summer2024summer", "Zx81-qP_0vLm", "hahahaha", "qwerty1987", "p4ssp4ssp4ss", "aaaaaaaaaaaaab"):
+        cost = GUESSER.log10_guesses(value)
+        assert GUESSER.log10_guesses(value, cost + 0.01) == pytest.approx(cost) and GUESSER.log10_guesses(value, cost) == float("inf")
 
 
 def test_redaction(spark, documents):
