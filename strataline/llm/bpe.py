@@ -18,7 +18,6 @@ case isn't one character, go through the library's normalizer.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import sys
@@ -49,9 +48,14 @@ class UnicodeTables(NamedTuple):
     special: np.ndarray
 
 
-@functools.cache
 def unicode_tables() -> UnicodeTables:
-    """The tables of the tokenizer library at hand."""
+    """The tables of the tokenizer library at hand, made once a process. For the driver; workers get them."""
+    if "unicode" not in _kept():
+        _kept()["unicode"] = _asked_tables()
+    return _kept()["unicode"]
+
+
+def _asked_tables() -> UnicodeTables:
     from tokenizers import Regex, normalizers, pre_tokenizers
 
     codes = [c for c in _ASSIGNED if c != 10]
@@ -105,7 +109,7 @@ class Encoded(NamedTuple):
 class WordBpe:
     """The vocabulary of one file, and a bounded memory of the pre-tokens seen so far."""
 
-    def __init__(self, path: str, with_ids: bool, tables: UnicodeTables | None = None, max_known: int = 600_000):
+    def __init__(self, path: str, with_ids: bool, tables: UnicodeTables, max_known: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         verify(spec)
@@ -127,7 +131,7 @@ class WordBpe:
         keys = left * self.size + right
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made
-        self.tables = tables or unicode_tables()
+        self.tables = tables
         self.with_ids, self.max_known = with_ids, max_known
         self.forget()
 

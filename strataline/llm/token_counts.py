@@ -2,7 +2,9 @@
 
 Defined results: a null text counts as empty and has 0 bytes and 0 tokens;
 special strings inside a text are one token each, as the library reads them by
-default. Texts are never cut. Only the text column is read.
+default. Texts are never cut. Rows that are there twice are counted twice; an
+empty table gives an empty result. Only the text column is read beside those that
+are kept.
 """
 
 from __future__ import annotations
