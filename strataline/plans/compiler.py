@@ -5,7 +5,8 @@ node. Row-wise operators stay Column expressions. Window operators become
 columns, in passes: all that are ready along instruments, then all that are
 ready across dates, and so on. Passes of one kind share their partitioning, so
 the exchanges depend on how often the kinds alternate, not on the number of
-expressions.
+expressions. Ranks of several operands in a pass are taken in long form, by one
+sort for all; long windows along an instrument are put together by doubling.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_number
-from ..operators import crosssection, scalar, timeseries
+from ..operators import crosssection, ranking, scalar, sliding, timeseries
 from ..operators.catalogue import SPECS
 from .grammar import FieldRef, Literal, Node, OpCall, Program, parse, walk
 
@@ -89,17 +90,60 @@ class Plan:
             done.update(now)
         return out
 
-    def apply(self, panel: DataFrame) -> DataFrame:
+    def apply(self, panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """panel with a column for each root. Of its other columns at least ``keep`` are there, and those that no expression reads."""
         if any(n.op == "TS_SINCE" for n in self.windows):
             panel = panel.withColumn(timeseries.ROW_NUMBER, F.row_number().over(timeseries.by_instrument()))
+        read = {n.name for r in self.roots.values() for n in walk(r) if isinstance(n, FieldRef)}
+        self.kept = [c for c in panel.columns if c in keep or c not in read]
         for kind, nodes in self.passes():
             panel = self._name_shared(panel)
-            ready = {n: self.window(n) for n in nodes}
             names = {n: f"__n{len(self.columns) + k}" for k, n in enumerate(nodes)}
-            panel = panel.withColumns({names[n]: c for n, c in ready.items()})
+            long = self._long(nodes)
+            near = [n for n in nodes if n not in long]
+            if kind == "cs" and long:
+                panel = panel.repartition("datetime")  # before rows multiply
+            panel = panel.withColumns({names[n]: self.window(n) for n in near})
+            if long:
+                panel = (self._long_windows if kind == "ts" else self._long_ranks)(panel, {n: names[n] for n in long}, {n: names[n] for n in near})
             self.columns.update(names)
         panel = self._name_shared(panel)
-        return panel.withColumns({name: self.column(node) for name, node in self.roots.items()}).drop(timeseries.ROW_NUMBER, *self.columns.values())
+        own = {timeseries.ROW_NUMBER, *self.columns.values()}
+        return panel.withColumns({name: self.column(node) for name, node in self.roots.items()}).drop(*own)
+
+    @staticmethod
+    def _long(nodes: list[OpCall]) -> set[OpCall]:
+        """Those of a pass that have a plan of their own: long windows, and ranks if there are several."""
+        ranked = [n for n in nodes if n.op in ("CS_RANK", "CS_BUCKET")]
+        many = len({n.args[0] for n in ranked}) >= ranking.MANY_OPERANDS
+        return {n for n in nodes if n.op in sliding.RULES and _rows(n) >= sliding.LONG_WINDOW} | set(ranked if many else ())
+
+    def _long_windows(self, panel: DataFrame, names: dict[OpCall, str], _: dict[OpCall, str]) -> DataFrame:
+        requests = []
+        for n, name in names.items():
+            operands = tuple(a for k, a in enumerate(n.args) if k != SPECS[n.op].literal)
+            requests.append(sliding.Request(name, n.op, tuple(map(self.column, operands)), operands, _rows(n)))
+        return sliding.add_long_windows(panel, requests, timeseries.by_instrument())
+
+    def _long_ranks(self, panel: DataFrame, names: dict[OpCall, str], others: dict[OpCall, str]) -> DataFrame:
+        operands = list(dict.fromkeys(n.args[0] for n in names))
+        columns = list(map(self.column, operands))
+        named = self.columns | others
+        needed: set[str] = set()
+        ahead = [*self.roots.values(), *[n for n in self.shared if n not in self.columns]]
+        while ahead:
+            n = ahead.pop()
+            if n in named:
+                needed.add(named[n])
+            elif isinstance(n, FieldRef):
+                needed.add(n.name)
+            elif isinstance(n, OpCall) and n not in names:
+                ahead += n.args
+        rest = [c for c in panel.columns if c not in KEYS and (c in needed or c in self.kept)]
+        panel, parts = ranking.rank_many(panel, columns, rest, any(n.op == "CS_BUCKET" for n in names))
+        of = dict(zip(operands, parts, strict=True))
+        found = {name: of[n.args[0]]["share"] if n.op == "CS_RANK" else ranking.bucket_of(of[n.args[0]], int(n.args[1].value)) for n, name in names.items()}
+        return panel.withColumns(found).drop("ranks")
 
     def _name_shared(self, panel: DataFrame) -> DataFrame:
         """Row-wise nodes with several users become columns, as soon as all windows below them are."""
@@ -133,6 +177,11 @@ class Plan:
         return rule(*args, *([] if whole is None else [whole]))
 
 
+def _rows(node: OpCall) -> int:
+    """The rows of a window along an instrument."""
+    return int(node.args[SPECS[node.op].literal].value)
+
+
 def _quantile(node: Node) -> float:
     if not isinstance(node, Literal):
         raise EvalError("CS_WINSORIZE takes numbers as its bounds")
@@ -152,7 +201,7 @@ def evaluate_many(panel: DataFrame, expressions: Mapping[str, str | Program], ke
     if clash:
         raise EvalError(f"columns {sorted(clash)} would be there twice")
     read = panel.select(*KEYS, *[c for c in keep if c not in fields], *[as_number(F.col(f)).alias(f) for f in fields])
-    return Plan({name: p.resolved() for name, p in programs.items()}).apply(read).select(*KEYS, *keep, *programs)
+    return Plan({name: p.resolved() for name, p in programs.items()}).apply(read, keep).select(*KEYS, *keep, *programs)
 
 
 def evaluate(panel: DataFrame, expression: str | Program, name: str = "value", keep: tuple[str, ...] = (), max_nodes: int = 50) -> DataFrame:

@@ -7,11 +7,20 @@ from itertools import groupby
 
 import pytest
 
+from strataline.operators import ranking, sliding
 from strataline.plans.compiler import evaluate, evaluate_many
 
 INF = float("inf")
 
 
+@pytest.fixture(params=["as they come", "long forms"], autouse=True)
+def forms(request, monkeypatch):
+    """Everything holds for the plans of short windows and few ranks, and for those of long windows and many."""
+    if request.param == "long forms":
+        monkeypatch.setattr(sliding, "LONG_WINDOW", 1)
+        monkeypatch.setattr(ranking, "MANY_OPERANDS", 1)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
@@ -209,3 +218,59 @@ def test_one_exchange_for_each_change_of_direction(panel):
     from strataline.plans.grammar import parse
 
     assert len(Plan({k: parse(v).resolved() for k, v in texts.items()}).passes()) == 2
+
+
+def _sorts_and_exchanges(df, panel):
+    """In the plan of df, beyond what the panel's own plan has."""
+    own, base = (x._jdf.queryExecution().executedPlan().toString() for x in (df, panel))
+    return own.count("Sort [") - base.count("Sort ["), own.count("Exchange ") - base.count("Exchange ")
+
+
+def test_sorts_do_not_grow_with_the_ranks_of_a_batch(panel, monkeypatch):
+    monkeypatch.setattr(ranking, "MANY_OPERANDS", 4)
+    counts = set()
+    for n in (8, 64, 400):
+        texts = {f"f{k}": f"CS_RANK(DELTA(${('close', 'open', 'ret')[k % 3]}, {1 + k // 3}))" for k in range(n)}
+        counts.add(_sorts_and_exchanges(evaluate_many(panel, texts), panel))
+    assert counts == {(2, 2)}  # by instrument, and by value
+
+
+def test_ranks_and_buckets_share_a_sort(panel, monkeypatch):
+    monkeypatch.setattr(ranking, "MANY_OPERANDS", 4)
+    texts = {f"f{k}": f"ADD(CS_RANK(ADD($close, {k})), CS_BUCKET(ADD($close, {k}), 5))" for k in range(6)}
+    assert _sorts_and_exchanges(evaluate_many(panel, texts), panel) == (1, 1)
+
+
+def test_long_windows_need_no_sort_of_their_own(panel, monkeypatch):
+    monkeypatch.setattr(sliding, "LONG_WINDOW", 64)
+    texts = {"a": "TS_MEAN($close, 252)", "b": "TS_STD($close, 100)", "c": "TS_CORR($close, $open, 64)", "d": "TS_MAX($ret, 1000)", "e": "TS_SUM($close, 10)"}
+    assert _sorts_and_exchanges(evaluate_many(panel, texts), panel) == (1, 1)
+
+
+@pytest.mark.parametrize("n", [3, 7, 8, 21, 64])
+def test_long_windows_equal_short_ones(panel, monkeypatch, n):
+    texts = {op: f"{op}($ret, {n})" for op in ("TS_MEAN", "TS_SUM", "TS_MIN", "TS_MAX", "TS_STD", "TS_COUNT")} | {"TS_CORR": f"TS_CORR($ret, ADD($open, $ret), {n})"}
+    both = []
+    for least in (1, 1000):
+        monkeypatch.setattr(sliding, "LONG_WINDOW", least)
+        both.append(sorted(evaluate_many(panel, texts).collect(), key=lambda r: (r[1], r[0])))
+    for a, b in zip(*both, strict=True):
+        assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-9)) for x, y in zip(a[2:], b[2:], strict=True)), (a, b)
+
+
+def test_a_constant_in_a_long_window_does_not_vary(spark, monkeypatch):
+    monkeypatch.setattr(sliding, "LONG_WINDOW", 2)
+    days = spark.range(300).selectExpr("date_add(date'2020-01-01', int(id)) datetime", "'A' instrument", "0.1D close", "if(id % 7 = 0, 1e15D, 3.3D) open")
+    found = evaluate_many(days, {"s": "TS_STD($close, 100)", "c": "TS_CORR($close, $open, 90)", "t": "TS_STD($open, 3)"}).orderBy("datetime").collect()
+    assert {r["s"] for r in found[1:]} == {0.0} and {r["c"] for r in found} == {None}
+    assert {r["t"] for r in found[3:] if r["t"] < 1e9} == {0.0}  # a large value that has left leaves no trace
+
+
+def test_extra_and_kept_columns_go_through_long_ranks(panel):
+    from pyspark.sql import functions as F
+
+    odd = panel.withColumns({"a.b": F.lit("x"), "k": F.lit(1)})
+    texts = {f"f{k}": f"TS_MEAN(CS_RANK(ADD($close, {k})), 2)" for k in range(5)}
+    found = evaluate_many(odd, texts, keep=("close", "k"))
+    assert found.columns == ["datetime", "instrument", "close", "k", *texts] and found.count() == panel.count()
+    assert sorted((r[0], r[1], r[2] is None, r[2]) for r in found.select("datetime", "instrument", "close").collect()) == sorted((r[0], r[1], r[2] is None, r[2]) for r in panel.select("datetime", "instrument", "close").collect())
