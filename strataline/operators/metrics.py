@@ -27,23 +27,25 @@ def long_values(wide: DataFrame, factors: list[str], windows: Mapping[str, tuple
     """Rows of wide (one column for each factor) by factor and window; windows are closed date ranges and may overlap.
 
     Beside value and label: before, the instrument's previous value within the
-    window, and label_rank.
+    window, label_rank, and slot, a number for factor and date that is quick to
+    sort by.
     """
     within = [F.when(F.col("datetime").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(name)) for name, (a, b) in windows.items()]
     rows = wide.select("datetime", "instrument", F.col(label).cast("double").alias("label"), F.struct(*factors).alias("v"), F.explode(F.array_compact(F.array(*within))).alias("window"))
     before = F.lag("v").over(Window.partitionBy("window", "instrument").orderBy("datetime"))
     rows = rows.withColumn("before", before)
     rows = rows.withColumn("label_rank", percent_rank(F.col("label"), ("window", "datetime")))
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"v.{f}").alias("value"), F.col(f"before.{f}").alias("before")) for f in factors]))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("factor"), F.col(f"v.{f}").alias("value"), F.col(f"before.{f}").alias("before")) for k, f in enumerate(factors)]))
     rows = rows.select("window", "datetime", "instrument", "label", "label_rank", values.alias("f"))
-    return rows.select("f.factor", "window", "datetime", "instrument", "f.value", "f.before", "label", "label_rank")
+    slot = F.datediff("datetime", F.lit("1970-01-01").cast("date")).cast("long") * len(factors) + F.col("f.k")
+    return rows.select("f.factor", "window", "datetime", "instrument", "f.value", "f.before", "label", "label_rank", slot.alias("slot"))
 
 
 def daily_figures(rows: DataFrame) -> DataFrame:
     """factor, window, datetime, daily_ic, daily_rank_ic, daily_lag1, and the numbers of rows, values and complete pairs."""
     by = (*KEYS, "datetime")
     value, label = F.col("value"), F.col("label")
-    ranked = rows.withColumn("value_rank", percent_rank(value, by))
+    ranked = rows.withColumn("value_rank", percent_rank(value, ("slot", "window", "datetime") if "slot" in rows.columns else by))
     return ranked.groupBy(*by).agg(
         pearson(value, label).alias("daily_ic"), pearson(F.col("value_rank"), F.col("label_rank")).alias("daily_rank_ic"), pearson(value, F.col("before")).alias("daily_lag1"),
         F.count(F.lit(1)).alias("rows"), F.count(value).alias("values"), F.count(F.when(label.isNotNull(), value)).alias("pairs"),

@@ -3,9 +3,11 @@
 Rows are dealt by date once. Within the tasks they become (operand, date,
 instrument, value), are ordered by operand, date and value, and are folded back
 to a row for each date and instrument, all without another exchange, because
-each of these groupings lies within a date. So the sorts are two (one by value,
-one to fold), whatever the number of operands; side by side every operand would
-sort all columns again.
+each of these groupings lies within a date. So there is one sort, whatever the
+number of operands; side by side every operand would sort all columns again.
+The sort begins with one number for operand and date, and the fold adds up
+fixed-size columns only, CHUNK operands at a time, so both stay with what Spark
+does in place.
 
 The panel's keys (date and instrument) have to be unique, as panels are.
 """
@@ -17,36 +19,47 @@ from pyspark.sql import functions as F
 
 #: From so many operands of a pass on, they are ranked in long form.
 MANY_OPERANDS = 4
+#: Operands that are folded together.
+CHUNK = 32
 KEYS = ("datetime", "instrument")
+_FIXED_SIZE = ("double", "float", "bigint", "int", "smallint", "tinyint", "boolean", "date", "timestamp", "timestamp_ntz")
 
 
 def rank_many(df: DataFrame, operands: list[Column], rest: list[str], with_places: bool) -> tuple[DataFrame, list[dict[str, Column]]]:
-    """df is dealt by date. A row for each row of df with its keys and the columns ``rest``, and for each operand the columns share (average rank among the date's values), place (by value, ties by instrument; if with_places) and values (how many the date has).
+    """df is dealt by date. A row for each row of df with its keys and the columns ``rest``, and for each operand the columns share (average rank as a share of the date's values) and, if with_places, position (place by value, ties by instrument, as a share).
 
-    Missing operands have a missing share and place.
+    Missing operands have missing shares and positions.
     """
-    carried = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rest]) if rest else F.lit(True)
-    nothing = F.lit(None)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x"), (nothing if k else carried).alias("rest")) for k, x in enumerate(operands)])).alias("e")
-    rows = df.select(*KEYS, each).select(*KEYS, "e.*", F.col("e.x").isNull().alias("missing"))
-    x, missing = F.col("x"), F.col("missing")
-    day = Window.partitionBy("k", "datetime")
-    found = []
+    n, kinds = len(operands), dict(df.dtypes)
+    carried = {c: f"rest{j}" for j, c in enumerate(rest)}
+    held = [F.col("`" + c.replace("`", "``") + "`") for c in rest]
+    missing = [F.lit(None).cast(kinds[c]) for c in rest]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x"), *[c.alias(name) for c, name in zip(missing if k else held, carried.values(), strict=True)]) for k, x in enumerate(operands)])).alias("e")
+    rows = df.select(*KEYS, each).select(*KEYS, "e.*")
+    number = F.coalesce(F.datediff("datetime", F.lit("1970-01-01").cast("date")), F.lit(-(1 << 30))).cast("long") * n + F.col("k")
+    rows = rows.withColumn("g", number)
+    x = F.col("x")
+    day, order = Window.partitionBy("g", "datetime"), x.asc_nulls_last()
+    parts = ["share"]
     if with_places:
-        rows = rows.withColumn("place", F.row_number().over(day.orderBy(missing, x, F.col("instrument"))))
-        found.append(F.when(~missing, F.col("place")).alias("place"))
-    ordered = day.orderBy(missing, x)  # what the order by place sorts is in this order too
+        parts.append("position")
+        rows = rows.withColumn("place", F.row_number().over(day.orderBy(order, "instrument")))
+    ordered = day.orderBy(order)  # rows in the order of places are in this one too
     upto = ordered.rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"low": F.rank().over(ordered), "high": F.count(F.lit(1)).over(upto), "values": F.count("x").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    share = F.when(~missing, (F.col("low") + F.col("high")) / F.lit(2.0) / F.col("values"))
-    own = F.struct("k", share.alias("share"), *found, "values")
-    folded = rows.groupBy(*KEYS).agg(F.max("rest").alias("rest"), F.sort_array(F.collect_list(own)).alias("ranks"))
-    folded = folded.select(*KEYS, *[F.col("rest")[c].alias(c) for c in rest], "ranks")
-    parts = [{c: F.col("ranks")[k][c] for c in ("share", "values", *(["place"] if with_places else []))} for k in range(len(operands))]
-    return folded, parts
+    found = {"share": (F.col("low") + F.col("high")) / F.lit(2.0) / F.col("values")}
+    if with_places:
+        found["position"] = F.col("place") / F.col("values").cast("double")
+    slot, chunk = F.col("k") % CHUNK, F.floor(F.col("k") / CHUNK).cast("int")
+    rows = rows.select(*KEYS, slot.alias("slot"), chunk.alias("chunk"), *[F.when(x.isNotNull(), c).alias(p) for p, c in found.items()], *carried.values())
+    same = [(F.max if kinds[c] in _FIXED_SIZE else lambda y: F.first(y, ignorenulls=True))(name).alias(name) for c, name in carried.items()]
+    folded = rows.groupBy(*KEYS, "chunk").agg(*[F.max(F.when(F.col("slot") == j, F.col(p))).alias(f"{p}{j}") for p in parts for j in range(min(n, CHUNK))], *same)
+    if n > CHUNK:
+        folded = folded.groupBy(*KEYS).agg(*[F.max(F.when(F.col("chunk") == k // CHUNK, F.col(f"{p}{k % CHUNK}"))).alias(f"{p}{k}") for p in parts for k in range(n)], *same)
+    own = [{p: F.col(f"__{p}{k}") for p in parts} for k in range(n)]
+    return folded.select(*KEYS, *[F.col(name).alias(c) for c, name in carried.items()], *[F.col(f"{p}{k}").alias(f"__{p}{k}") for p in parts for k in range(n)]), own
 
 
 def bucket_of(parts: dict[str, Column], n: int) -> Column:
-    """1 to n by place."""
-    share = parts["place"] / parts["values"].cast("double")
-    return F.when(parts["place"].isNotNull(), F.least(F.greatest(F.ceil(share * n), F.lit(1)), F.lit(n)).cast("double"))
+    """1 to n by position."""
+    return F.when(parts["position"].isNotNull(), F.least(F.greatest(F.ceil(parts["position"] * n), F.lit(1)), F.lit(n)).cast("double"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import finite, null_if_nan, truthy
 
-#: Windows of so many rows at least are put together by doubling; shorter ones are read row by row.
+#: Windows whose rows times an operator's work a row are so many at least are put together by doubling; shorter ones are read row by row.
 LONG_WINDOW = 64
 
 State = dict[str, Column]
@@ -79,11 +79,12 @@ def _correlation(s: State) -> Column:
 
 
 class Rule(NamedTuple):
-    """How an operator uses a kind: what it makes of its operands before, and of the window's state."""
+    """How an operator uses a kind: what it makes of its operands before, and of the window's state. work: of a row that is read, beside that of a sum."""
 
     kind: Kind
     operand: Callable[[Column], Column]
     result: Callable[[State], Column]
+    work: int = 1
 
 
 RULES = {
@@ -92,11 +93,15 @@ RULES = {
     "TS_COUNT": Rule(SUM, lambda x: F.when(truthy(x), 1.0).otherwise(0.0), lambda s: s["s"]),
     "TS_MIN": Rule(LEAST, finite, lambda s: s["v"]),
     "TS_MAX": Rule(MOST, finite, lambda s: s["v"]),
-    "TS_STD": Rule(MOMENTS, finite, lambda s: F.when(s["c"] > 1, F.sqrt(F.try_divide(s["xx"], s["c"] - 1)))),
-    "TS_CORR": Rule(PAIRS, lambda x: x, _correlation),
+    "TS_STD": Rule(MOMENTS, finite, lambda s: F.when(s["c"] > 1, F.sqrt(F.try_divide(s["xx"], s["c"] - 1))), 2),
+    "TS_CORR": Rule(PAIRS, lambda x: x, _correlation, 8),
 }
 
 
+def is_long(op: str, rows: int) -> bool:
+    return rows * RULES[op].work >= LONG_WINDOW
+
+
 class Request(NamedTuple):
     """A column to be added: an operator, its operands with a key that is equal for equal ones, and the rows of the window."""
 
@@ -123,7 +128,7 @@ def add_long_windows(df: DataFrame, requests: list[Request], window) -> DataFram
         fields[f"__s{g}_"] = list(state)
         first |= {f"__s{g}_{k}": c for k, c in state.items()}
     kept = list(df.columns)
-    df = df.select(*map(_named, kept), *[c.alias(k) for k, c in first.items()])
+    df = df.select(*map(named, kept), *[c.alias(k) for k, c in first.items()])
     covered: dict[str, int] = {}  # rows that a request's own state has so far
     for level in range(max(r.rows for r in requests).bit_length()):
         size = 1 << level
@@ -159,10 +164,10 @@ def add_long_windows(df: DataFrame, requests: list[Request], window) -> DataFram
         for kind, at, a, b in merges:
             after |= {at + k: c for k, c in (a if a is b else kind.merge(a, b)).items()}
         held = [f"__r{r.name}_{k}" for _, at, own in levels for r in own if r.name in covered for k in fields[at]]
-        df = df.select(*map(_named, kept), *[after.get(c, F.col(c)).alias(c) for c in held], *[c.alias(k) for k, c in after.items() if k.startswith("__s")])
+        df = df.select(*map(named, kept), *[after.get(c, F.col(c)).alias(c) for c in held], *[c.alias(k) for k, c in after.items() if k.startswith("__s")])
     results = [RULES[r.op].result({k: F.col(f"__r{r.name}_{k}") for k in fields[at]}).alias(r.name) for _, at, own in levels for r in own]
-    return df.select(*map(_named, kept), *results)
+    return df.select(*map(named, kept), *results)
 
 
-def _named(name: str) -> Column:
+def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")

@@ -116,7 +116,7 @@ class Plan:
         """Those of a pass that have a plan of their own: long windows, and ranks if there are several."""
         ranked = [n for n in nodes if n.op in ("CS_RANK", "CS_BUCKET")]
         many = len({n.args[0] for n in ranked}) >= ranking.MANY_OPERANDS
-        return {n for n in nodes if n.op in sliding.RULES and _rows(n) >= sliding.LONG_WINDOW} | set(ranked if many else ())
+        return {n for n in nodes if n.op in sliding.RULES and sliding.is_long(n.op, _rows(n))} | set(ranked if many else ())
 
     def _long_windows(self, panel: DataFrame, names: dict[OpCall, str], _: dict[OpCall, str]) -> DataFrame:
         requests = []
@@ -143,7 +143,7 @@ class Plan:
         panel, parts = ranking.rank_many(panel, columns, rest, any(n.op == "CS_BUCKET" for n in names))
         of = dict(zip(operands, parts, strict=True))
         found = {name: of[n.args[0]]["share"] if n.op == "CS_RANK" else ranking.bucket_of(of[n.args[0]], int(n.args[1].value)) for n, name in names.items()}
-        return panel.withColumns(found).drop("ranks")
+        return panel.select(*KEYS, *map(sliding.named, rest), *[c.alias(name) for name, c in found.items()])
 
     def _name_shared(self, panel: DataFrame) -> DataFrame:
         """Row-wise nodes with several users become columns, as soon as all windows below them are."""
