@@ -18,10 +18,15 @@ A shard larger than SHARD nodes is dealt to several parts, and queries go to
 all of them in blocks of BLOCK, so a group of near copies of any size is never
 one task. Links stay counts: each query's number, and the smallest node that a
 task's links connect it to, from which the components are made. ``audit``
-measures recall against brute force on samples of nodes, until they have
-AUDIT_LINKS true links; below MIN_RECALL the nodes are dealt again with the
-margin that is certain, and all nodes of a part are compared. The recall of what
-is returned is logged.
+measures recall against brute force on nodes drawn evenly from all, whether they
+have found links or not, until these have AUDIT_LINKS true links or are all
+nodes. Below MIN_RECALL, and where AUDIT_MOST nodes have too few true links to
+tell, the nodes are dealt again with the margin that is certain, and all nodes
+of a part are compared. The recall of what is returned is logged.
+
+``build`` compares all nodes of a shard to choose neighbours among them, so
+within a shard the graph saves searches and not comparisons; what it adds are
+links across shards, by the edges that other shards gave to a node.
 
 Defined results: vectors without a label, that are null or zero, or hold null
 or non-finite components, link with nothing, and so do rows without an id (their
@@ -63,8 +68,8 @@ SLACK = 0.02
 BEAM = 8
 #: Queries that are searched for together, and pairs of query and node that are expanded together.
 SEARCH, EXPAND = 256, 20_000
-#: Nodes of the first sample and of the last one, each four times the one before, and true links that are enough.
-AUDIT, AUDIT_MOST, AUDIT_LINKS = 256, 4096, 1000
+#: Nodes of the first sample and of the last one, each four times the one before; true links that are enough to stop, and to tell anything.
+AUDIT, AUDIT_MOST, AUDIT_LINKS, LEAST_LINKS = 256, 16_384, 1000, 100
 MIN_RECALL = 0.98
 
 _log = logging.getLogger(__name__)
@@ -397,19 +402,23 @@ def _true_links(nodes: DataFrame, sample: DataFrame, cosine: float) -> dict[int,
     return {r["node"]: r["n"] for r in counts.collect()}
 
 
-def audit(nodes: DataFrame, found: DataFrame, cosine: float) -> tuple[float, int]:
-    """Share of the true links of samples of nodes that were found, and how many true links these have. found: node, n (links to others)."""
-    dim = nodes.agg(F.max("dim")).first()[0] or 1
-    linked = nodes.join(found.select(F.col("node").alias("n2")), F.col("node") == F.col("n2"), "left_semi")
-    total, most = nodes.count(), AUDIT
+def audit(nodes: DataFrame, found: DataFrame, cosine: float) -> tuple[float | None, int]:
+    """Share of the true links of evenly drawn nodes that were found, and how many true links these have; None if they are too few to tell. found: node, n (links to others)."""
+    row = nodes.agg(F.max("dim"), F.count(F.lit(1))).first()
+    dim, total = row[0] or 1, row[1]
+    most = AUDIT
     while True:
-        least = max(1, min(most, SAMPLE_BYTES // (32 * dim)))  # both samples within SAMPLE_BYTES
-        sample = written(_drawn(nodes, least, 7).unionByName(_drawn(linked, least, 8)).dropDuplicates(["node"]), "sample")
+        least = max(1, min(most, SAMPLE_BYTES // (16 * dim)))  # twice as many are within SAMPLE_BYTES
+        sample = written(_drawn(nodes, least, 7), "sample")
         true = _true_links(nodes, sample, cosine)
         links = sum(true.values())
-        if links >= AUDIT_LINKS or most >= min(total, AUDIT_MOST):
+        everything = least >= total
+        if links >= AUDIT_LINKS or everything or most >= AUDIT_MOST:
             break
         most *= 4
+        drop(sample)
+    if not everything and links < LEAST_LINKS:
+        return None, links
     have = {r["node"]: r["n"] for r in found.join(sample.select(F.col("node").alias("n2")), F.col("node") == F.col("n2"), "left_semi").collect()}
     return (sum(min(n, have.get(k, 0)) for k, n in true.items()) / links if links else 1.0), links
 
@@ -427,8 +436,8 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id
         drop(members)
         drop(edges)
         recall, seen = audit(nodes, links, cosine)
-        _log.warning("recall %.4f over %d true links%s", recall, seen, ", all nodes of a part compared" if certain else "")
-        if recall >= MIN_RECALL:
+        _log.warning("recall %s over %d true links%s", "not measured" if recall is None else f"{recall:.4f}", seen, ", all nodes of a part compared" if certain else "")
+        if recall is not None and recall >= MIN_RECALL:
             break
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("n3"), F.col("label").alias("component"))
     known = nodes.join(links.select(F.col("node").alias("n2"), "n"), F.col("node") == F.col("n2"), "left").join(labels, F.col("node") == F.col("n3"), "left")

@@ -227,3 +227,39 @@ def test_counts_are_answered_to_all_chunks(spark, monkeypatch, bits, exact, sket
             assert got >= least and (sketch or got == least)
             right += got == least
     assert rows == 5000 and right > 4900
+
+
+@pytest.fixture(scope="module")
+def families(spark):
+    """20,000 nodes, of which 40 groups of 10 are near copies, and the links of each node within its group."""
+    rng = np.random.default_rng(9)
+    v = flat_graph._unit(rng.normal(size=(20_000, 16)))
+    for g in range(40):
+        v[g * 10 : g * 10 + 10] = flat_graph._unit(v[g * 10] + 0.01 * rng.normal(size=(10, 16)))
+    nodes = spark.createDataFrame([(0, 16, k, 1, x.tobytes()) for k, x in enumerate(v)], "label int, dim int, node long, copies long, v binary").repartition(4).cache()
+    return nodes, [(k, 9) for k in range(400)]
+
+
+@pytest.mark.parametrize("lost, recall", [(0, 1.0), (20, 0.5), (32, 0.2)])
+def test_audit_is_not_misled_by_what_was_found(spark, families, lost, recall):
+    nodes, links = families
+    found = spark.createDataFrame([x for x in links if x[0] >= 10 * lost], "node long, n long")
+    measured, seen = flat_graph.audit(nodes, found, 0.98)
+    assert seen >= flat_graph.AUDIT_LINKS and abs(measured - recall) < 0.1
+
+
+def test_audit_says_when_it_cannot_tell(spark, families, monkeypatch):
+    nodes, links = families
+    monkeypatch.setattr(flat_graph, "AUDIT_MOST", 256)
+    assert flat_graph.audit(nodes, spark.createDataFrame(links, "node long, n long"), 0.98)[0] is None
+    few = nodes.filter("node >= 19900")
+    assert flat_graph.audit(few, spark.createDataFrame([], "node long, n long"), 0.98) == (1.0, 0)  # all of them were compared
+
+
+def test_an_unmeasured_graph_takes_the_certain_way(spark, families, monkeypatch, caplog):
+    nodes, links = families
+    monkeypatch.setattr(flat_graph, "AUDIT_MOST", 256)
+    df = nodes.select(F.col("node").alias("vec_id"), "label", "v").rdd.map(lambda r: (r[0], np.frombuffer(r[2]).tolist(), r[1])).toDF("vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(df).collect()}
+    assert {k: n for k, n in got.items() if n} == dict(links)
+    assert "not measured" in caplog.text and "compared" in caplog.text
