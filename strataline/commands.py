@@ -18,7 +18,7 @@ from .operators.panel import build_panel, select_universe, slice_panel
 from .operators.seeds import SEEDS
 from .plans.grammar import parse
 from .search.client import Client
-from .search.rounds import Proposal, Search, Shelf, by_model, run_search, test_round
+from .search.rounds import Proposal, Search, Shelf, by_model, run_search, try_round
 from .settings import Settings
 from .sources import filings_client, readers, writers
 
@@ -91,7 +91,7 @@ def seed_collection(spark: SparkSession, panel: str, collection: str, report: st
         writers.write_json(spark, report, now.records)
 
     proposals = {s.name: Proposal(s.rationale, s.expression) for s in SEEDS}
-    test_round(spark.read.parquet(panel), proposals, by_model(client, model, settings.max_nodes), settings.split, state, settings.thresholds, settings.max_nodes, settings.max_correlation, save)
+    try_round(spark.read.parquet(panel), proposals, by_model(client, model, settings.max_nodes), settings.split, state, settings.thresholds, settings.max_nodes, settings.max_correlation, save)
     save(state)
     return state
 

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stored: list[tuple[SparkSession, str]] = []
 
-def _folder(spark: SparkSession) -> None:
-    """Set the checkpoint folder of the context: the cluster's, or a local one for a local master."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is not set, a local one for a local master, and an error on a cluster."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
+    there = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not there:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="strataline-")
-    context.setCheckpointDir(named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strataline-"))
+        there = context.getCheckpointDir()
+    return there.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and written; its rows outlive executors."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and written in columns; later jobs read those that they need, and rows outlive executors. It goes when the session's process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strataline/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _stored:
+        atexit.register(_clean)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _stored:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return

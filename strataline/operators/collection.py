@@ -10,39 +10,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import pearson
-from ..functions.storing import stored
+from .gram import mean_correlations
 
 #: Fixed values.
 NEAREST = 3
 MAX_CORRELATION = 0.8
-#: Pairs of columns whose correlations are aggregated at once.
+#: Up to so many pairs are one aggregation; more are Gram matrices.
 PAIRS_A_PASS = 200
-COLUMNS_A_BLOCK = 14
 
 
 def pair_correlations(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(a, b, rho): mean over dates of the correlation of two columns across instruments.
 
-    One aggregation by date for all pairs of a pass; values are never joined
-    with themselves. Where one pass isn't enough, the columns are written first,
-    and each pass reads those of a few blocks of columns.
+    A few pairs are one aggregation by date over columns; values are never joined
+    with themselves. Many are taken from matrices of all columns, of which the
+    pairs asked for are kept.
     """
-    out = None
-    if len(pairs) > PAIRS_A_PASS:
-        wide = stored(wide)
-        block = {c: k // COLUMNS_A_BLOCK for k, c in enumerate(dict.fromkeys(x for p in pairs for x in p))}
-        pairs = sorted(pairs, key=lambda p: (block[p[0]], block[p[1]]))
-    for k in range(0, len(pairs), PAIRS_A_PASS):
-        some = pairs[k : k + PAIRS_A_PASS]
-        columns = dict.fromkeys(x for p in some for x in p)
-        daily = wide.select("datetime", *columns).groupBy("datetime").agg(*[pearson(F.col(a), F.col(b)).alias(f"r{n}") for n, (a, b) in enumerate(some)])
-        means = daily.agg(*[F.avg(f"r{n}").alias(f"r{n}") for n in range(len(some))])
-        rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{n}").alias("rho")) for n, (a, b) in enumerate(some)]))
-        found = means.select(rows.alias("p")).select("p.a", "p.b", "p.rho")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    if not pairs:
         return wide.sparkSession.createDataFrame([], "a string, b string, rho double")
-    return out
+    if len(pairs) > PAIRS_A_PASS:
+        names = list(dict.fromkeys(x for p in pairs for x in p))
+        place = {n: k for k, n in enumerate(names)}
+        every = mean_correlations(wide, names)
+        if len(pairs) == len(names) * (len(names) - 1) // 2 and all(place[a] < place[b] for a, b in pairs):
+            return every
+        turned = [(*sorted(p, key=place.get), *p) for p in pairs]
+        asked = wide.sparkSession.createDataFrame(turned, "i string, j string, a string, b string")
+        same = (F.col("m.a") == F.col("i")) & (F.col("m.b") == F.col("j"))
+        return asked.alias("q").join(every.alias("m"), same, "left").select(F.col("q.a").alias("a"), F.col("q.b").alias("b"), "m.rho")
+    columns = dict.fromkeys(x for p in pairs for x in p)
+    daily = wide.select("datetime", *columns).groupBy("datetime").agg(*[pearson(F.col(a), F.col(b)).alias(f"r{n}") for n, (a, b) in enumerate(pairs)])
+    means = daily.agg(*[F.avg(f"r{n}").alias(f"r{n}") for n in range(len(pairs))])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{n}").alias("rho")) for n, (a, b) in enumerate(pairs)]))
+    return means.select(rows.alias("p")).select("p.a", "p.b", "p.rho")
 
 
 def correlation_matrix(wide: DataFrame, names: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.collection import MAX_CORRELATION, NEAREST, Collection, Member,
 from ..operators.metrics import METRICS
 from ..plans.compiler import evaluate_many
 from ..plans.grammar import parse
+from ..plans.lookback import evaluate_between
 from .alignment import Fit, Question, rate_fit
 from .client import Client, first_object
 from .prompt import describe_language
@@ -43,11 +44,13 @@ def ask(client: Client, model: str, feedback: list[str], error: str | None, max_
         {"role": "system", "content": describe_language(max_nodes)},
         {"role": "user", "content": json.dumps({"feedback": feedback, "last_error": error})},
     ]
-    found = first_object(client.complete(messages, model))
     try:
+        found = first_object(client.complete(messages, model))
         return Proposal(str(found["rationale"]), str(found["expression"]))
-    except KeyError as e:
+    except (KeyError, IndexError, TypeError) as e:
         raise ValueError(f"the answer lacks {e}") from None
+    except OSError as e:  # a lost connection, an answer that never came
+        raise ValueError(f"no answer: {e}") from None
 
 
 def propose(client: Client, model: str, train: DataFrame, feedback: list[str], candidates: int = 8, attempts: int = 5, max_nodes: int = 50) -> list[Attempt]:
@@ -99,11 +102,25 @@ class Shelf:
 
 
 def member_values(spark: SparkSession, members: list[Member]) -> DataFrame:
-    """(datetime, instrument, one column for each member), of the values that are kept."""
-    rows = None
+    """(datetime, instrument, one column for each member), of the values that are kept. Members of one shelf are one scan of its dataset."""
+    shelves: dict[str, dict[str, Member]] = {}
     for m in members:
-        own = spark.read.schema("datetime date, instrument string, value double").parquet(m.validation_values_path).select("datetime", "instrument", F.lit(m.name).alias("factor"), "value")
-        rows = own if rows is None else rows.unionByName(own)
+        folder, _, own = m.validation_values_path.rstrip("/").rpartition("/")
+        shelves.setdefault(folder, {})[own] = m
+    schema = "datetime date, instrument string, value double"
+    rows = None
+    for folder, own in shelves.items():
+        dealt = {place.removeprefix("factor="): m for place, m in own.items() if place.startswith("factor=")}
+        parts = []
+        if dealt:
+            read = spark.read.schema(f"{schema}, factor string").option("basePath", folder).parquet(*[m.validation_values_path for m in dealt.values()])
+            names = F.create_map(*[F.lit(x) for key, m in dealt.items() for x in (key, m.name)])
+            parts.append(read.select("datetime", "instrument", names[F.col("factor")].alias("factor"), "value"))
+        for place, m in own.items():
+            if not place.startswith("factor="):
+                parts.append(spark.read.schema(schema).parquet(m.validation_values_path).select("datetime", "instrument", F.lit(m.name).alias("factor"), "value"))
+        for part in parts:
+            rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("datetime", "instrument").agg(*[F.max(F.when(F.col("factor") == m.name, F.col("value"))).alias(m.name) for m in members])
 
 
@@ -121,7 +138,7 @@ class Search:
 Save = Callable[[Search], None]
 
 
-def test_round(panel: DataFrame, proposals: dict[str, Proposal], align: Callable[[str, Proposal, float | None], Fit], split: Split, state: Search, thresholds: gate.Thresholds = gate.Thresholds(), max_nodes: int = 50, max_correlation: float = MAX_CORRELATION, save: Save | None = None) -> None:
+def try_round(panel: DataFrame, proposals: dict[str, Proposal], align: Callable[[str, Proposal, float | None], Fit], split: Split, state: Search, thresholds: gate.Thresholds = gate.Thresholds(), max_nodes: int = 50, max_correlation: float = MAX_CORRELATION, save: Save | None = None) -> None:
     """Gate and novelty of all proposals, in order; what is accepted counts for those after it.
 
     Values of all candidates are one plan and are written once; metrics,
@@ -180,7 +197,7 @@ def _correlations(panel: DataFrame, wide: DataFrame, names: list[str], state: Se
     if kept:
         values = values.join(member_values(panel.sparkSession, kept), ["datetime", "instrument"], "left")
     if others := {m.name: m.expression for m in members if not m.validation_values_path}:
-        values = values.join(evaluate_many(panel, others).filter(dated), ["datetime", "instrument"], "left")
+        values = values.join(evaluate_between(panel, others, start, end), ["datetime", "instrument"], "left")
     return {(r["a"], r["b"]): r["rho"] for r in pair_correlations(values, pairs).collect()}
 
 
@@ -196,7 +213,7 @@ def run_search(panel: DataFrame, client: Client, generation_model: str, alignmen
             if not a.parsed:
                 state.records.append({"name": name, "proposal": a.proposal and asdict(a.proposal), "evaluated": False, "error": a.error, "attempts": a.attempts})
         ready = {name: a.proposal for name, a in named.items() if a.parsed}
-        test_round(panel, ready, by_model(client, alignment_model, max_nodes), split, state, thresholds, max_nodes, max_correlation, save)
+        try_round(panel, ready, by_model(client, alignment_model, max_nodes), split, state, thresholds, max_nodes, max_correlation, save)
         if save:
             save(state)
     return state

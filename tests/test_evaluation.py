@@ -8,7 +8,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from strataline.operators import collection, gate, metrics, overfitting
+from strataline.functions.storing import stored
+from strataline.operators import collection, gate, gram, metrics, overfitting
 from strataline.operators.candidates import Split, checked, evaluate_candidates
 from strataline.operators.collection import Collection, Member
 from strataline.operators.seeds import SEEDS
@@ -17,7 +18,7 @@ from strataline.search.client import HttpClient, first_object
 from strataline.search.prompt import describe_language
 from strataline.search.alignment import Fit
 from strataline.search.rounds import Proposal, Search, Shelf, member_values, propose, run_search
-from strataline.search.rounds import test_round as search_round
+from strataline.search.rounds import try_round
 from strataline.plans.compiler import evaluate_many
 from strataline.plans.grammar import parse
 from strataline.operators.catalogue import FIELDS, MEANINGS, SPECS
@@ -204,7 +205,7 @@ def test_members_leave_values_and_each_candidate_is_saved(spark, panel, tmp_path
     easy = gate.Thresholds(-1, -1, -2, -1, -1, 0)
     state, saved = Search(Collection(), shelf=Shelf(str(tmp_path / "values"), str(tmp_path / "daily"))), []
     first = {"A b/c": Proposal("r", "CS_RANK($close)"), "second": Proposal("r", "CS_RANK($open)")}
-    run = lambda proposals: search_round(panel, proposals, lambda n, p, ic: Fit(1.0, "w"), SPLIT, state, easy, max_correlation=1.1, save=lambda s: saved.append(len(s.records)))
+    run = lambda proposals: try_round(panel, proposals, lambda n, p, ic: Fit(1.0, "w"), SPLIT, state, easy, max_correlation=1.1, save=lambda s: saved.append(len(s.records)))
     run(first)
     assert saved == [1, 2] and [m.name for m in state.collection.members] == list(first)
     values = member_values(spark, state.collection.members)
@@ -214,20 +215,87 @@ def test_members_leave_values_and_each_candidate_is_saved(spark, panel, tmp_path
     run({"third": Proposal("r", "CS_RANK(MULTIPLY($close, 2))")})
     assert saved == [1, 2, 3] and state.collection.correlations[2][0] == pytest.approx(1.0)
     anew = Search(Collection([replace(m, validation_values_path="") for m in state.collection.members[:2]], [row[:2] for row in state.collection.correlations[:2]]))
-    search_round(panel, {"third": Proposal("r", "CS_RANK(MULTIPLY($close, 2))")}, lambda n, p, ic: Fit(1.0, "w"), SPLIT, anew, easy, max_correlation=1.1)
+    try_round(panel, {"third": Proposal("r", "CS_RANK(MULTIPLY($close, 2))")}, lambda n, p, ic: Fit(1.0, "w"), SPLIT, anew, easy, max_correlation=1.1)
     assert anew.collection.correlations[2] == pytest.approx(state.collection.correlations[2])
 
 
-def test_many_pairs_are_aggregated_in_passes(panel, monkeypatch):
+@pytest.mark.parametrize("block", [256, 4, 3])
+def test_gram_matrices_equal_pairs(spark, block):
+    """Ragged rows with missing and infinite values, columns that don't vary, at all or on some dates, and large numbers."""
+    rng = random.Random(block)
+    rows = []
+    for d in range(12):
+        for i in range(rng.randint(1, 30)):
+            x = rng.gauss(0, 1)
+            own = [x, x + rng.gauss(0, 1), 1e9 + x, 0.1, float(d), -x, rng.choice((1.0, 2.0)), float("inf") if rng.random() < 0.02 else x * x, 3.3 if d % 2 else x, None]
+            rows.append((dt.date(2020, 1, 1) + dt.timedelta(d), str(i), *[None if v is None or rng.random() < 0.15 else v for v in own]))
+    names = [f"c{k}" for k in range(9)] + ["a.b"]
+    wide = spark.createDataFrame(rows, "datetime date, instrument string, " + ", ".join(f"`{n}` double" for n in names)).repartition(3)
+    plain = wide.withColumnRenamed("a.b", "c9")
+    pairs = list(itertools.combinations([f"c{k}" for k in range(10)], 2))
+    want = {(r["a"], r["b"]): r["rho"] for r in collection.pair_correlations(plain, pairs).collect()}
+    got = {(r["a"], r["b"]): r["rho"] for r in gram.mean_correlations(wide, names, block).collect()}
+    turn = lambda n: "c9" if n == "a.b" else n
+    assert {(turn(a), turn(b)) for a, b in got} == set(pairs)
+    for (a, b), rho in got.items():
+        other = want[turn(a), turn(b)]
+        assert (rho is None) == (other is None) and (rho is None or rho == pytest.approx(other, abs=1e-6)), (a, b, rho, other)
+
+
+def test_many_pairs_are_one_scan(panel, monkeypatch):
     names = ["open", "high", "close", "ret", "funda_pe", "volume"]
-    pairs = list(itertools.combinations(names, 2))
+    pairs = [(b, a) for a, b in itertools.combinations(names, 2)][2:]
     one = {(r["a"], r["b"]): r["rho"] for r in collection.pair_correlations(panel, pairs).collect()}
     monkeypatch.setattr(collection, "PAIRS_A_PASS", 4)
-    monkeypatch.setattr(collection, "COLUMNS_A_BLOCK", 2)
-    many = {(r["a"], r["b"]): r["rho"] for r in collection.pair_correlations(panel, pairs).collect()}
+    many = collection.pair_correlations(panel, pairs)
+    assert many._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 1
+    many = {(r["a"], r["b"]): r["rho"] for r in many.collect()}
     assert many.keys() == one.keys() == set(pairs) and all(many[p] == pytest.approx(one[p]) if one[p] is not None else many[p] is None for p in pairs)
 
 
+def test_gram_matrices_of_pieces_and_of_nothing(spark, panel, monkeypatch):
+    names = ["open", "close", "ret"]
+    whole = {(r["a"], r["b"]): r["rho"] for r in gram.mean_correlations(panel, names).collect()}
+    monkeypatch.setattr(gram, "PIECE", 60)
+    pieces = {(r["a"], r["b"]): r["rho"] for r in gram.mean_correlations(panel, names).collect()}
+    assert pieces == pytest.approx(whole) and gram.mean_correlations(panel.filter("false"), names).isEmpty()
+
+
+def test_stored_tables_are_read_by_column(spark, panel):
+    again = stored(panel)
+    assert sorted(map(str, again.collect())) == sorted(map(str, panel.collect()))
+    assert "ReadSchema: struct<close:double>" in again.select("close")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_a_shelf_are_one_scan(spark, tmp_path):
+    days = [(dt.date(2020, 1, d), i, float(d)) for d in range(1, 4) for i in "ab"]
+    own = []
+    for k in range(5):
+        place = f"{tmp_path}/factor=m_{k}" if k < 4 else f"{tmp_path}/elsewhere"
+        spark.createDataFrame([(d, i, v * k) for d, i, v in days], "datetime date, instrument string, value double").write.parquet(place)
+        own.append(Member(f"m {k}", "", "", 1, {}, place))
+    values = member_values(spark, own)
+    assert values._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(tuple(r) for r in values.collect()) == sorted((d, i, *[v * k for k in range(5)]) for d, i, v in days)
+
+
+class Broken(Canned):
+    """Every second answer has no choices, or never comes."""
+
+    def complete(self, messages, model):
+        self.turn = getattr(self, "turn", 0) + 1
+        if self.turn % 2:
+            raise (KeyError("choices"), TimeoutError("lost"), IndexError("list index out of range"))[self.turn // 2 % 3]
+        return super().complete(messages, model)
+
+
+def test_an_answer_that_fails_is_an_attempt(panel):
+    found = propose(Broken([answer("CS_RANK($close)")]), "m", panel, [], candidates=3, attempts=5)
+    assert all(a.parsed for a in found) and max(a.attempts for a in found) > 1
+    never = propose(Broken([None]), "m", panel, [], candidates=1, attempts=2)
+    assert not never[0].parsed and never[0].attempts == 2 and never[0].error
+
+
 def test_client_and_objects():
     sent = []
 

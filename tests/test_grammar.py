@@ -26,17 +26,17 @@ def test_seeds_parse(seed):
         ("n = 5\nTS_MEAN($close, n)", "integer numeric literal"),
         ("TS_MEAN($close, 0)", "positive integer"),
         ("DELAY($close, -1)", "non-negative integer"),
-        ("NOPE($close)", "unknown operator"),
-        ("ADD($close)", "expects 2 arguments"),
+        ("NOPE($close)", "no operator NOPE"),
+        ("ADD($close)", "takes 2 arguments"),
         ("$close + 1", "unsupported expression syntax"),
         ("-$close", "minus"),
-        ("x", "undefined name"),
+        ("x", "before it is defined"),
         ("$close\n$open", "only one line"),
-        ("x = $close", "missing final output"),
-        ("1x = $close\n$open", "bad assignment name"),
+        ("x = $close", "no line gives"),
+        ("1x = $close\n$open", "cannot name"),
         ("x = CS_RANK($close, k=1)\nx", "unsupported expression syntax"),
         ("TS_MEAN($close, 1e999)", "not finite"),
-        ("", "missing final output"),
+        ("", "no line gives"),
         ("(" * 3000 + "$close" + ")" * 3000, "levels within each other"),
         ("ABS(" * 3000 + "$close" + ")" * 3000, "levels within each other"),
         ("-" * 3000 + "3", "levels within each other"),
