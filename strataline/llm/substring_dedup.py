@@ -2,11 +2,13 @@
 
 A window is ``size`` consecutive words. Its anchor is the smallest of the
 hashes of the ``GRAM`` consecutive words within it, so equal windows have equal
-anchors, at different places. The first pass counts the anchors of all chunks of
-texts in a count-min sketch that is dealt by hash range: each range merges what
-all chunks have of it, and answers them. An anchor's merged count is never below
-the number of times that any of its windows starts, so the sketch overestimates
-window counts, and a window whose estimate is one is unique for certain.
+anchors, at different places. In the first pass every chunk of texts counts its
+anchors in a count-min sketch of its own, whose cells are sent, dealt by cell
+range, and not the anchors. Each range adds up the sketches of all chunks and
+answers them with the merged counts of their cells. The least of an anchor's
+cells is never below the number of times that any of its windows starts, so the
+merged sketch overestimates window counts, and a window whose estimate is one is
+unique for certain.
 
 The second pass sends on only windows with an estimate of two or more. They are
 dealt by their own hashes, each distinct one once for each chunk, and counted
@@ -15,13 +17,12 @@ many texts nor a passage that a third of them share gathers anywhere: it costs
 one entry of a few bytes for each chunk. The sketch grows with the input, and
 nothing of it is broadcast.
 
-Windows are told by 64-bit keyed hashes of their words. Two different windows
-share one by chance only, once in 2 ** 64 pairs, and neither is removed by that
-unless the other is estimated as repeated as well.
+Windows are told by 128 bits, two keyed hashes of their words' 64-bit hashes.
 
 Defined results: null and empty texts have no words and keep the empty text;
 a text of fewer words than a window is kept whole; rows repeated with the same
-id are two texts that equal each other; whole texts are read.
+id are two texts that equal each other; whole texts are read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ from pyspark.sql import types as T
 
 from .bpe import ragged
 from .common import table, text_or_empty, written
-from .dealt import answers, chunked, column, each, text_bytes, with_answers
+from .dealt import CountMin, answers, chunked, column, distinct, each, text_bytes, with_answers
 from .words import TOP, Words, grams, mixed, sliding, words_of
 from .workers import released
 
 SIZE = 35
 GRAM = 8
+#: What the second hash of a window begins with.
+_SECOND = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text for each anchor and for each window that may be repeated, about.
 ANCHOR_BYTES, WINDOW_BYTES = 80, 12
 
@@ -69,16 +72,19 @@ def _words(rows: pa.Table) -> Words:
 
 
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, counts = np.unique(values, return_counts=True)
-    return distinct, np.minimum(counts, 255)
+    own, back = distinct(values)
+    return own, np.minimum(np.bincount(back, minlength=len(own)), 255)
 
 
-def _repeatable(words: Words, estimates: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows whose anchors are estimated to stand at two places or more."""
+def _repeatable(words: Words, merged: np.ndarray, sketch: CountMin, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows whose anchors are estimated to stand at two places or more. merged: the counts of the chunk's cells."""
     least, starts, places = anchors(words, size, gram)
     at = np.flatnonzero(starts)
-    at = at[estimates[np.searchsorted(np.unique(mixed(places)), mixed(least[at]))] > 1] if len(at) else at
-    return at, grams(words.hashes, size)[at] if len(at) else np.empty(0, np.uint64)
+    if not len(at):
+        return at, np.empty((0, 2), np.uint64)
+    keys = np.unique(places)
+    at = at[sketch.estimates(keys, merged)[np.searchsorted(keys, least[at])] > 1]
+    return at, np.stack([grams(h, size)[at] for h in (words.hashes, mixed(words.hashes ^ _SECOND, 1))], 1)
 
 
 def _kept(words: Words, keep: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -105,23 +111,25 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     n_bytes = text_bytes(own, "text")
     chunks = chunked(own, "text", n_bytes, "texts")
 
-    # anchors are small hashes; mixed, they fall evenly on ranges
-    def anchor_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return _counted(mixed(anchors(_words(rows), size, gram)[2]))
+    n_anchors = n_bytes // ANCHOR_BYTES
+    sketch = CountMin.sized(n_anchors)
 
-    def window_keys(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return _counted(_repeatable(_words(rows), known[0], size, gram)[1])
+    def cells(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return sketch.sketch(*_counted(anchors(_words(rows), size, gram)[2]))
 
-    estimates = written(answers(chunks, anchor_keys, n_bytes // ANCHOR_BYTES, "estimates", sketch=True), "estimates")
+    def windows(rows: pa.Table, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _counted(_repeatable(_words(rows), known[0], sketch, size, gram)[1])
+
+    estimates = written(answers(chunks, cells, 2 * n_anchors, "estimates"), "estimates")
     estimated = with_answers(chunks, estimates)
-    repeats = answers(estimated, window_keys, n_bytes // WINDOW_BYTES, "repeats", exact=True)
+    repeats = answers(estimated, windows, n_bytes // WINDOW_BYTES, "repeats", pairs=True)
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows, (estimates, repeats) in each(batches):
+        for _, rows, (merged, repeats) in each(batches):
             words = _words(rows)
-            at, windows = _repeatable(words, estimates, size, gram)
-            at = at[repeats[np.unique(windows, return_inverse=True)[1]] > 1]
+            at, found = _repeatable(words, merged, sketch, size, gram)
+            at = at[repeats[distinct(found)[1]] > 1]
             edge = np.zeros(len(words.hashes) + 1, np.int64)
             edge[at] += 1
             np.subtract.at(edge, at + size, 1)
