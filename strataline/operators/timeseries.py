@@ -16,9 +16,18 @@ def trailing(n: int):
     return by_instrument().rowsBetween(-(n - 1), 0)
 
 
+#: Ranks among up to so many rows compare the value with each of those before; beyond, with a list of them.
+RANK_LAGS = 40
+
+
 def rank(x: Column, n: int) -> Column:
     """Average rank of the row's value among those of its last n rows, as a share of their number."""
     x = finite(x)
+    if n <= RANK_LAGS:
+        before = [F.lag(x, k).over(by_instrument()) for k in range(1, n)]
+        total = lambda test: sum((F.when(test(v), 1.0).otherwise(0.0) for v in before), F.lit(0.0))
+        # below, half of the equal ones, and half of the value itself and the next place
+        return F.when(x.isNotNull(), (total(lambda v: v < x) + total(lambda v: v == x) / 2.0 + F.lit(1.0)) / (total(lambda v: v.isNotNull()) + F.lit(1.0)))
     seen = F.collect_list(x).over(trailing(n))
     below, equal = F.size(F.filter(seen, lambda v: v < x)), F.size(F.filter(seen, lambda v: v == x))
     return F.when(x.isNotNull(), (below + (equal + 1) / F.lit(2.0)) / F.size(seen))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.facts import FACTS, parse_facts
 from ..operators.panel import PRICES
+from .writers import read_json
 
 MARKET_SCHEMA = "dlycaldt date, ticker string, shrcd int, " + ", ".join(f"{c} double" for c in PRICES)
 
@@ -34,6 +38,16 @@ def read_market_database(spark: SparkSession, url: str, table: str, start: str,
     return rows
 
 
+def read_panel_table(spark: SparkSession, path: str) -> DataFrame:
+    """What write_panel_table wrote, with its buckets known to Spark: windows, joins and groups by instrument read it where it is."""
+    note = read_json(spark, f"{path.rstrip('/')}.layout.json")
+    own = "strataline_panel_" + hashlib.md5(path.encode()).hexdigest()
+    listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(note["schema"]))
+    spark.sql(f"DROP TABLE IF EXISTS {own}")
+    spark.sql(f"CREATE TABLE {own} ({listed}) USING parquet CLUSTERED BY (instrument) SORTED BY (instrument, datetime) INTO {int(note['buckets'])} BUCKETS LOCATION '{path}'")
+    return spark.table(own)
+
+
 def read_facts(spark: SparkSession, csv: str) -> DataFrame:
     return spark.read.schema(FACTS).option("header", True).option("enforceSchema", False).csv(csv)
 

@@ -7,7 +7,7 @@ from itertools import groupby
 
 import pytest
 
-from strataline.operators import ranking, sliding
+from strataline.operators import ranking, sliding, timeseries
 from strataline.plans.compiler import evaluate, evaluate_many
 
 INF = float("inf")
@@ -90,12 +90,17 @@ def test_rolling(panel, rows, op, rule, c, field):
     check(panel, f"{op}(${field}, 4)", along(rows, lambda g, k: rule(w) if (w := window(c, 4)(g, k)) else None))
 
 
-def test_ts_rank(panel, rows):
+@pytest.mark.parametrize("lags", [40, 0])
+def test_ts_rank(panel, rows, monkeypatch, lags):
+    monkeypatch.setattr(timeseries, "RANK_LAGS", lags)
+
     def rule(g, k):
         x, w = g[k][2], window(2, 5)(g, k)
         return None if x is None else (sum(v < x for v in w) + (sum(v == x for v in w) + 1) / 2) / len(w)
 
     check(panel, "TS_RANK($close, 5)", along(rows, rule))
+    plan = evaluate(panel, "TS_RANK($close, 5)")._jdf.queryExecution().executedPlan().toString()
+    assert ("collect_list" in plan) == (lags == 0)
 
 
 def test_delta_delay(panel, rows):
