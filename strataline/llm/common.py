@@ -6,14 +6,16 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all word rules: blank and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and, if the catalog knows it, table.
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
 #: Bytes of a batch that goes to a Python worker, so that long texts don't add up in memory.
@@ -54,7 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, None))
     out = spark.read.schema(df.schema).parquet(path)
     out._strataline_path = path
     return out
@@ -68,32 +70,42 @@ def written_in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> Data
     df.write.bucketBy(buckets, key).options(path=path, compression="none").saveAsTable(own)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, own))
     out = spark.table(own)
-    out._strataline_path, out._strataline_table = path, own
+    out._strataline_path = path
+    return out
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make's result, written; what was written on the way to it is deleted."""
+    before = {path for _, path, _ in _written}
+    out = written(make(), name)
+    for item in [x for x in _written if x[1] not in before and x[1] != out._strataline_path]:
+        _delete(*item)
+        _written.remove(item)
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Delete what written() wrote, once no lazy result reads it any more."""
-    path, own = getattr(df, "_strataline_path", None), getattr(df, "_strataline_table", None)
-    if own:
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {own}")
+    path = getattr(df, "_strataline_path", None)
     for item in [x for x in _written if x[1] == path]:
         _delete(*item)
         _written.remove(item)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str, own: str | None) -> None:
+    if own:
+        spark.sql(f"DROP TABLE IF EXISTS {own}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).delete(where, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for item in _written:
         try:
-            _delete(spark, path)
+            _delete(*item)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 
@@ -103,5 +115,10 @@ def width(spark: SparkSession, rows: int, per_task: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_task))
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

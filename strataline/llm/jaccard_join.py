@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, table, written
+from .common import drop, named, table, written
 from .components import components
 from .dealt import answers, chunked, column, each, opened, text_bytes, with_answers
 from .words import grams, mixed, words_of
@@ -442,7 +442,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: of those with its smallest doc_id (nulls last) the first one. Rows without words stay; all columns do."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*others).alias("others"))
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*map(named, others)).alias("others"))
     n_bytes = text_bytes(docs, "text")
     chunks = chunked(rows, "text", n_bytes, "texts")
     sets = written(_sets_of(chunks, WORDS, docs.schema["doc_id"]), "sets")

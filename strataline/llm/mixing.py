@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, named, table, written
 
 LEVEL_BITS = 12
 LEVELS = 3
@@ -126,7 +126,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it."""
     plan = mixing_plan(sized_documents(docs))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("__row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
     out = with_copies(rows, plan, F.col("hash")).filter("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, table
+from .common import bounded, named, table
 from .token_counts import tokenizer_path
 from .workers import released
 
@@ -273,9 +273,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents with every secret's value replaced; n_chars follows the text."""
     bounded(spark)
     keep = tuple(c for c in docs.columns if c != "text")
-    rows = docs.select("text", F.struct(*keep).alias("__row"))
+    rows = docs.select("text", F.struct(*map(named, keep)).alias("__row"))
     found = find_secrets(rows, keep=("__row",), redact=True, words=ranked_words(tokenizer_path()))
-    columns = {c: F.col(f"__row.{c}") for c in keep} | {"text": F.col("redacted_text")}
+    columns = {c: F.col("__row")[c] for c in keep} | {"text": F.col("redacted_text")}
     if "n_chars" in columns:
         length = F.length("redacted_text").cast(docs.schema["n_chars"].dataType)
         columns["n_chars"] = F.when(F.size("secret_spans") > 0, length).otherwise(columns["n_chars"])

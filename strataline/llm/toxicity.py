@@ -18,7 +18,9 @@ quarter, chosen by a hash of their ids; every count runs on the executors and
 only terms come to the driver, all that the tests below let pass. Defined results: null and
 empty texts score as texts without hits; rows without a doc_id count as not
 held out; with no labels at all the lexicon is empty and every score is 0; a
-document with several labels counts as toxic if one says so.
+document with several labels counts as toxic if one says so; rows that are there
+twice are scored twice; an empty table gives an empty result; other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, table, written
+from .common import drop, named, table, written
 from .workers import released
 
 MAX_LABELLED = 20_000
@@ -179,6 +181,7 @@ class Scorer:
         if len(self.clean) > self.max_known:
             self.clean.clear()
             self.hits.clear()
+            self.automaton = LexiconAutomaton(self.model.terms)  # its states grow with the words seen
         words = set(_WORD.findall(text))
         words -= self.clean
         for w in words:
@@ -467,6 +470,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below the threshold."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select("text", F.struct(*others).alias("others"))
+    rows = docs.select("text", F.struct(*map(named, others)).alias("others"))
     out = score_toxicity(rows, model_for(docs, table(spark, sf_dir, "labels")), keep=("text", "others")).filter(F.col("score") < THRESHOLD)
     return out.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])

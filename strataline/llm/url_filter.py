@@ -15,8 +15,9 @@ those that have the name of a result. Of equally long rules the longer host wins
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -121,19 +122,23 @@ class RuleTrie:
                 best = self._along(root, parts, best)
         return (self.texts[best], self.verdicts[best]) if best >= 0 else None
 
+    def _last(self, node: int, part: bytes) -> int:
+        """The rule of the longest last part of a node that part begins with, or -1. The greatest label up to part is that one, or shares no more with part than that one does."""
+        lo, hi = self.begin[node], self.begin[node + 1]
+        while True:
+            hi = bisect_right(range(lo, hi), part, key=self._label) + lo
+            if hi == lo or not (label := self._label(hi - 1)).startswith(_LAST):
+                return -1
+            if part.startswith(label):
+                return self.rule[hi]
+            part = commonprefix((label, part))
+
     def _along(self, node: int, parts: list[bytes], best: int) -> int:
         """best, or the rule that ends along the path. Hosts grow from call to call, so of equally long rules the longer host wins."""
         for part in parts:
-            lo, hi = self.begin[node], self.begin[node + 1]
-            at = bisect_left(range(lo, hi), _LAST, key=self._label) + lo
-            while at < hi and (label := self._label(at)).startswith(_LAST):
-                if part.startswith(label[1:]):
-                    own = self.rule[at + 1]
-                    if best < 0 or len(self.texts[own]) >= len(self.texts[best]):
-                        best = own
-                elif label[1:] > part:
-                    break
-                at += 1
+            own = self._last(node, _LAST + part)
+            if own >= 0 and (best < 0 or len(self.texts[own]) >= len(self.texts[best])):
+                best = own
             node = self._child(node, part)
             if node is None:
                 break

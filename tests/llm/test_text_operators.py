@@ -577,7 +577,7 @@ def test_empty_tables(spark, documents, table_dir):
 
 
 def test_stages_keep_clashing_columns(spark, documents, table_dir):
-    names = ("score", "secret_spans", "redacted_text", "sid", "label", "copies", "threshold", "component_id", "node")
+    names = ("score", "secret_spans", "redacted_text", "sid", "label", "copies", "threshold", "component_id", "node", "a.b", "c`d", "text.x")
     docs = documents.withColumns({n: F.lit(n) for n in names})
     folder = table_dir(labels=spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"))
     for stage in (toxicity.toxicity_stage, jaccard_join.near_duplicate_stage, secret_scan.secrets_stage, mixing.mixing_stage):
@@ -587,3 +587,37 @@ def test_stages_keep_clashing_columns(spark, documents, table_dir):
     pieces = packing.packing_stage(spark, clash, folder)
     assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     assert pieces.agg(F.sum("length")).first()[0] == sum(r["doc_tokens"] for r in pieces.filter("start = 0").collect())
+
+
+def test_stages_on_empty_tables(spark, table_dir):
+    import corpus_pipeline
+
+    docs = empty(spark)
+    folder = table_dir(labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.isEmpty() and (name == "packing" or out.columns == docs.columns)
+
+
+def test_many_sibling_rules_are_found_quickly():
+    import time
+
+    rng = random.Random(1)
+    rules = {f"/a/{rng.randrange(10**9):09d}" for _ in range(100_000)} | {"/a/", "/a/12", "/a/123", "/a/1234x"}
+    trie = url_filter.RuleTrie([url_filter.Rule("com", p, "block") for p in rules])
+    urls = [rng.choice((f"/a/{rng.randrange(10**9):09d}/x", "/a/1234", "/a/12", "/b", rng.choice(sorted(rules)[:50]) + "tail")) for _ in range(300)]
+    began = time.perf_counter()
+    found = [trie.match("x.com", u) for u in urls]
+    assert (time.perf_counter() - began) / len(urls) < 1e-3
+    for u, hit in zip(urls, found, strict=True):
+        want = max((u[:k] for k in range(len(u) + 1) if u[:k] in rules), key=len, default=None)
+        assert (hit and hit[0]) == (want and "com" + want)
+
+
+def test_tables_leave_the_catalog(spark, documents):
+    from strataline.llm import common
+
+    before = {t.name for t in spark.catalog.listTables()}
+    out = common.written_alone(lambda: substring_dedup.remove_repeats(documents), "test")
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == documents.count()
+    common.drop(out)
