@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.llm.common import table, written
+from strataline.llm.common import drop, table, written_alone
 from strataline.llm.jaccard_join import near_duplicate_stage
 from strataline.llm.mixing import mixing_stage
 from strataline.llm.packing import packing_stage
@@ -30,8 +30,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written before the next reads it."""
+    """All stages over documents, each one's result written before the next reads it; then what it was made of goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written_alone(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
