@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist, stdev
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ BLOCKS = 16
 EULER_GAMMA = 0.5772
 #: Digits to which means are compared, so that exact ties stay ties whatever the order of sums.
 DIGITS = 12
+#: Splits of a task.
+SPLITS = 512
 
 
 def moments(series: DataFrame, by: str = "factor", value: str = "daily_ic") -> DataFrame:
@@ -109,26 +114,33 @@ def blocks(days: DataFrame, n: int = BLOCKS) -> DataFrame:
 def split_results(blocked: DataFrame, n_members: int, n: int = BLOCKS) -> DataFrame:
     """(split, best, omega, log_odds): for each half of the blocks, the member that is best there and its standing in the other half.
 
-    A member is one row with the sums of its blocks, and is laid out by split;
-    nothing is joined. A split is a number whose bits are the blocks of one half.
+    A split is a number whose bits are the blocks of one half. Splits are dealt in
+    runs of SPLITS, each with the sums of all members' blocks (members times
+    blocks numbers); a run's splits times those sums are one matrix product, and
+    what leaves it is a row for each split.
     """
     sums = blocked.groupBy("place", "block").agg(F.sum("daily_ic").alias("s"), F.count("daily_ic").alias("c"))
-    members = sums.groupBy("place").agg(F.collect_list(F.struct("block", "s", "c")).alias("cells"))
-    splits = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << n) - 1).cast("long")), lambda x: F.bit_count(x) == n // 2)
-    each = members.select("place", "cells", F.explode(splits).alias("split"))
-
-    def mean(half: int):
-        cells = F.expr(f"filter(cells, x -> (shiftright(split, cast(x.block as int)) & 1) = {half})")
-        total = F.aggregate(cells, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["c"] + x["c"]).alias("c")))
-        return F.round(F.try_divide(total["s"], total["c"].cast("double")), DIGITS)
-
-    halves = each.select("split", "place", mean(1).alias("within"), mean(0).alias("beyond"))
-    by, ties = Window.partitionBy("split"), Window.partitionBy("split", "beyond")
-    rank = F.rank().over(by.orderBy("beyond")) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
-    first = F.row_number().over(by.orderBy(F.desc("within"), "place"))
-    ranked = halves.select("split", "place", rank.alias("rank"), first.alias("first")).filter("first = 1")
-    omega = F.col("rank") / F.lit(float(n_members + 1))
-    return ranked.select("split", F.col("place").alias("best"), omega.alias("omega"), F.ln(omega / (1 - omega)).alias("log_odds"))
+    table = sums.agg(F.collect_list(F.struct("place", "block", "s", "c")).alias("cells")).filter(F.size("cells") > 0)
+    runs = math.ceil(math.comb(n, n // 2) / SPLITS)
+    dealt = table.select("cells", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).repartition(runs, "run")
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = np.array([x for x in range(1 << n) if x.bit_count() == n // 2])
+        for batch in batches:
+            for k, run in enumerate(batch.column(1).to_pylist()):
+                cells = batch.column(0).slice(k, 1).flatten()
+                at = cells.field("place").to_numpy(), cells.field("block").to_numpy()
+                total = np.zeros((2, n_members, n))
+                total[0][at], total[1][at] = cells.field("s").to_numpy(), cells.field("c").to_numpy()
+                split = halves[run * SPLITS : (run + 1) * SPLITS]
+                inside = (split[:, None] >> np.arange(n) & 1).astype(float)
+                within, beyond = (np.round((half @ total[0].T) / (half @ total[1].T), DIGITS) for half in (inside, 1 - inside))
+                best = within.argmax(1)  # the first of equal ones
+                own = beyond[np.arange(len(split)), best][:, None]
+                omega = ((beyond < own).sum(1) + ((beyond == own).sum(1) + 1) / 2.0) / float(n_members + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(split, pa.int64()), pa.array(best, pa.int32()), pa.array(omega), pa.array(np.log(omega / (1 - omega)))], ["split", "best", "omega", "log_odds"])
+
+    return dealt.mapInArrow(results, "split long, best int, omega double, log_odds double")
 
 
 @dataclass(frozen=True)

@@ -130,6 +130,23 @@ def test_overfitting_probability(spark, days):
     assert (got.pbo, got.splits) == (pytest.approx(_plain_pbo(columns, days, 8)[0]), 70)
 
 
+def test_splits_of_many_members(spark, monkeypatch):
+    """Each split's best member and its standing, some members being equal; a row for each split, whatever the number of members."""
+    monkeypatch.setattr(overfitting, "SPLITS", 30)
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(50)] for _ in range(30)]
+    columns = {f"m{k}": (lambda d, v=base[k % 27]: v[d]) for k in range(30)}
+    blocked = overfitting.blocks(overfitting.complete_days(_series(spark, columns, 50), list(columns)), 8)
+    found = {r["split"]: r for r in overfitting.split_results(blocked, 30, 8).collect()}
+    assert len(found) == 70
+    labels = [b for b in range(8) for _ in range(50 // 8 + (b < 50 % 8))]
+    for split, r in found.items():
+        within, beyond = ([round(sum(f(d) for d in range(50) if (split >> labels[d] & 1) == half) / sum((split >> b & 1) == half for b in labels), 12) for f in columns.values()] for half in (1, 0))
+        best = within.index(max(within))
+        rank = sum(v < beyond[best] for v in beyond) + (sum(v == beyond[best] for v in beyond) + 1) / 2
+        assert (r["best"], r["omega"]) == (best, pytest.approx(rank / 31)) and r["log_odds"] == pytest.approx(math.log(rank / (31 - rank)))
+
+
 def test_overfitting_is_undefined(spark):
     series = _series(spark, {"a": math.sin, "b": math.cos}, 10)
     assert overfitting.overfitting_probability(series, ["a"]).undefined_reason == "fewer than two members"
