@@ -1,4 +1,4 @@
-"""Ranks across a date for many operands at once, in long form: one sort for all of them.
+"""Ranks and quantiles across a date for many operands at once, in long form: one sort for all of them.
 
 Rows are dealt by date once. Within the tasks they become (operand, date,
 instrument, value), are ordered by operand, date and value, and are folded back
@@ -14,6 +14,8 @@ The panel's keys (date and instrument) have to be unique, as panels are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ KEYS = ("datetime", "instrument")
 _FIXED_SIZE = ("double", "float", "bigint", "int", "smallint", "tinyint", "boolean", "date", "timestamp", "timestamp_ntz")
 
 
-def rank_many(df: DataFrame, operands: list[Column], rest: list[str], with_places: bool) -> tuple[DataFrame, list[dict[str, Column]]]:
-    """df is dealt by date. A row for each row of df with its keys and the columns ``rest``, and for each operand the columns share (average rank as a share of the date's values) and, if with_places, position (place by value, ties by instrument, as a share).
+def rank_many(df: DataFrame, operands: list[Column], rest: list[str], with_places: bool, bounds: Sequence[tuple[float, float]] = ()) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """df is dealt by date. A row for each row of df with its keys and the columns ``rest``, and for each operand the columns share (average rank as a share of the date's values), if with_places position (place by value, ties by instrument, as a share), and for each pair of bounds clip0, clip1, .. (the value, clipped to these quantiles of the date, by linear interpolation).
 
-    Missing operands have missing shares and positions.
+    Missing operands have missing shares, positions and values.
     """
     n, kinds = len(operands), dict(df.dtypes)
     carried = {c: f"rest{j}" for j, c in enumerate(rest)}
@@ -41,15 +43,30 @@ def rank_many(df: DataFrame, operands: list[Column], rest: list[str], with_place
     x = F.col("x")
     day, order = Window.partitionBy("g", "datetime"), x.asc_nulls_last()
     parts = ["share"]
-    if with_places:
-        parts.append("position")
+    if with_places or bounds:
         rows = rows.withColumn("place", F.row_number().over(day.orderBy(order, "instrument")))
     ordered = day.orderBy(order)  # rows in the order of places are in this one too
     upto = ordered.rangeBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"low": F.rank().over(ordered), "high": F.count(F.lit(1)).over(upto), "values": F.count("x").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     found = {"share": (F.col("low") + F.col("high")) / F.lit(2.0) / F.col("values")}
     if with_places:
+        parts.append("position")
         found["position"] = F.col("place") / F.col("values").cast("double")
+    if bounds:
+        every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        at = {p: F.lit(p) * (F.col("values") - 1) for pair in bounds for p in pair}  # places from 0, whole or between two
+        ends = {(p, k): F.max(F.when(F.col("place") == side(h).cast("int") + 1, x)).over(every) for p, h in at.items() for k, side in enumerate((F.floor, F.ceil))}
+        names = {key: f"end{j}" for j, key in enumerate(ends)}
+        rows = rows.withColumns({names[key]: c for key, c in ends.items()})
+
+        def quantile(p: float) -> Column:
+            low, high, h = F.col(names[p, 0]), F.col(names[p, 1]), at[p]
+            return F.when(F.floor(h) == F.ceil(h), low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+        for j, pair in enumerate(bounds):
+            parts.append(f"clip{j}")
+            a, b = map(quantile, sorted(pair))
+            found[f"clip{j}"] = F.least(F.greatest(x, a), b)
     slot, chunk = F.col("k") % CHUNK, F.floor(F.col("k") / CHUNK).cast("int")
     rows = rows.select(*KEYS, slot.alias("slot"), chunk.alias("chunk"), *[F.when(x.isNotNull(), c).alias(p) for p, c in found.items()], *carried.values())
     same = [(F.max if kinds[c] in _FIXED_SIZE else lambda y: F.first(y, ignorenulls=True))(name).alias(name) for c, name in carried.items()]

@@ -114,7 +114,7 @@ class Plan:
     @staticmethod
     def _long(nodes: list[OpCall]) -> set[OpCall]:
         """Those of a pass that have a plan of their own: long windows, and ranks if there are several."""
-        ranked = [n for n in nodes if n.op in ("CS_RANK", "CS_BUCKET")]
+        ranked = [n for n in nodes if n.op in ("CS_RANK", "CS_BUCKET", "CS_WINSORIZE")]
         many = len({n.args[0] for n in ranked}) >= ranking.MANY_OPERANDS
         return {n for n in nodes if n.op in sliding.RULES and sliding.is_long(n.op, _rows(n))} | set(ranked if many else ())
 
@@ -140,9 +140,11 @@ class Plan:
             elif isinstance(n, OpCall) and n not in names:
                 ahead += n.args
         rest = [c for c in panel.columns if c not in KEYS and (c in needed or c in self.kept)]
-        panel, parts = ranking.rank_many(panel, columns, rest, any(n.op == "CS_BUCKET" for n in names))
+        bounds = list(dict.fromkeys(tuple(map(_quantile, n.args[1:])) for n in names if n.op == "CS_WINSORIZE"))
+        panel, parts = ranking.rank_many(panel, columns, rest, any(n.op == "CS_BUCKET" for n in names), bounds)
         of = dict(zip(operands, parts, strict=True))
-        found = {name: of[n.args[0]]["share"] if n.op == "CS_RANK" else ranking.bucket_of(of[n.args[0]], int(n.args[1].value)) for n, name in names.items()}
+        rules = {"CS_RANK": lambda p, n: p["share"], "CS_BUCKET": lambda p, n: ranking.bucket_of(p, int(n.args[1].value)), "CS_WINSORIZE": lambda p, n: p[f"clip{bounds.index(tuple(map(_quantile, n.args[1:])))}"]}
+        found = {name: rules[n.op](of[n.args[0]], n) for n, name in names.items()}
         return panel.select(*KEYS, *map(sliding.named, rest), *[c.alias(name) for name, c in found.items()])
 
     def _name_shared(self, panel: DataFrame) -> DataFrame:

@@ -246,6 +246,16 @@ def test_ranks_and_buckets_share_a_sort(panel, monkeypatch):
     assert _sorts_and_exchanges(evaluate_many(panel, texts), panel) == (1, 1)
 
 
+def test_winsorizing_many_shares_the_sort(panel, monkeypatch):
+    monkeypatch.setattr(ranking, "MANY_OPERANDS", 4)
+    texts = {f"f{k}": f"CS_WINSORIZE(ADD($close, {k}), 0.{1 + k % 2}, 0.8)" for k in range(6)} | {"r": "CS_RANK($open)"}
+    many = evaluate_many(panel, texts)
+    assert _sorts_and_exchanges(many, panel) == (1, 1) and "percentile" not in many._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranking, "MANY_OPERANDS", 100)
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=lambda r: r[:2])
+    assert order(many) == order(evaluate_many(panel, texts))
+
+
 def test_long_windows_need_no_sort_of_their_own(panel, monkeypatch):
     monkeypatch.setattr(sliding, "LONG_WINDOW", 64)
     texts = {"a": "TS_MEAN($close, 252)", "b": "TS_STD($close, 100)", "c": "TS_CORR($close, $open, 64)", "d": "TS_MAX($ret, 1000)", "e": "TS_SUM($close, 10)"}
