@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import finite, null_if_nan, pearson, truthy
 
 
+_ALONG: ContextVar[tuple[str, ...]] = ContextVar("along", default=("instrument",))
+
+
+@contextmanager
+def along(*columns: str):
+    """Windows that are built within run along these columns instead of the instrument."""
+    before = _ALONG.set(columns)
+    try:
+        yield
+    finally:
+        _ALONG.reset(before)
+
+
 def by_instrument():
-    return Window.partitionBy("instrument").orderBy("datetime")
+    return Window.partitionBy(*_ALONG.get()).orderBy("datetime")
 
 
 def trailing(n: int):

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_number
-from ..operators import crosssection, ranking, scalar, sliding, timeseries
+from ..operators import crosssection, halo, ranking, scalar, sliding, timeseries
 from ..operators.catalogue import SPECS
 from .grammar import FieldRef, Literal, Node, OpCall, Program, parse, walk
 
@@ -90,8 +91,8 @@ class Plan:
             done.update(now)
         return out
 
-    def apply(self, panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """panel with a column for each root. Of its other columns at least ``keep`` are there, and those that no expression reads."""
+    def apply(self, panel: DataFrame, keep: tuple[str, ...] = (), rows_a_chunk: int | None = None) -> DataFrame:
+        """panel with a column for each root. Of its other columns at least ``keep`` are there, and those that no expression reads. rows_a_chunk: see evaluate_many."""
         if any(n.op == "TS_SINCE" for n in self.windows):
             panel = panel.withColumn(timeseries.ROW_NUMBER, F.row_number().over(timeseries.by_instrument()))
         read = {n.name for r in self.roots.values() for n in walk(r) if isinstance(n, FieldRef)}
@@ -103,9 +104,15 @@ class Plan:
             near = [n for n in nodes if n not in long]
             if kind == "cs" and long:
                 panel = panel.repartition("datetime")  # before rows multiply
-            panel = panel.withColumns({names[n]: self.window(n) for n in near})
-            if long:
-                panel = (self._long_windows if kind == "ts" else self._long_ranks)(panel, {n: names[n] for n in long}, {n: names[n] for n in near})
+            chunked = kind == "ts" and rows_a_chunk is not None and all(n.op != "TS_SINCE" for n in nodes)
+            if chunked:
+                panel = halo.with_halo(panel, rows_a_chunk, max(map(_rows, nodes)))
+            with timeseries.along("instrument", halo.CHUNK) if chunked else nullcontext():
+                panel = panel.withColumns({names[n]: self.window(n) for n in near})
+                if long:
+                    panel = (self._long_windows if kind == "ts" else self._long_ranks)(panel, {n: names[n] for n in long}, {n: names[n] for n in near})
+            if chunked:
+                panel = halo.without_halo(panel)
             self.columns.update(names)
         panel = self._name_shared(panel)
         own = {timeseries.ROW_NUMBER, *self.columns.values()}
@@ -192,8 +199,14 @@ def _quantile(node: Node) -> float:
     return node.value
 
 
-def evaluate_many(panel: DataFrame, expressions: Mapping[str, str | Program], keep: tuple[str, ...] = (), max_nodes: int = 50) -> DataFrame:
-    """The panel's keys, the columns ``keep`` and one column for each expression."""
+def evaluate_many(panel: DataFrame, expressions: Mapping[str, str | Program], keep: tuple[str, ...] = (), max_nodes: int = 50, rows_a_chunk: int | None = None) -> DataFrame:
+    """The panel's keys, the columns ``keep`` and one column for each expression.
+
+    rows_a_chunk: for panels with instruments of very many rows. Passes along
+    instruments then run in chunks of about so many rows, with the rows that
+    windows look back to, which should be far fewer; a pass with TS_SINCE
+    doesn't, as that may look back to the first row.
+    """
     programs = {name: e if isinstance(e, Program) else parse(e, max_nodes) for name, e in expressions.items()}
     fields = sorted({f for p in programs.values() for f in p.fields})
     missing = [f for f in fields if f not in panel.columns]
@@ -203,7 +216,7 @@ def evaluate_many(panel: DataFrame, expressions: Mapping[str, str | Program], ke
     if clash:
         raise EvalError(f"columns {sorted(clash)} would be there twice")
     read = panel.select(*KEYS, *[c for c in keep if c not in fields], *[as_number(F.col(f)).alias(f) for f in fields])
-    return Plan({name: p.resolved() for name, p in programs.items()}).apply(read, keep).select(*KEYS, *keep, *programs)
+    return Plan({name: p.resolved() for name, p in programs.items()}).apply(read, keep, rows_a_chunk).select(*KEYS, *keep, *programs)
 
 
 def evaluate(panel: DataFrame, expression: str | Program, name: str = "value", keep: tuple[str, ...] = (), max_nodes: int = 50) -> DataFrame:
