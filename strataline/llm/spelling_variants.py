@@ -10,9 +10,9 @@ scanned word meets those at distance one and not all that share the half.
 
 A word is sent only to shards that may hold a half of it: a half is dealt by its
 side, its word's length and its outer letters, so every word is in two places as
-an owner of halves and in six to be scanned. Places with too many owners are
-split by owner, and their scanned words go to each part. What leaves a shard is
-one row for each word with a variant, its number of variants and the best.
+an owner of halves and in six to be scanned. Places with too many owners become
+grids of shards, by owner and by scanned word. What leaves a shard is one row for
+each word with a variant, its number of variants and the best.
 
 Defined results: null and empty texts have no words; a null id counts as an empty
 text in front of the colon; repeated rows count again; an empty table gives an
@@ -98,8 +98,13 @@ def word_counts(docs: DataFrame, every: int | None = DROP_EVERY, length: int = L
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= count)
 
 
-def _routes(words: DataFrame, owners: int) -> DataFrame:
-    """shard, word, n, side of rows (word, n): side 0 or 1 where the shard holds that half of the word, else null."""
+def _routes(words: DataFrame, owners: int, shards: int) -> DataFrame:
+    """shard, word, n, side, scanned of rows (word, n). side: 0 or 1 where the shard holds that half of the word, else null; scanned: whether it is looked at in the shard.
+
+    A crowded place is a grid of shards: a word is an owner in all blocks of its
+    part, and scanned in all parts of its block, so each owner meets each scanned
+    word once and a shard has about so many of either.
+    """
     m = F.length("word")
     places = []
     for d in (-1, 0, 1):
@@ -112,10 +117,13 @@ def _routes(words: DataFrame, owners: int) -> DataFrame:
     rows = rows.join(many.withColumnRenamed("key", "crowded"), F.col("key") == F.col("crowded"), "left")
     parts = F.coalesce(F.ceil(F.col("owned") / owners), F.lit(1)).cast("int")
     every = F.sequence(F.lit(0), parts - 1)
-    own = F.pmod(F.xxhash64("word"), parts).cast("int")
-    # a word is scanned in all parts of a place, and an owner in its own part only
-    part = F.explode(F.transform(every, lambda p: F.struct(p.alias("part"), F.when(p == own, F.col("side")).alias("side"))))
-    return rows.select("word", "n", "key", part.alias("p")).select("word", "n", "key", "p.*")
+    own_part, own_block = (F.pmod(F.xxhash64("word", F.lit(k)), parts).cast("int") for k in (0, 1))
+    scans = F.transform(every, lambda p: F.struct(p.alias("part"), own_block.alias("block"), F.when(p == own_part, F.col("side")).alias("side"), F.lit(True).alias("scanned")))
+    others = F.filter(every, lambda b: (b != own_block) & F.col("side").isNotNull())
+    owns = F.transform(others, lambda b: F.struct(own_part.alias("part"), b.alias("block"), F.col("side").alias("side"), F.lit(False).alias("scanned")))
+    rows = rows.select("word", "n", "key", (parts > 1).alias("grid"), F.explode(F.concat(scans, owns)).alias("p"))
+    shard = F.when(F.col("grid"), F.xxhash64("key", "p.part", "p.block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return rows.select(shard.alias("shard"), "word", "n", "p.side", "p.scanned")
 
 
 class Shard:
@@ -214,8 +222,9 @@ def _variants(words: DataFrame, n_words: int, owners: int) -> DataFrame:
     def scan(rows: pa.Table) -> pa.Table:
         counts: dict[str, int] = {}
         shard = Shard()
-        for word, n, side in zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), rows.column("side").to_pylist(), strict=True):
-            counts[word] = n
+        for word, n, side, scanned in zip(*(rows.column(c).to_pylist() for c in ("word", "n", "side", "scanned")), strict=True):
+            if scanned:
+                counts[word] = n
             if side is not None:
                 shard.add(word, side)
         shard.ready()
@@ -237,9 +246,8 @@ def _variants(words: DataFrame, n_words: int, owners: int) -> DataFrame:
             }
         )
 
-    shards = max(1, math.ceil(2 * n_words / owners))
-    rows = _routes(words, owners).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)))
-    found = rows.select("shard", "word", "n", "side").groupBy("shard").applyInArrow(scan, "word string, n_near long, less long, form string")
+    rows = _routes(words, owners, max(1, math.ceil(2 * n_words / owners)))
+    found = rows.groupBy("shard").applyInArrow(scan, "word string, n_near long, less long, form string")
     return found.select("word", "n_near", F.struct("less", F.col("form").alias("word")).alias("best"))
 
 
