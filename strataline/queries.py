@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import testbed
 from .functions.missing import as_number
+from .functions.storing import stored
 from .operators import collection, facts, gate, metrics, overfitting, panel
 from .operators.candidates import evaluate_candidates, score_candidates
 from .operators.seeds import SEEDS
@@ -365,7 +366,7 @@ FROM stood JOIN density USING (target)
 """, _DSR_SQL))
 def dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deflated ratio of the best of the factors; the reason why there is none is tested in Python."""
-    _, daily, table = _scored(spark, sf_dir)
+    _, daily, table = score_candidates(testbed.market(spark, sf_dir), FACTORS, testbed.SPLIT, keep=stored)  # two jobs read them
     rows = {(r["factor"], r["window"]): r["icir"] for r in table.collect()}  # one row a factor and window
     records = [{"decision": {w: {"icir": rows[f, w]} for w in ("train", "validation")}} for f in FACTORS]
     members = [collection.Member(f, "", e, 1, r["decision"], "") for (f, e), r in zip(FACTORS.items(), records, strict=True)]
