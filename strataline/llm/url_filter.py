@@ -14,6 +14,7 @@ those that have the name of a result. Of equally long rules the longer host wins
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,7 @@ from os.path import commonprefix
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,14 +166,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple[str, ...] = (), default: str = "allow", max_rules: int = 500_000) -> DataFrame:
     """Columns ``keep`` of df (but for names of results) with host, path, rule and verdict of each row's url; one row out for each row in."""
     names = ("host", "path", "rule", "verdict")
-    shared = df.sparkSession.sparkContext.broadcast(RuleTrie(rules, max_rules))
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(RuleTrie(rules, max_rules)))  # a broadcast by itself would name the class
     keep = tuple(c for c in keep if c not in names)
     fields = [df.schema[c] for c in keep]
     added = [T.StructField(c, T.StringType()) for c in names]
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        trie = pickle.loads(shared.value)
         for batch in batches:
             hosts, paths, texts, verdicts = [], [], [], []
             for u in batch.column(0).to_pylist():
