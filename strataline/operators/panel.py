@@ -106,7 +106,7 @@ def effective_dates(facts: DataFrame, calendar: DataFrame) -> DataFrame:
     """facts with the first date of the calendar (one column, datetime) strictly after they were filed; those after its end go.
 
     The calendar is laid out by day, each with the date that follows, so this is
-    a join on equal days; what was filed before the calendar counts as on the day before it.
+    a join on equal days, which go to all tasks (one row a day); what was filed before the calendar counts as on the day before it.
     """
     dates = calendar.select("datetime").distinct()
     first = dates.agg(F.min("datetime")).first()[0]
@@ -115,7 +115,7 @@ def effective_dates(facts: DataFrame, calendar: DataFrame) -> DataFrame:
     eve = F.date_sub(F.lit(first), 1)
     before = F.coalesce(F.lag("datetime").over(Window.orderBy("datetime")), eve)  # one row a date, few enough to order
     days = dates.withColumn("__before", before).select(F.explode(F.sequence("__before", F.date_sub("datetime", 1))).alias("__day"), F.col("datetime").alias("effective"))
-    return facts.withColumn("__filed", F.greatest(F.col("filed").cast("date"), eve)).filter("filed is not null").join(days, F.col("__filed") == F.col("__day")).drop("__filed", "__day")
+    return facts.withColumn("__filed", F.greatest(F.col("filed").cast("date"), eve)).filter("filed is not null").join(F.broadcast(days), F.col("__filed") == F.col("__day")).drop("__filed", "__day")
 
 
 def _filings(facts: DataFrame) -> DataFrame:

@@ -8,19 +8,37 @@ reads it, are in ``ORACLE``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.candidates import Split
 from .operators.panel import build_panel, market_rows, with_label
 
 SPLIT = Split(("1995-01-01", "1999-12-31"), ("2000-01-01", "2001-12-31"))
+#: Line items of a task: what it holds stays the same when the table grows.
+ROWS_A_TASK = 400_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tasks(spark: SparkSession, rows: DataFrame) -> int:
+    """As many as there are cores, and more the more rows there are; the count is read from the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS_A_TASK))
+
+
+def _week() -> Column:
+    return F.date_trunc("week", "l_shipdate").cast("date")
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of the market, from the one column that tells them."""
+    return read(spark, sf_dir, "lineitem").select(_week().alias("datetime")).filter("datetime is not null").distinct()
+
+
 def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw market records: dlycaldt, ticker and the price columns."""
     rows = read(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -43,7 +61,7 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filed facts: instrument, filed, field, value."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.repartition(_tasks(spark, lines), "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     quarters = rows.groupBy("l_suppkey", F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("q")).agg(
         F.sum(price * (F.col("l_discount").cast("decimal(4,2)") - F.lit("0.05").cast("decimal(4,2)"))).cast("double").alias("funda_net_income"),

@@ -3,7 +3,20 @@
 import datetime as dt
 import math
 
-from strataline import queries
+import pytest
+
+from strataline import queries, testbed
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with 2,000 line items of 20 suppliers and 60 weeks, and 500 orders."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    kinds = ("l_orderkey long", "l_partkey long", "l_suppkey long", "l_linenumber int", "l_quantity double", "l_extendedprice double", "l_discount double", "l_shipdate timestamp")
+    values = ("id div 4", "id % 50", "id * 7 % 20", "int(id % 4)", "double(id % 9 + 1)", "double(id * 31 % 101 + 1)", "double(id % 10) / 100", "timestamp(date_add(date'1999-03-01', int(id * 11 % 420)))")
+    spark.range(2000).selectExpr(*[f"{v} {k.split()[0]}" for k, v in zip(kinds, values, strict=True)]).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(500).selectExpr("id o_orderkey", "timestamp(date_add(date'1998-11-01', int(id % 420))) o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    return folder
 
 
 def test_dsr_of_no_deviation_is_that_of_its_sql(spark, monkeypatch):
@@ -18,3 +31,12 @@ def test_dsr_of_no_deviation_is_that_of_its_sql(spark, monkeypatch):
     assert math.isnan(one["dsr"]) and one["undefined_reason"] is None
     monkeypatch.setattr(queries, "score_candidates", lambda *a, **k: (None, daily.limit(0), table))
     assert queries.QUERIES["dsr"](spark, "").collect() == []
+
+
+def test_the_calendar_of_facts_needs_no_market(spark, tables, monkeypatch):
+    week = testbed.market(spark, tables).select("datetime").distinct().collect()
+    assert sorted(testbed.calendar(spark, tables).collect()) == sorted(week)
+    monkeypatch.setattr(testbed, "raw_market", lambda *a: pytest.fail("the market's prices are not asked for"))
+    dates, facts = sorted(r[0] for r in week), testbed.raw_facts(spark, tables).collect()
+    got = {(r["instrument"], r["filed"], r["field"]): r["effective"] for r in queries.QUERIES["effective_dates"](spark, tables).collect()}
+    assert got == {(f["instrument"], f["filed"], f["field"]): min(d for d in dates if d > f["filed"]) for f in facts if f["filed"] < dates[-1]}
