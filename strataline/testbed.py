@@ -40,16 +40,21 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw market records: dlycaldt, ticker and the price columns."""
+    """Raw market records: dlycaldt, ticker and the price columns.
+
+    About every second line item is a row here, so they are dealt by week and
+    supplier as they are: summed up before, they would be sorted twice.
+    """
     rows = read(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     place = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     price = F.col("l_extendedprice")
-    weeks = rows.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("dlycaldt"), "l_suppkey").agg(
+    tasks = _tasks(spark, rows)
+    weeks = rows.withColumn("dlycaldt", _week()).repartition(tasks, "dlycaldt", "l_suppkey").groupBy("dlycaldt", "l_suppkey").agg(
         F.min_by(price, place).alias("dlyopen"), F.max(price).alias("dlyhigh"), F.min(price).alias("dlylow"), F.max_by(price, place).alias("dlyclose"),
         F.sum("l_quantity").alias("dlyvol"), F.sum(price.cast("decimal(18,2)")).cast("double").alias("dlycap"),
     )
     ticker = F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
-    weeks = weeks.withColumn("ticker", ticker).drop("l_suppkey")
+    weeks = weeks.withColumn("ticker", ticker).drop("l_suppkey").repartition(tasks, "ticker")
     return weeks.withColumn("dlyret", F.expr("try_divide(dlyclose, lag(dlyclose) over (partition by ticker order by dlycaldt)) - 1.0"))
 
 

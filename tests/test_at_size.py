@@ -40,3 +40,13 @@ def test_the_calendar_of_facts_needs_no_market(spark, tables, monkeypatch):
     dates, facts = sorted(r[0] for r in week), testbed.raw_facts(spark, tables).collect()
     got = {(r["instrument"], r["filed"], r["field"]): r["effective"] for r in queries.QUERIES["effective_dates"](spark, tables).collect()}
     assert got == {(f["instrument"], f["filed"], f["field"]): min(d for d in dates if d > f["filed"]) for f in facts if f["filed"] < dates[-1]}
+
+
+def test_tasks_of_the_market_grow_with_the_table(spark, tables, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    few = rows(testbed.market(spark, tables))
+    assert testbed.raw_market(spark, tables).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(testbed, "ROWS_A_TASK", 100)
+    many = testbed.raw_market(spark, tables)
+    assert many.rdd.getNumPartitions() == 20 and rows(testbed.market(spark, tables)) == few
+    assert testbed.raw_market(spark, tables)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2  # line items by week and supplier, weeks by supplier
