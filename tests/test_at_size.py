@@ -4,8 +4,10 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataline import queries, testbed
+from strataline.operators import metrics
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +52,14 @@ def test_tasks_of_the_market_grow_with_the_table(spark, tables, monkeypatch):
     many = testbed.raw_market(spark, tables)
     assert many.rdd.getNumPartitions() == 20 and rows(testbed.market(spark, tables)) == few
     assert testbed.raw_market(spark, tables)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2  # line items by week and supplier, weeks by supplier
+
+
+@pytest.mark.parametrize("step, dates", [(1, 390), (7, 390)])
+def test_dates_take_turns_on_tasks(spark, step, dates):
+    wide = spark.range(dates * 3).selectExpr(f"date_add(date'1995-01-02', int(id div 3) * {step}) datetime", "concat('I', id % 3) instrument", "double(id) f", "double(id % 3) y")
+    long = metrics.long_values(wide, ["f"], {"a": ("1995-01-01", "1998-12-31"), "b": ("1998-01-01", "2005-12-31")}, "y")
+    tasks = long.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("datetime").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] == 2  # 199 tasks
+    assert metrics.daily_figures(long).columns[:3] == ["factor", "window", "datetime"] and "deal" not in metrics.daily_figures(long).columns
+    plan = metrics.daily_figures(long)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2  # along instruments, and by date for both ranks and all figures
